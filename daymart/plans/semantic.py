@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.days import day_to_date, resolve_macro
 from ..functions.exprs import classify, derive
 from ..operators.joins import join_rel
-from ..operators.windows import dedup_latest, rolling_distinct
+from ..operators.windows import dedup_latest
 from .model import Chain, DomainModel, FilterRule, Metric
 
 _ALERT = re.compile(r"^\s*(>=|<=|>|<)\s*(-?[\d.]+)\s*%?\s*$")
@@ -157,12 +157,22 @@ def conservation(
     return rows.join(sums, "key", "inner").where(F.abs(F.col("total") - F.col("parts")) > F.lit(tol).cast("decimal(18,2)"))
 
 
-def subset_gap(df: DataFrame, day: str, entity: str, n: int = 30) -> DataFrame:
-    """Days on which more entities are active than in the window ending that day.
+def not_in_window(daily: DataFrame, activity: DataFrame, day: str, entity: str, n: int = 30) -> DataFrame:
+    """(entity, day) of ``daily`` without activity in the n days ending that day.
 
-    Daily and window users come from the same rows, so the subset holds when no day
-    exceeds its window count.
+    The last activity is carried forward along each entity's distinct days, so the window
+    is never expanded.
     """
-    daily = df.groupBy(day).agg(F.count_distinct(entity).alias("daily"))
-    window = rolling_distinct(df, day, entity, n, out="window")
-    return daily.join(window, day, "left").where(F.col("window").isNull() | (F.col("daily") > F.col("window")))
+
+    def tagged(df: DataFrame, act: int) -> DataFrame:
+        return df.select(entity, F.unix_date(day_to_date(day)).alias("_d"), F.lit(act).alias("_a")).distinct()
+
+    w = Window.partitionBy(entity).orderBy("_d", F.desc("_a")).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("_a") == 1, F.col("_d"))).over(w)
+    return (
+        tagged(activity, 1)
+        .unionByName(tagged(daily, 0))
+        .withColumn("_last", last)
+        .where((F.col("_a") == 0) & (F.col("_last").isNull() | (F.col("_d") - F.col("_last") >= n)))
+        .select(entity, F.date_format(F.date_from_unix_date("_d"), "yyyyMMdd").alias(day))
+    )

@@ -127,18 +127,29 @@ def create_table(
 
 def write_partition(df: DataFrame, table: str, day: str, day_col: str = "inc_day") -> None:
     """Overwrite exactly one day; other days stay."""
-    write_partitions(df.drop(day_col).withColumn(day_col, F.lit(day)), table, day_col)
+    cols = [c for c in df.sparkSession.table(table).columns if c != day_col]
+    items = ", ".join(f"`{c}`" for c in cols)
+    df.sparkSession.sql(
+        f"INSERT OVERWRITE TABLE {table} PARTITION ({day_col} = '{day}') SELECT {items} FROM {{src}}", src=df.select(*cols)
+    )
 
 
 def write_partitions(df: DataFrame, table: str, day_col: str = "inc_day") -> None:
     """Overwrite the days present in the frame; the day is selected last.
 
-    Rows of one day may be a large share of the frame, so the write is not clustered by
-    day alone: AQE splits and merges the shuffle by size.
+    One day may hold a large share of the rows: the rebalance hint lets AQE split such a
+    day over several files and merge small ones.
     """
+    spark = df.sparkSession
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
     cols = [c for c in df.columns if c != day_col]
     out = df.select(*cols, day_col).hint("rebalance", day_col)
-    out.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    spark.conf.set(mode, "dynamic")
+    try:
+        out.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
 
 
 def append(df: DataFrame, table: str) -> None:
