@@ -130,16 +130,13 @@ def substrings(text: Column | str, lengths: Iterable[int]) -> Column:
     Linear in the text: one pass per wanted length.
     """
     low = F.lower(F.coalesce(as_col(text), F.lit("")))
-    per_length = [
-        F.when(
-            F.length(low) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.substring(low, i, F.lit(n)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ]
+
+    def windows(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))
+
+    none = F.array().cast("array<string>")
+    per_length = [none] + [F.when(F.length(low) >= n, windows(n)).otherwise(none) for n in lengths]
     return F.array_distinct(F.concat(*per_length))
 
 

@@ -50,6 +50,20 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
+def _zip(**arrays: Column) -> Column:
+    """Array of structs with the given field names, each array evaluated once."""
+    (first, head), *rest = arrays.items()
+
+    def widen(seen: list[str], name: str):
+        return lambda s, v: F.struct(*[s[n].alias(n) for n in seen], v.alias(name))
+
+    out, seen = F.transform(head, lambda v: F.struct(v.alias(first))), [first]
+    for name, arr in rest:
+        out = F.zip_with(out, arr, widen(list(seen), name))
+        seen.append(name)
+    return out
+
+
 def _lowered(names: Column) -> Column:
     return F.array_distinct(F.transform(names, lambda t: F.lower(F.rtrim(t, F.lit(".")))))
 
@@ -77,14 +91,12 @@ def column_lineage(scripts: DataFrame) -> DataFrame:
     text = bare("sql_text")
     tables, names = _found(text, ALIASED, 1), _found(text, ALIASED, 2)
     pairs = F.filter(
-        F.arrays_zip(F.transform(names, lambda n: F.lower(n)).alias("a"), tables.alias("t")),
+        _zip(a=F.transform(names, lambda n: F.lower(n)), t=tables),
         lambda p: ~p["a"].isin(*NOT_ALIASES),
     )
     body = F.regexp_extract(text, r"(?is)insert\s+overwrite\s+table\s+\w+\.\w+.*?\bselect\s+(.*?)\s+from\b", 1)
     item = r"(?i)\b([a-zA-Z_]\w*)\.([a-zA-Z_]\w*)\s+as\s+(\w+)"
-    fields = F.arrays_zip(
-        _found(body, item, 1).alias("a"), _found(body, item, 2).alias("f"), _found(body, item, 3).alias("o")
-    )
+    fields = _zip(a=_found(body, item, 1), f=_found(body, item, 2), o=_found(body, item, 3))
     rows = scripts.select(
         "script_id",
         F.lower(F.regexp_extract(text, TARGET, 1)).alias("target"),
@@ -275,10 +287,8 @@ def mine_metrics(scripts: DataFrame) -> DataFrame:
     aggregate calls, the first per id.
     """
     text = F.col("sql_text")
-    parts = {n: _found(text, METRIC_COMMENT, i) for i, n in enumerate(("i", "n", "e", "f", "u"), 1)}
-    noted = F.arrays_zip(*[c.alias(n) for n, c in parts.items()])
     noted = F.transform(
-        noted,
+        _zip(**{n: _found(text, METRIC_COMMENT, i) for i, n in enumerate(("i", "n", "e", "f", "u"), 1)}),
         lambda m: F.struct(
             m["i"].alias("metric_id"),
             F.trim(m["n"]).alias("name"),
@@ -287,11 +297,8 @@ def mine_metrics(scripts: DataFrame) -> DataFrame:
             F.coalesce(F.trim(m["u"]), F.lit("")).alias("unit"),
         ),
     )
-    called = F.arrays_zip(
-        _found(text, AGG_CALL, 1).alias("f"), _found(text, AGG_CALL, 2).alias("c"), _found(text, AGG_CALL, 0).alias("x")
-    )
     called = F.transform(
-        called,
+        _zip(f=_found(text, AGG_CALL, 1), c=_found(text, AGG_CALL, 2), x=_found(text, AGG_CALL, 0)),
         lambda m: F.struct(
             F.concat(F.lower(m["f"]), F.lit("_"), m["c"]).alias("metric_id"),
             m["c"].alias("name"),
