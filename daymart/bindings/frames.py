@@ -134,7 +134,6 @@ def skus(spark: SparkSession, sf: str) -> DataFrame:
 
 # One expression both dialects read: a script text per part, with every shape the corpus
 # jobs look for. Derived from the row, so the corpus grows with the table.
-NL = "chr(10)"
 SCRIPT_EXPR = " || ".join(
     [
         "(CASE WHEN p_size % 4 = 0 THEN '-- 指标: gmv_' || lower(p_type) || ': total | sum(pay_amount) | status = 1 | yuan' || chr(10)"
@@ -149,8 +148,9 @@ SCRIPT_EXPR = " || ".join(
         "'from dwd_demo.dwd_' || lower(p_type) || '_order_di a' || chr(10)",
         "(CASE WHEN p_size % 6 = 0 THEN 'cross join dim_demo.dim_' || replace(lower(p_name), ' ', '_') || '_df b' || chr(10)"
         " ELSE 'left join dim_demo.dim_' || replace(lower(p_name), ' ', '_') || '_df b on a.id = b.id' || chr(10) END)",
-        "(CASE WHEN p_size % 11 = 0 THEN 'left join ads_demo.ads_' || replace(lower(p_brand), '#', '_') || '_prev_di c on a.id = nullif(c.id, 0)' || chr(10) ELSE '' END)",
+        "(CASE WHEN p_size % 11 = 0 THEN 'left join ads_demo.ads_brand_' || CAST(p_size % 25 + 1 AS VARCHAR(20)) || '_di c on a.id = nullif(c.id, 0)' || chr(10) ELSE '' END)",
         "(CASE WHEN p_size % 8 = 0 THEN '' WHEN p_size % 8 = 1 THEN 'where a.cur_date = 1' || chr(10) ELSE 'where a.inc_day = ''x'' and a.note = ''from fake.t''' || chr(10) END)",
+        "(CASE WHEN p_size % 13 = 0 THEN 'union all' || chr(10) || 'select * from dwd_demo.dwd_extra_di' || chr(10) ELSE '' END)",
         "'group by a.order_id, b.name;' || chr(10)",
     ]
 )
@@ -159,9 +159,9 @@ SCRIPTS = f"(SELECT p_partkey AS script_id, {PATH_EXPR} AS path, {SCRIPT_EXPR} A
 
 
 def scripts(spark: SparkSession, sf: str) -> DataFrame:
-    path = PATH_EXPR.replace("VARCHAR(20)", "STRING")
+    path, text = (e.replace("VARCHAR(20)", "STRING") for e in (PATH_EXPR, SCRIPT_EXPR))
     return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("script_id"), F.expr(path).alias("path"), F.expr(SCRIPT_EXPR).alias("sql_text")
+        F.col("p_partkey").alias("script_id"), F.expr(path).alias("path"), F.expr(text).alias("sql_text")
     )
 
 

@@ -28,7 +28,7 @@ NOISE_PARTS = (
 
 # Stop tokens and shortest length for identifier anchors.
 IDENT_STOP = ("select", "from", "where", "group", "order", "left", "cast", "round")
-IDENT_PATTERN = r"\b([a-z][a-z0-9_]{3,})\b"
+IDENT_PATTERN = r"(?U)\b([a-z][a-z0-9_]{3,})\b"
 
 
 def count_matches(text: Column | str, pattern: str) -> Column:

@@ -27,10 +27,16 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate a value once and use it in a lambda body, which runs per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalise(a: Column | str) -> Column:
-    c = as_col(a)
-    norm = l2_norm(c)
-    return F.when(norm == 0, c).otherwise(F.transform(c, lambda x: F.try_divide(x, norm)))
+    """Unit vector; a zero vector stays as it is."""
+    with_norm = _let(as_col(a), lambda v: F.struct(v.alias("v"), l2_norm(v).alias("n")))
+    scaled = lambda s: F.transform(s["v"], lambda x: x.cast("double") / F.when(s["n"] == 0, 1.0).otherwise(s["n"]))
+    return _let(with_norm, scaled)
 
 
 def hash_vector(text: Column | str, dim: int = 384) -> Column:
@@ -39,10 +45,10 @@ def hash_vector(text: Column | str, dim: int = 384) -> Column:
     hexed = F.transform(
         blocks, lambda i: F.sha2(F.concat(as_col(text), F.lit(":"), i.cast("string")), 256)
     )
-    # one hex string of the right length, then one byte per dimension
-    digits = F.concat_ws("", hexed)
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda j: (F.conv(F.substring(digits, j * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128.0) / 128.0,
-    )
-    return l2_normalise(raw)
+    offsets = F.sequence(F.lit(1), F.lit(63), F.lit(2))
+
+    def unpack(h: Column) -> Column:
+        byte = lambda j: F.conv(F.substring(h, j, F.lit(2)), 16, 10).cast("double")
+        return F.transform(offsets, lambda j: (byte(j) - 128.0) / 128.0)
+
+    return l2_normalise(F.slice(F.flatten(F.transform(hexed, unpack)), 1, dim))

@@ -126,8 +126,6 @@ def search_corpus(docs: DataFrame, terms: Sequence[str], key: str, text: str = "
     The terms are parameters, so each text is read once and matched in place.
     """
     wanted = list(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))
-    lines = F.transform(lines_of(text), lambda ln: F.trim(ln))
-
     def hit(term: str):
         pattern = term_pattern(term) if term.isascii() else term
         return F.struct(
@@ -136,14 +134,16 @@ def search_corpus(docs: DataFrame, terms: Sequence[str], key: str, text: str = "
         )
 
     return (
-        docs.withColumn("_lines", lines)
+        docs.withColumn("_lines", lines_of(text))
         .withColumn("_hit", F.explode(F.array(*[hit(t) for t in wanted])))
         .where(F.size("_hit.hits") > 0)
         .select(
             key,
             "_hit.term",
             F.size("_hit.hits").cast("bigint").alias("hit_lines"),
-            F.slice("_hit.hits", 1, shown).alias("first_lines"),
+            F.transform(
+                F.slice("_hit.hits", 1, shown), lambda ln: F.regexp_replace(ln, r"^\s+|\s+$", "")
+            ).alias("first_lines"),
         )
     )
 

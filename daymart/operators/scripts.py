@@ -68,9 +68,14 @@ def _lowered(names: Column) -> Column:
     return F.array_distinct(F.transform(names, lambda t: F.lower(F.rtrim(t, F.lit(".")))))
 
 
+def _cleaned(scripts: DataFrame) -> DataFrame:
+    """Cleaned once per script, before the extractions read it several times."""
+    return scripts.withColumn("_clean", bare("sql_text"))
+
+
 def targets_and_sources(scripts: DataFrame) -> DataFrame:
-    clean = bare("sql_text")
-    return scripts.select(
+    clean = F.col("_clean")
+    return _cleaned(scripts).select(
         "script_id",
         _lowered(F.concat(_found(clean, INSERTED), _found(clean, CREATED))).alias("targets"),
         _lowered(_found(clean, SOURCE)).alias("sources"),
@@ -88,7 +93,7 @@ def table_lineage(scripts: DataFrame) -> DataFrame:
 def column_lineage(scripts: DataFrame) -> DataFrame:
     """(script_id, target, target_field, source_table, source_field) of simple
     ``alias.column as name`` items in the select after the insert."""
-    text = bare("sql_text")
+    text = F.col("_clean")
     tables, names = _found(text, ALIASED, 1), _found(text, ALIASED, 2)
     pairs = F.filter(
         _zip(a=F.transform(names, lambda n: F.lower(n)), t=tables),
@@ -97,7 +102,7 @@ def column_lineage(scripts: DataFrame) -> DataFrame:
     body = F.regexp_extract(text, r"(?is)insert\s+overwrite\s+table\s+\w+\.\w+.*?\bselect\s+(.*?)\s+from\b", 1)
     item = r"(?i)\b([a-zA-Z_]\w*)\.([a-zA-Z_]\w*)\s+as\s+(\w+)"
     fields = _zip(a=_found(body, item, 1), f=_found(body, item, 2), o=_found(body, item, 3))
-    rows = scripts.select(
+    rows = _cleaned(scripts).select(
         "script_id",
         F.lower(F.regexp_extract(text, TARGET, 1)).alias("target"),
         pairs.alias("_p"),
@@ -229,13 +234,12 @@ MANY_TABLES = 5
 def risk_flags(scripts: DataFrame) -> DataFrame:
     """Cost risks per script: no WHERE, no partition word, more joins than conditions,
     more than five source tables."""
-    clean = bare("sql_text")
-    low = F.lower("sql_text")
+    clean, low = F.col("_clean"), F.lower("sql_text")
     word = F.lit(False)
     for p in PARTITION_WORDS:
         word = word | F.contains(low, F.lit(p))
     has_where = F.contains(low, F.lit("where"))
-    return scripts.select(
+    return _cleaned(scripts).select(
         "script_id",
         F.size(_lowered(_found(clean, SOURCE))).cast("bigint").alias("tables"),
         F.when(~has_where, 1).otherwise(0).alias("no_where"),

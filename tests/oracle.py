@@ -42,8 +42,10 @@ def bag(rows, names, order):
 
 def compare(spark, con, name, binding, folder):
     """(rows, message); an empty message means equal."""
+    t0 = time.time()
     df = binding.run(spark, folder)
     got = [tuple(r) for r in df.collect()]
+    compare.spark_seconds = time.time() - t0
     if binding.sql is None:
         return len(got), ""
     cur = con.execute(binding.oracle())
@@ -78,5 +80,5 @@ if __name__ == "__main__":
         except Exception as e:  # report and go on
             n, msg = -1, f"{type(e).__name__}: {str(e)[:600]}"
         bad += bool(msg)
-        print(f"{'BAD ' if msg else 'ok  '} {name:32s} rows={n:7d} {time.time() - t0:6.2f}s {'' if b.sql else '(no sql)'} {msg}", flush=True)
+        print(f"{'BAD ' if msg else 'ok  '} {name:32s} rows={n:7d} {time.time() - t0:6.2f}s spark={getattr(compare, 'spark_seconds', 0):6.2f}s {'' if b.sql else '(no sql)'} {msg}", flush=True)
     print("bad:", bad)
