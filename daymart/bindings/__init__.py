@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ("corpus", "tables")
+MODULES = ("expressions", "joins", "aggregates", "windows", "profiles", "checks", "metrics", "marts", "text", "corpus", "tables")
 
 # column kinds: Spark type, SQL type
 KINDS = {"s": ("string", "VARCHAR"), "i": ("bigint", "BIGINT"), "d": ("double", "DOUBLE"), "b": ("boolean", "BOOLEAN")}

@@ -60,10 +60,10 @@ def match_domain(scores: DataFrame, key: str, bar: float = MATCH_FROM) -> DataFr
     return best.where(F.col("score") >= bar)
 
 
-def _unit_hits(kws: DataFrame, texts: DataFrame, key: str, ids: Sequence[str], text: str) -> DataFrame:
-    """(key, ids, keyword) hits on word or bigram equality."""
-    units = texts.select(*ids, F.explode(match_units(text)).alias("keyword"))
-    return kws.join(units, "keyword")
+def _sum_points(kws: DataFrame, points: DataFrame, key: str, item: str, *extra) -> DataFrame:
+    """Join queries to per-(keyword, item) points; texts are reduced to those before the
+    join, so a keyword found in many texts of an item still meets a query once."""
+    return kws.join(points, "keyword").groupBy(key, item).agg(F.sum("points").cast("bigint").alias("score"), *extra)
 
 
 def rank_entities(
@@ -74,41 +74,31 @@ def rank_entities(
 
     ``entities`` is (entity), ``attributes`` is (entity, attribute, description).
     """
-    kws = query_keywords(queries, key, text)
-    by_name = (
-        _unit_hits(kws, entities, key, ["entity"], "entity")
-        .groupBy(key, "entity")
-        .agg((F.count(F.lit(1)) * 3).alias("points"))
-    )
+    names = entities.select("entity", F.explode(match_units("entity")).alias("keyword"), F.lit(3).alias("p"), F.lit(0).alias("a"))
     # one text per attribute: a keyword found in name and description counts once
-    both = attributes.select(
-        "entity", "attribute", F.concat_ws("\n", "attribute", "description").alias("_t")
-    )
-    by_attr = (
-        _unit_hits(kws, both, key, ["entity"], "_t")
-        .groupBy(key, "entity")
-        .agg((F.count(F.lit(1)) + 1).alias("points"))
-    )
-    total = by_name.unionByName(by_attr).groupBy(key, "entity").agg(F.sum("points").alias("score"))
+    both = F.concat_ws("\n", "attribute", "description")
+    attrs = attributes.select("entity", F.explode(match_units(both)).alias("keyword"), F.lit(1).alias("p"), F.lit(1).alias("a"))
+    points = names.unionByName(attrs).groupBy("keyword", "entity").agg(F.sum("p").alias("points"), F.max("a").alias("attr"))
+    hits = _sum_points(query_keywords(queries, key, text), points, key, "entity", F.max("attr").alias("_attr"))
+    total = hits.withColumn("score", F.col("score") + F.col("_attr")).drop("_attr")
     return rank_top(total, [key], [F.desc("score"), F.asc("entity")], n)
 
 
 def rank_metrics(queries: DataFrame, metrics: DataFrame, key: str, text: str = "text", n: int = 10) -> DataFrame:
     """Top metrics per query: 3 per keyword in the name, 1 in the description, 1 in the
     expression. ``metrics`` is (metric, description, expression)."""
-    kws = query_keywords(queries, key, text)
-    texts = metrics.select(
-        "metric",
-        F.explode(
-            F.array(
-                F.struct(F.lit(3).alias("w"), F.col("metric").alias("t")),
-                F.struct(F.lit(1).alias("w"), F.col("description").alias("t")),
-                F.struct(F.lit(1).alias("w"), F.col("expression").alias("t")),
-            )
-        ).alias("p"),
-    ).select("metric", "p.w", "p.t")
-    hits = _unit_hits(kws, texts, key, ["metric", "w"], "t")
-    total = hits.groupBy(key, "metric").agg(F.sum("w").cast("bigint").alias("score"))
+
+    def units(col: str, weight: int) -> DataFrame:
+        return metrics.select("metric", F.explode(match_units(col)).alias("keyword"), F.lit(weight).alias("p"))
+
+    points = (
+        units("metric", 3)
+        .unionByName(units("description", 1))
+        .unionByName(units("expression", 1))
+        .groupBy("keyword", "metric")
+        .agg(F.sum("p").alias("points"))
+    )
+    total = _sum_points(query_keywords(queries, key, text), points, key, "metric")
     return rank_top(total, [key], [F.desc("score"), F.asc("metric")], n)
 
 
@@ -216,17 +206,26 @@ def top_k(
 
 # --- grouping by rare tokens ----------------------------------------------------------
 
+# A token in at most this many items links them.
+RARE_AT_MOST = 3
+
 
-def rare_token_edges(items: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
-    """Star edges (src, dst) from the smallest item of each rare token to the others.
+def rare_token_edges(items: DataFrame, key: str, text: str) -> DataFrame:
+    """Star edges (src, dst) from the smallest item of each rare token to its others.
 
-    A token in more than ``most`` items is no anchor. The aggregates keep three numbers
-    per token whatever its frequency, and a rare token gives at most two edges.
+    A token in more than three items is no anchor. Count, smallest, largest and sum of the
+    integer ids name all items of a rare token, so one aggregation with partial sums is
+    enough and frequent tokens are reduced before they are shuffled.
     """
-    tokens = items.select(F.col(key).alias("id"), F.explode(identifiers(text)).alias("token"))
-    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("src"))
-    rare = freq.where((F.col("n") >= 2) & (F.col("n") <= most))
-    return tokens.join(rare, "token").where("id <> src").select("src", F.col("id").alias("dst")).distinct()
+    tokens = items.select(F.col(key).cast("bigint").alias("id"), F.explode(identifiers(text)).alias("token"))
+    stats = tokens.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("src"), F.max("id").alias("hi"),
+        F.sum(F.col("id").cast("decimal(38,0)")).alias("total"),
+    )
+    middle = (F.col("total") - F.col("src") - F.col("hi")).cast("bigint")
+    others = F.when(F.col("n") == 2, F.array("hi")).otherwise(F.array(middle, F.col("hi")))
+    rare = stats.where((F.col("n") >= 2) & (F.col("n") <= RARE_AT_MOST))
+    return rare.select("src", F.explode(others).alias("dst")).distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -264,9 +263,9 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def group_by_rare_tokens(items: DataFrame, key: str, text: str = "text", most: int = 3) -> DataFrame:
+def group_by_rare_tokens(items: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, group_id): items linked through shared rare tokens; others are alone."""
-    found = components(items.sparkSession, rare_token_edges(items, key, text, most))
+    found = components(items.sparkSession, rare_token_edges(items, key, text))
     return items.select(key).join(found, F.col(key) == F.col("id"), "left").select(
         key, F.coalesce("component", F.col(key)).alias("group_id")
     )

@@ -152,8 +152,10 @@ def write_partitions(df: DataFrame, table: str, day_col: str = "inc_day") -> Non
         spark.conf.set(mode, before)
 
 
-def append(df: DataFrame, table: str) -> None:
-    df.write.insertInto(table, overwrite=False)
+def append(df: DataFrame, table: str, day_col: str = "inc_day") -> None:
+    """Add rows, gathered by day first so that tasks do not each write a file per day."""
+    out = df.hint("rebalance", day_col) if day_col in df.columns else df
+    out.write.insertInto(table, overwrite=False)
 
 
 def evolve_and_backfill(
