@@ -273,8 +273,8 @@ def c2(spark, sf):
 )
 def c3(spark, sf):
     found = targets_and_sources(scripts(spark, sf))
-    used = found.select(F.explode("sources").alias("table_name"))
-    made = found.select(F.explode("targets").alias("table_name"))
+    used = found.select(F.explode_outer("sources").alias("table_name")).where("table_name IS NOT NULL")
+    made = found.select(F.explode_outer("targets").alias("table_name")).where("table_name IS NOT NULL")
     return C.missing_outputs(used, made)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import identifiers, keywords, lines_of, match_units, substrings, term_pattern
-from ..session import StageArea
+from ..session import StageArea, spread
 from .windows import rank_top
 
 # Weight of one keyword hit per kind of catalog text, and the match bar.
@@ -25,7 +25,7 @@ MATCH_FROM = 0.3
 
 def query_keywords(queries: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, keyword), distinct per query."""
-    return queries.select(key, F.explode(keywords(text)).alias("keyword"))
+    return spread(queries.select(key, text), key).select(key, F.explode(keywords(text)).alias("keyword"))
 
 
 def score_catalog(
@@ -124,7 +124,8 @@ def search_corpus(docs: DataFrame, terms: Sequence[str], key: str, text: str = "
         )
 
     return (
-        docs.withColumn("_lines", lines_of(text))
+        spread(docs.select(key, text), key)
+        .withColumn("_lines", lines_of(text))
         .withColumn("_hit", F.explode(F.array(*[hit(t) for t in wanted])))
         .where(F.size("_hit.hits") > 0)
         .select(
@@ -217,7 +218,8 @@ def rare_token_edges(items: DataFrame, key: str, text: str) -> DataFrame:
     integer ids name all items of a rare token, so one aggregation with partial sums is
     enough and frequent tokens are reduced before they are shuffled.
     """
-    tokens = items.select(F.col(key).cast("bigint").alias("id"), F.explode(identifiers(text)).alias("token"))
+    rows = spread(items.select(key, text), key)
+    tokens = rows.select(F.col(key).cast("bigint").alias("id"), F.explode(identifiers(text)).alias("token"))
     stats = tokens.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("src"), F.max("id").alias("hi"),
         F.sum(F.col("id").cast("decimal(38,0)")).alias("total"),
@@ -250,8 +252,9 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
             .where("u <> v")
             .distinct()
         )
-        nxt = stage.save(small, f"edges-{i}")
-        mark = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        nxt, mark = stage.save_observed(
+            small, f"edges-{i}", n=F.count(F.lit(1)), digest=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        )
         stage.drop(f"edges-{i - 1}")
         current = nxt
         if mark == last:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_col
 from ..functions.text import count_matches, lines_of
-from ..session import StageArea
+from ..session import StageArea, spread
 
 # Table-name prefixes by warehouse layer, and the shortest such name.
 LAYER_PREFIXES = (
@@ -42,7 +42,8 @@ NOT_ALIASES = (
 def bare(sql: Column | str) -> Column:
     """Script text without comments, string literals emptied."""
     c = F.regexp_replace(as_col(sql), r"(?s)/\*.*?\*/", " ")
-    c = F.regexp_replace(c, r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''")
+    # unrolled and possessive: no recursion on long literals
+    c = F.regexp_replace(c, r"'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"", "''")
     return F.regexp_replace(c, r"--[^\n]*", " ")
 
 
@@ -50,18 +51,19 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
-def _zip(**arrays: Column) -> Column:
-    """Array of structs with the given field names, each array evaluated once."""
-    (first, head), *rest = arrays.items()
+def _parts(text: Column, pattern: str, **groups: int) -> Column:
+    """Array of structs with the named groups of every match. The text is searched once;
+    groups are read from the short matches."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda m: F.struct(*[F.regexp_extract(m, pattern, g).alias(n) for n, g in groups.items()]),
+    )
 
-    def widen(seen: list[str], name: str):
-        return lambda s, v: F.struct(*[s[n].alias(n) for n in seen], v.alias(name))
 
-    out, seen = F.transform(head, lambda v: F.struct(v.alias(first))), [first]
-    for name, arr in rest:
-        out = F.zip_with(out, arr, widen(list(seen), name))
-        seen.append(name)
-    return out
+def _each(df: DataFrame, arr: Column | str, name: str, *keep: str) -> DataFrame:
+    """One row per array element. The outer form with a filter behind it keeps the planner
+    from pushing a non-empty test, and with it the whole extraction, below the projection."""
+    return df.select(*keep, F.explode_outer(arr).alias(name)).where(F.col(name).isNotNull())
 
 
 def _lowered(names: Column) -> Column:
@@ -70,7 +72,7 @@ def _lowered(names: Column) -> Column:
 
 def _cleaned(scripts: DataFrame) -> DataFrame:
     """Cleaned once per script, before the extractions read it several times."""
-    return scripts.withColumn("_clean", bare("sql_text"))
+    return spread(scripts.select("script_id", "sql_text"), "script_id").withColumn("_clean", bare("sql_text"))
 
 
 def targets_and_sources(scripts: DataFrame) -> DataFrame:
@@ -84,24 +86,24 @@ def targets_and_sources(scripts: DataFrame) -> DataFrame:
 
 def table_lineage(scripts: DataFrame) -> DataFrame:
     """Distinct (script_id, source, target) edges, anchored on FROM and JOIN."""
-    edges = targets_and_sources(scripts).select(
-        "script_id", F.explode("targets").alias("target"), "sources"
+    pairs = F.flatten(
+        F.transform(
+            "targets",
+            lambda t: F.transform(
+                F.filter("sources", lambda s: s != t), lambda s: F.struct(s.alias("source"), t.alias("target"))
+            ),
+        )
     )
-    return edges.select("script_id", F.explode("sources").alias("source"), "target").where("source <> target")
+    return _each(targets_and_sources(scripts), pairs, "e", "script_id").select("script_id", "e.source", "e.target")
 
 
 def column_lineage(scripts: DataFrame) -> DataFrame:
     """(script_id, target, target_field, source_table, source_field) of simple
     ``alias.column as name`` items in the select after the insert."""
     text = F.col("_clean")
-    tables, names = _found(text, ALIASED, 1), _found(text, ALIASED, 2)
-    pairs = F.filter(
-        _zip(a=F.transform(names, lambda n: F.lower(n)), t=tables),
-        lambda p: ~p["a"].isin(*NOT_ALIASES),
-    )
+    pairs = F.filter(_parts(text, ALIASED, t=1, a=2), lambda p: ~F.lower(p["a"]).isin(*NOT_ALIASES))
     body = F.regexp_extract(text, r"(?is)insert\s+overwrite\s+table\s+\w+\.\w+.*?\bselect\s+(.*?)\s+from\b", 1)
-    item = r"(?i)\b([a-zA-Z_]\w*)\.([a-zA-Z_]\w*)\s+as\s+(\w+)"
-    fields = _zip(a=_found(body, item, 1), f=_found(body, item, 2), o=_found(body, item, 3))
+    fields = _parts(body, r"(?i)\b([a-zA-Z_]\w*)\.([a-zA-Z_]\w*)\s+as\s+(\w+)", a=1, f=2, o=3)
     rows = _cleaned(scripts).select(
         "script_id",
         F.lower(F.regexp_extract(text, TARGET, 1)).alias("target"),
@@ -109,7 +111,7 @@ def column_lineage(scripts: DataFrame) -> DataFrame:
         F.explode(fields).alias("_f"),
     )
     # an alias used twice resolves to its last table
-    match = F.filter("_p", lambda p: p["a"] == F.lower("_f.a"))
+    match = F.filter("_p", lambda p: F.lower(p["a"]) == F.lower("_f.a"))
     return rows.select(
         "script_id",
         "target",
@@ -140,8 +142,8 @@ def impact(
             .join(seen, "table_name", "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        frontier = stage.save(step)
-        if frontier.isEmpty():
+        frontier, found = stage.save_observed(step, n=F.count(F.lit(1)))
+        if not found["n"]:
             break
         seen = seen.unionByName(frontier)
     else:
@@ -221,7 +223,8 @@ def audit(scripts: DataFrame) -> DataFrame:
         return F.array_compact(F.array(*found))
 
     return (
-        scripts.select("script_id", lines.alias("_lines"))
+        spread(scripts.select("script_id", "sql_text"), "script_id")
+        .select("script_id", lines.alias("_lines"))
         .select("script_id", F.explode(F.flatten(F.transform("_lines", violations))).alias("v"))
         .select("script_id", "v.rule", "v.severity", F.col("v.line").cast("bigint").alias("line"))
     )
@@ -291,41 +294,33 @@ def mine_metrics(scripts: DataFrame) -> DataFrame:
     aggregate calls, the first per id.
     """
     text = F.col("sql_text")
-    noted = F.transform(
-        _zip(**{n: _found(text, METRIC_COMMENT, i) for i, n in enumerate(("i", "n", "e", "f", "u"), 1)}),
-        lambda m: F.struct(
-            m["i"].alias("metric_id"),
-            F.trim(m["n"]).alias("name"),
-            F.trim(m["e"]).alias("expression"),
-            F.coalesce(F.trim(m["f"]), F.lit("")).alias("filter"),
-            F.coalesce(F.trim(m["u"]), F.lit("")).alias("unit"),
-        ),
+
+    def metric(id_: Column, name: Column, expression: Column, cond: Column, unit: Column) -> Column:
+        return F.struct(
+            id_.alias("metric_id"), F.trim(name).alias("name"), F.trim(expression).alias("expression"),
+            F.trim(cond).alias("filter"), F.trim(unit).alias("unit"),
+        )
+
+    none = F.lit("")
+    found = spread(scripts.select("script_id", "sql_text"), "script_id").select(
+        "script_id",
+        _parts(text, METRIC_COMMENT, i=1, n=2, e=3, f=4, u=5).alias("_noted"),
+        _parts(text, AGG_CALL, f=1, c=2, x=0).alias("_called"),
     )
+    noted = F.transform("_noted", lambda m: metric(m["i"], m["n"], m["e"], m["f"], m["u"]))
     called = F.transform(
-        _zip(f=_found(text, AGG_CALL, 1), c=_found(text, AGG_CALL, 2), x=_found(text, AGG_CALL, 0)),
-        lambda m: F.struct(
-            F.concat(F.lower(m["f"]), F.lit("_"), m["c"]).alias("metric_id"),
-            m["c"].alias("name"),
-            m["x"].alias("expression"),
-            F.lit("").alias("filter"),
-            F.lit("").alias("unit"),
-        ),
-    )
-    chosen = scripts.select(
-        "script_id",
-        F.when(F.size(noted) > 0, F.reverse(noted)).otherwise(called).alias("_m"),
+        "_called", lambda m: metric(F.concat(F.lower(m["f"]), F.lit("_"), m["c"]), m["c"], m["x"], none, none)
     )
+    chosen = found.select("script_id", F.when(F.size("_noted") > 0, F.reverse(noted)).otherwise(called).alias("_m"))
     first = F.filter(
         "_m", lambda m, i: F.array_position(F.transform("_m", lambda x: x["metric_id"]), m["metric_id"]) == i + 1
     )
-    return chosen.select("script_id", F.inline(first))
+    return _each(chosen, first, "m", "script_id").select("script_id", "m.*")
 
 
 def unknown_tables(scripts: DataFrame, catalog: DataFrame) -> DataFrame:
     """(script_id, table_name) read by a script, not in the catalog and not made by it."""
-    used = targets_and_sources(scripts).select(
-        "script_id", F.explode(F.array_except("sources", "targets")).alias("table_name")
-    )
+    used = _each(targets_and_sources(scripts), F.array_except("sources", "targets"), "table_name", "script_id")
     known = catalog.select(F.lower("table_name").alias("table_name")).distinct()
     return used.join(known, "table_name", "left_anti").select("script_id", "table_name")
 
@@ -370,7 +365,7 @@ def mine_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         return F.regexp_like(n, F.lit(prefix)) & (F.length(n) >= MIN_TABLE_NAME)
 
     tokens = _found(F.lower(as_col(text)), r"([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)")
-    split = docs.select(key, F.transform(tokens, lambda t: F.split(t, r"\.")).alias("_tokens"))
+    split = spread(docs.select(key, text), key).select(key, F.transform(tokens, lambda t: F.split(t, r"\.")).alias("_tokens"))
 
     def marked(parts: Column) -> Column:
         """Parts with flags: right side of a table-like pair, left side of one."""

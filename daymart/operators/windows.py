@@ -31,11 +31,11 @@ def rolling_mean(
     """
     daily = df.groupBy(*keys, day).agg(F.sum(value).alias(value))
     w = Window.partitionBy(*keys).orderBy("_dn").rangeBetween(-(n - 1), 0)
-    total = F.sum(value).over(w)
     return (
         daily.withColumn("_dn", F.unix_date(day_to_date(day)))
-        .withColumn(out, F.when(total != 0, safe_div(total, F.lit(n))))
-        .drop("_dn")
+        .withColumn("_total", F.sum(value).over(w))
+        .withColumn(out, F.when(F.col("_total") != 0, safe_div("_total", F.lit(n))))
+        .drop("_dn", "_total")
     )
 
 

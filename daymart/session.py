@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -82,8 +82,28 @@ class StageArea:
         df.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def save_observed(self, df: DataFrame, name: str | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
+        """Save and return aggregates of the written rows, taken while writing."""
+        seen = Observation()
+        saved = self.save(df.observe(seen, *[m.alias(n) for n, m in metrics.items()]), name)
+        return saved, seen.get
+
     def drop(self, name: str) -> None:
         """Delete one stage that no live frame reads any more."""
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(self.path(name))
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy row work all task slots when the input is too small to fill them.
+
+    An input of at least one scan split per slot is left alone, so at scale nothing is
+    shuffled; below that the shuffle moves less than one split per slot.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(slots, *keys) if size < slots * split else df
