@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import PySparkException
@@ -90,19 +89,14 @@ def idempotent(fn: Callable[[], DataFrame], keys: Sequence[str]) -> DataFrame:
     return diff_datasets(first, second, keys, cols).groupBy("state").agg(F.count(F.lit(1)).alias("keys"))
 
 
-_FILTERS = re.compile(r"PartitionFilters: \[(.*?)\](?:,|\n|$)")
-
-
-def scan_filters(df: DataFrame) -> list[str]:
-    """The partition filters of every file scan in the plan."""
-    plan = df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
+def scan_filters(df: DataFrame) -> list[int]:
+    """Number of partition filters of every scan of a partitioned table in the plan."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
     found = []
-    for block in re.split(r"\n\s*\n", plan):
-        if "Scan parquet" in block or "Scan orc" in block or "Scan text" in block:
-            m = re.search(r"PartitionFilters: \[(.*)\]", block)
-            found.append(m.group(1) if m else "")
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "FileSourceScanExec" and leaf.relation().partitionSchema().size():
+            found.append(leaf.partitionFilters().size())
     return found
 
 

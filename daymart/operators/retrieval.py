@@ -268,7 +268,5 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
 
 def group_by_rare_tokens(items: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, group_id): items linked through shared rare tokens; others are alone."""
-    found = components(items.sparkSession, rare_token_edges(items, key, text))
-    return items.select(key).join(found, F.col(key) == F.col("id"), "left").select(
-        key, F.coalesce("component", F.col(key)).alias("group_id")
-    )
+    found = components(items.sparkSession, rare_token_edges(items, key, text)).withColumnRenamed("id", key)
+    return items.select(key).join(found, key, "left").select(key, F.coalesce("component", key).alias("group_id"))
