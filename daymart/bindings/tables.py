@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..session import StageArea
 from ..sources import tables as io
 from . import bind
-from .frames import EVENT_BIZDATE, ITEMS, ORDERS, SESSIONS, items, orders, sessions
+from .frames import EVENT_BIZDATE, ITEMS, ORDERS, SESSIONS, items, orders, sessions, table
 
 TOTALS = "inc_day:s sessions:i seconds:d"
 BY_DAY = f"SELECT inc_day, count(*) AS sessions, sum(duration_seconds) AS seconds FROM {SESSIONS}"
@@ -133,9 +133,11 @@ def io10(spark, sf):
     f"SELECT user_id, count(*) AS sessions, sum(duration_seconds) AS seconds FROM {SESSIONS} GROUP BY 1 HAVING count(*) > 50",
 )
 def io11(spark, sf):
-    staged = StageArea(spark, "tmp_users").save(
-        sessions(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("duration_seconds").alias("seconds"))
+    users = sessions(spark, sf).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("duration_seconds").alias("seconds")
     )
+    name = f"tmp_users_{uuid.uuid4().hex[:10]}"
+    staged = io.stage(users, name, StageArea(spark, "stage").path(name))
     return staged.where("sessions > 50")
 
 
@@ -166,3 +168,82 @@ def io13(spark, sf):
     return spark.table(name).groupBy("inc_day").agg(
         F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("is_long"), F.lit(0)).alias("long_sessions")
     )
+
+
+@bind(
+    "io3_describe_table",
+    "column:s type:s comment:s is_partition:b",
+    """SELECT * FROM (VALUES ('session_id', 'bigint', 'primary key', FALSE), ('user_id', 'bigint', 'who was active', FALSE),
+      ('duration_seconds', 'decimal(18,2)', 'length in seconds', FALSE), ('inc_day', 'string', 'day partition', TRUE)) AS v("column", type, comment, is_partition)""",
+)
+def io3(spark, sf):
+    name = new_table(spark, "describe")
+    io.write_partitions(rows(spark, sf), name)
+    return io.describe_table(spark, name)
+
+
+@bind(
+    "io4_list_tables",
+    "database:s comment:s tables:i",
+    "SELECT 'default' AS database, 'session facts' AS comment, 1 AS tables",
+)
+def io4(spark, sf):
+    name = new_table(spark, "list")
+    io.write_partitions(rows(spark, sf), name)
+    found = io.list_tables(spark, "default", name.upper())
+    return found.groupBy(F.element_at(F.split("database", r"\."), -1).alias("database"), "comment").agg(F.count(F.lit(1)).alias("tables"))
+
+
+@bind(
+    "io7_scan_corpus",
+    "item_id:i kind:s chars:i",
+    "SELECT item_id, 'txt' AS kind, length(text) + 1 AS chars FROM benchmark",
+)
+def io7(spark, sf):
+    root = StageArea(spark, "corpus").path("files")
+    table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(root)
+    docs = io.scan_corpus(spark, root, ["txt"])
+    return docs.select(
+        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), "kind", F.length("text").alias("chars")
+    )
+
+
+@bind(
+    "c6_partition_pruning",
+    "query:s sessions:i unpruned_scans:i partitions:i over_limit:b",
+    f"""SELECT 'day' AS query, count(*) AS sessions, 0 AS unpruned_scans, count(DISTINCT inc_day) AS partitions, count(DISTINCT inc_day) > 20 AS over_limit
+      FROM {SESSIONS} WHERE inc_day BETWEEN '20240110' AND '20240112'
+      UNION ALL SELECT 'all', count(*), 1, count(DISTINCT inc_day), count(DISTINCT inc_day) > 20 FROM {SESSIONS}""",
+)
+def c6(spark, sf):
+    from ..operators import contracts
+
+    name = new_table(spark, "prune")
+    io.write_partitions(rows(spark, sf), name)
+    scans = {"day": io.scan(spark, name, F.col("inc_day").between("20240110", "20240112")), "all": spark.table(name)}
+    out = None
+    for query, df in scans.items():
+        part = contracts.scanned_partitions(df, "inc_day", 20)
+        part = part.withColumn("sessions", df.agg(F.count(F.lit(1))).scalar()).withColumns({"query": F.lit(query), "unpruned_scans": F.lit(contracts.unpruned_scans(df))})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@bind(
+    "c1_contract_checked_write",
+    "inc_day:s sessions:i issues:i",
+    f"SELECT inc_day, count(*) AS sessions, 2 AS issues FROM {SESSIONS} GROUP BY 1",
+)
+def c1(spark, sf):
+    from ..operators import contracts
+
+    good = rows(spark, sf)
+    # two columns swapped: two names out of place
+    swapped = good.select("user_id", "session_id", "duration_seconds", "inc_day")
+    issues = contracts.check_contract(swapped, SCHEMA, ["inc_day"], dynamic=True)
+    if not contracts.check_contract(good, SCHEMA, ["inc_day"], dynamic=True).isEmpty():
+        raise ValueError("the output does not match its target")
+    name = new_table(spark, "contract")
+    io.write_partitions(good, name)
+    written = spark.table(name).groupBy("inc_day").agg(F.count(F.lit(1)).alias("sessions"))
+    return written.withColumn("issues", issues.agg(F.count(F.lit(1))).scalar())

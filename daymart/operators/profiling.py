@@ -50,13 +50,19 @@ def choose_columns(schema: T.StructType, mentioned: str = "") -> ColumnChoice:
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, cnt) of several columns in one scan and one shuffle."""
+    """(column, value, cnt) of several columns in one scan and one shuffle.
+
+    Columns travel as small numbers; counts are combined before the shuffle, so a value
+    that fills a column costs one row per task.
+    """
     cells = df.select(
         F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+            F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)])
         ).alias("cell")
     )
-    return cells.groupBy("cell.column", "cell.value").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = cells.groupBy("cell.c", "cell.value").agg(F.count(F.lit(1)).alias("cnt"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return counts.select(F.get(names, F.col("c")).alias("column"), "value", "cnt")
 
 
 def _column_stats(counts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ term instead of comparing every query with every text.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -142,14 +142,74 @@ def search_corpus(docs: DataFrame, terms: Sequence[str], key: str, text: str = "
 # --- vector top-k -------------------------------------------------------------------
 
 
-def _blocked(df: DataFrame, key: str, vec: str, blocks: int, copies: int, own: str, other: str) -> DataFrame:
-    """Rows with their own block and one copy per block of the other side."""
-    return df.select(
-        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own),
-        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other),
-        F.col(key).cast("bigint").alias("_id"),
-        F.col(vec).cast("array<double>").alias("_v"),
+def _unit(rows: pd.Series) -> np.ndarray:
+    m = np.stack(rows.to_numpy()).astype(np.float64)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query row the k best scores and their ids, ties by id; ids are per row."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def _rows(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, threshold: float) -> pd.DataFrame:
+    out = pd.DataFrame(
+        {"query_id": np.repeat(query_ids, scores.shape[1]), "match_id": ids.ravel(), "score": scores.ravel()}
     )
+    return out[out["score"] >= threshold]
+
+
+CELLS = 4_000_000  # scores held at once by a task
+PARTIAL = "query_id bigint, match_id bigint, score double"
+
+
+def _scan_with_queries(queries: DataFrame, corpus: DataFrame, k: int, threshold: float, digits: int) -> DataFrame:
+    """One pass over the corpus where it lies, with a query matrix of checked size."""
+    spark = corpus.sparkSession
+    pdf = queries.toPandas()
+    shared = spark.sparkContext.broadcast((pdf["_id"].to_numpy(), _unit(pdf["_v"])))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query_ids, q = shared.value
+        step = max(1, CELLS // len(query_ids))
+        top = None
+        for c in (b[i : i + step] for b in batches for i in range(0, len(b), step)):
+            scores = np.round(q @ _unit(c["_v"]).T, digits) + 0.0
+            ids = np.broadcast_to(c["_id"].to_numpy(), scores.shape)
+            if top is not None:
+                scores, ids = np.hstack([top[0], scores]), np.hstack([top[1], ids])
+            top = _best(scores, ids, k)
+        if top is not None:
+            yield _rows(query_ids, *top, threshold)
+
+    return corpus.mapInPandas(scan, PARTIAL)
+
+
+def _block_pairs(
+    queries: DataFrame, corpus: DataFrame, qb: int, cb: int, k: int, threshold: float, digits: int
+) -> DataFrame:
+    """Both sides in hash blocks of bounded size; one matrix product per block pair."""
+
+    def blocked(df: DataFrame, blocks: int, copies: int, own: str, other: str) -> DataFrame:
+        return df.select(
+            F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other),
+            "_id",
+            "_v",
+        )
+
+    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": [], "match_id": [], "score": []})
+        scores = np.round(_unit(q["_v"]) @ _unit(c["_v"]).T, digits) + 0.0
+        ids = np.broadcast_to(c["_id"].to_numpy(), scores.shape)
+        return _rows(q["_id"].to_numpy(), *_best(scores, ids, k), threshold)
+
+    left = blocked(queries, qb, cb, "qb", "cb").groupBy("qb", "cb")
+    right = blocked(corpus, cb, qb, "cb", "qb").groupBy("qb", "cb")
+    return left.cogroup(right).applyInPandas(pair, PARTIAL)
 
 
 def top_k(
@@ -159,49 +219,27 @@ def top_k(
     vec: str,
     k: int = 5,
     threshold: float = 0.0,
-    block_rows: int = 4096,
+    block_rows: int = 2048,
     digits: int = 6,
 ) -> DataFrame:
     """Exact top-k by cosine for many queries: (query_id, match_id, score, rank).
 
-    Both sides are cut into bounded hash blocks; each block pair is one matrix product in
-    one task and forwards k rows per query. Nothing is broadcast or collected, and memory
-    per task is set by ``block_rows``. Scores are compared at ``digits`` decimals so that
-    equal vectors tie and fall back to the id.
+    Up to ``block_rows`` queries (counted first) are broadcast as one matrix and the corpus
+    is scanned without a shuffle. More queries are cut, like the corpus, into blocks of
+    that size, and every block pair is one task; nothing is broadcast then. Either way a
+    task forwards at most k rows per query, and its memory follows from ``block_rows``.
+    Scores are compared at ``digits`` decimals so that equal vectors tie and fall back to
+    the id.
     """
-    spark = corpus.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    nq, nc = queries.count(), corpus.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    cb = max(1, math.ceil(nc / block_rows))
-    if qb * cb < slots:  # small inputs: still use the free slots
-        cb = min(max(cb, math.ceil(slots / qb)), max(1, nc // 64))
-
-    def unit(rows: pd.Series) -> np.ndarray:
-        m = np.stack(rows.to_numpy())
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "match_id": [], "score": []})
-        c = c.sort_values("_id", kind="stable")
-        ids = c["_id"].to_numpy()
-        scores = np.round(unit(q["_v"]) @ unit(c["_v"]).T, digits) + 0.0
-        n = min(k, len(ids))
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-        out = pd.DataFrame(
-            {
-                "query_id": np.repeat(q["_id"].to_numpy(), n),
-                "match_id": ids[order].ravel(),
-                "score": np.take_along_axis(scores, order, axis=1).ravel(),
-            }
-        )
-        return out[out["score"] >= threshold]
-
-    left = _blocked(queries, key, vec, qb, cb, "qb", "cb").groupBy("qb", "cb")
-    right = _blocked(corpus, key, vec, cb, qb, "cb", "qb").groupBy("qb", "cb")
-    partial = left.cogroup(right).applyInPandas(best, "query_id bigint, match_id bigint, score double")
+    queries, corpus = (df.select(F.col(key).cast("bigint").alias("_id"), F.col(vec).alias("_v")) for df in (queries, corpus))
+    nq = queries.count()
+    if nq == 0:
+        partial = corpus.sparkSession.createDataFrame([], PARTIAL)
+    elif nq <= block_rows:
+        partial = _scan_with_queries(queries, corpus, k, threshold, digits)
+    else:
+        qb, cb = math.ceil(nq / block_rows), max(1, math.ceil(corpus.count() / block_rows))
+        partial = _block_pairs(queries, corpus, qb, cb, k, threshold, digits)
     return rank_top(partial, ["query_id"], [F.desc("score"), F.asc("match_id")], k)
 
 

@@ -114,9 +114,13 @@ def join_path(model: DomainModel, frames: Mapping[str, DataFrame], path: Sequenc
 
 
 def churned(df: DataFrame, entity: str, day: str, bizdate: str, days: int = 30) -> DataFrame:
-    """Entities with their last day and a flag for no activity in the last ``days`` days."""
+    """Entities with their last day and a flag for no activity in the last ``days`` days.
+
+    The day is compared as a number, which keeps the aggregation hash-based.
+    """
+    last = F.max(F.col(day).cast("int")).cast("string")
     gap = F.datediff(day_to_date(F.lit(bizdate)), day_to_date("last_day"))
-    return df.groupBy(entity).agg(F.max(day).alias("last_day")).withColumn("churned", gap >= days)
+    return df.groupBy(entity).agg(last.alias("last_day")).withColumn("churned", gap >= days)
 
 
 def slow_moving(turnover_days: Column | str, limit: float = 60) -> Column:

@@ -82,9 +82,9 @@ CORPUS_SUFFIXES = ("sql", "md", "json")
 SKIPPED_FOLDERS = (".git", ".venv", "__pycache__", "node_modules", ".claude", ".tmp", "logs", ".idea", ".pytest_cache")
 
 
-def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
+def scan_corpus(spark: SparkSession, root: str, suffixes: Sequence[str] = CORPUS_SUFFIXES) -> DataFrame:
     """(path, kind, text): one row per script, document or model file below a folder."""
-    glob = "*.{" + ",".join(CORPUS_SUFFIXES) + "}"
+    glob = "*.{" + ",".join(suffixes) + "}"
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     path = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
     below = F.regexp_replace(path, "^.*?" + re.escape(root.rstrip("/")) + "/", "")
@@ -184,9 +184,12 @@ def evolve_and_backfill(
     stage.drop("rows")
 
 
-def stage(df: DataFrame, table: str) -> DataFrame:
+def stage(df: DataFrame, table: str, location: str | None = None) -> DataFrame:
     """Rebuildable ``tmp_`` stage: replaced on every run, read back as a table."""
     if not table.rsplit(".", 1)[-1].startswith("tmp_"):
         raise ValueError("stage tables start with tmp_")
-    df.write.mode("overwrite").saveAsTable(table)
+    writer = df.write.mode("overwrite")
+    if location:
+        writer = writer.option("path", location)
+    writer.saveAsTable(table)
     return df.sparkSession.table(table)
