@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import days, exprs
 from ..plans.model import FilterRule
@@ -64,7 +65,7 @@ def p4(spark, sf):
     rows = table(spark, sf, "orders").select(
         "o_orderkey", "o_totalprice", F.year("o_orderdate").alias("o_year"), F.col("o_orderpriority").alias("prio")
     )
-    schema = spark.createDataFrame([], "o_orderkey string, o_totalprice decimal(18,1), o_year bigint, prio bigint").schema
+    schema = StructType.fromDDL("o_orderkey string, o_totalprice decimal(18,1), o_year bigint, prio bigint")
     return exprs.conform(rows, schema, dirty=True)
 
 

@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.days import day_of
 from ..functions.exprs import classify, money
-from ..sources.tables import load
+from ..sources.tables import load, read_files
 
 BIZDATE = "19980615"
 EVENT_BIZDATE = "20240125"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return load(spark, sf, name)
+    """A shared table. Its schema is read from the file once per process; each further
+    read then needs no footer job."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = load(spark, sf, name).schema
+    return read_files(spark, path, "parquet", _SCHEMAS[path])
 
 
 STATUS = {"50": "o_orderpriority = '5-LOW'", "20": "o_orderstatus = 'F'", "30": "o_orderstatus = 'O'"}

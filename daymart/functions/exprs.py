@@ -56,9 +56,21 @@ def fill_defaults(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame
 
 
 def conform(df: DataFrame, schema: T.StructType, dirty: bool = False) -> DataFrame:
-    """Cast to a target schema in its column order; ``dirty`` turns bad values into NULL."""
-    cast = (lambda c, t: c.try_cast(t)) if dirty else (lambda c, t: c.cast(t))
-    return df.select(*[cast(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields])
+    """Cast to a target schema in its column order; ``dirty`` turns bad values into NULL.
+
+    Text that cannot be a whole number is set to NULL before the cast: a failing cast
+    costs an exception per value.
+    """
+
+    def cast(f: T.StructField) -> Column:
+        c = F.col(f.name)
+        if not dirty:
+            return c.cast(f.dataType)
+        if isinstance(f.dataType, T.IntegralType) and isinstance(df.schema[f.name].dataType, T.StringType):
+            c = F.when(c.rlike(r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$"), c)
+        return c.try_cast(f.dataType)
+
+    return df.select(*[cast(f).alias(f.name) for f in schema.fields])
 
 
 def decode_enum(col: Column | str, mapping: Mapping[str, str], default: str | None = None) -> Column:

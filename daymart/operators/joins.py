@@ -156,7 +156,8 @@ def grid_gaps(
     least once are reported; the expected number is one scalar.
     """
     present = facts.select(*dims, day).distinct()
-    expected = (days if days is not None else facts).agg(F.count_distinct(day)).scalar()
+    # the subquery shares the exchange of the distinct tuples
+    expected = (days if days is not None else present).agg(F.count_distinct(day)).scalar()
     return (
         present.groupBy(*dims)
         .agg(F.count(F.lit(1)).alias("days_present"))

@@ -194,16 +194,16 @@ def measure_suite(sources: Mapping[str, DataFrame], checks: Sequence[Check]) ->
     parts: list[DataFrame] = []
     shared: dict[str, list[Check]] = {}
     for c in checks:
-        try:
-            alone = _single(c, sources)
-            alone.schema  # analysis only, no job
+        try:  # analysis only, no job
+            if c.frame is not None:
+                alone = _single(c, sources)
+                alone.schema
+                parts.append(alone)
+            else:
+                sources[c.source].agg(_measure(c)).schema
+                shared.setdefault(c.source, []).append(c)
         except (PySparkException, KeyError) as e:
             parts.append(_error_frame(spark, c, e))
-            continue
-        if c.frame is not None:
-            parts.append(alone)
-        else:
-            shared.setdefault(c.source, []).append(c)
     parts += [_shared_pass(sources[s], cs) for s, cs in shared.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -216,7 +216,7 @@ def evaluate(results: DataFrame) -> DataFrame:
     """
     shape = r"^\s*(>=|<=|!=|>|<|=)\s*(-?[0-9]+(?:\.[0-9]+)?)\s*(%?)\s*$"
     op = F.regexp_extract("threshold", shape, 1)
-    number = F.regexp_extract("threshold", shape, 2).try_cast("double")
+    number = F.nullif(F.regexp_extract("threshold", shape, 2), F.lit("")).cast("double")
     bound = F.when(F.regexp_extract("threshold", shape, 3) == "%", number / 100).otherwise(number)
     m = F.col("measured")
     abnormal = (

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call-site capture for every column expression slows plan building down
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # yyyyMMdd day partitions are strings; inference would turn them into ints
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
