@@ -17,14 +17,14 @@ DAILY = f"""SELECT inc_day, count(DISTINCT order_id) AS order_count, count(DISTI
   FROM {ORDERS} WHERE {PAID} GROUP BY 1"""
 
 
-@bind("b1_commerce_daily", "inc_day:s order_count:i customer_count:i gmv:d avg_order_amount:r6", DAILY)
+@bind("b1_commerce_daily", "inc_day:s order_count:i customer_count:i gmv:d avg_order_amount:d", DAILY)
 def b1(spark, sf):
     return M.commerce_daily(orders(spark, sf), PAID)
 
 
 @bind(
     "b2_commerce_daily_refunds",
-    "inc_day:s order_count:i customer_count:i gmv:d avg_order_amount:r6 refund_order_count:i refund_amount:d",
+    "inc_day:s order_count:i customer_count:i gmv:d avg_order_amount:d refund_order_count:i refund_amount:d",
     f"""SELECT inc_day, order_count, customer_count, gmv, avg_order_amount, coalesce(refund_order_count, 0) AS refund_order_count,
       coalesce(refund_amount, 0) AS refund_amount FROM ({DAILY}) FULL JOIN
       (SELECT inc_day, count(DISTINCT order_id) AS refund_order_count, sum(item_amount) AS refund_amount FROM {ITEMS}

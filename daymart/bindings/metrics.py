@@ -21,7 +21,7 @@ PAID = "order_status IN ('20','30','40')"
 
 @bind(
     "m1_m4_order_metrics",
-    "inc_day:s gmv:d order_count:i paid_orders:i pay_rate:r6 avg_order_value:r6",
+    "inc_day:s gmv:d order_count:i paid_orders:i pay_rate:d avg_order_value:d",
     f"""SELECT inc_day, sum(pay_amount) FILTER (WHERE {PAID}) AS gmv, count(DISTINCT order_id) AS order_count,
       count(DISTINCT order_id) FILTER (WHERE {PAID}) AS paid_orders,
       CAST(count(DISTINCT order_id) FILTER (WHERE {PAID}) AS DOUBLE) * 100 / count(DISTINCT order_id) AS pay_rate,
@@ -42,7 +42,7 @@ def _metric(key: str, metric: str, kind: str, sql: str) -> None:
 _metric("m1_gmv", "gmv", "d", f"sum(pay_amount) FILTER (WHERE {PAID})")
 _metric("m2_order_count", "order_count", "i", "count(DISTINCT order_id)")
 _metric("m3_pay_rate", "pay_rate", "r6", f"CAST(count(DISTINCT order_id) FILTER (WHERE {PAID}) AS DOUBLE) * 100 / count(DISTINCT order_id)")
-_metric("m4_avg_order_value", "avg_order_value", "r6", f"CAST(sum(pay_amount) FILTER (WHERE {PAID}) AS DOUBLE) / NULLIF(count(DISTINCT order_id) FILTER (WHERE {PAID}), 0)")
+_metric("m4_avg_order_value", "avg_order_value", "d", f"CAST(sum(pay_amount) FILTER (WHERE {PAID}) AS DOUBLE) / NULLIF(count(DISTINCT order_id) FILTER (WHERE {PAID}), 0)")
 
 
 @bind("m5_dau", "inc_day:s dau:i", f"SELECT inc_day, count(DISTINCT user_id) AS dau FROM {SESSIONS} GROUP BY 1")
@@ -220,8 +220,8 @@ def x1(spark, sf):
 @bind(
     "x2_conservation",
     "key:i total:d parts:d",
-    f"""SELECT order_id AS key, pay_amount AS total, parts FROM {ORDERS} JOIN
-      (SELECT order_id, sum(item_amount) AS parts FROM {ITEMS} GROUP BY 1) USING (order_id) WHERE abs(pay_amount - parts) > 0.01""",
+    f"""SELECT order_id AS key, pay_amount AS total, coalesce(parts, 0) AS parts FROM {ORDERS} LEFT JOIN
+      (SELECT order_id, sum(item_amount) AS parts FROM {ITEMS} GROUP BY 1) USING (order_id) WHERE abs(pay_amount - coalesce(parts, 0)) > 0.01""",
 )
 def x2(spark, sf):
     return S.conservation(orders(spark, sf), items(spark, sf), "order_id", "order_id", "pay_amount", "item_amount")

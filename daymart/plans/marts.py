@@ -22,7 +22,7 @@ def commerce_daily(orders: DataFrame, paid: Column | str) -> DataFrame:
             n.alias("order_count"),
             F.count_distinct("customer_id").alias("customer_count"),
             gmv.alias("gmv"),
-            ratio(gmv, n, 6).alias("avg_order_amount"),
+            ratio(gmv, n).alias("avg_order_amount"),
         )
     )
 

@@ -155,10 +155,13 @@ def one_parent(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -
 def conservation(
     parent: DataFrame, child: DataFrame, key: str, child_key: str, total: str, part: str, tol: str = "0.01"
 ) -> DataFrame:
-    """Parents whose total differs from the sum of their parts: (key, total, parts)."""
+    """Parents whose total differs from the sum of their parts: (key, total, parts).
+
+    A parent without parts sums to 0."""
     sums = child.groupBy(F.col(child_key).alias("key")).agg(F.sum(part).alias("parts"))
     rows = parent.select(F.col(key).alias("key"), F.col(total).alias("total"))
-    return rows.join(sums, "key", "inner").where(F.abs(F.col("total") - F.col("parts")) > F.lit(tol).cast("decimal(18,2)"))
+    joined = rows.join(sums, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    return joined.where(F.abs(F.col("total") - F.col("parts")) > F.lit(tol).cast("decimal(18,2)"))
 
 
 def not_in_window(daily: DataFrame, activity: DataFrame, day: str, entity: str, n: int = 30) -> DataFrame:
