@@ -51,7 +51,8 @@ def order_checks() -> list[Q.Check]:
         Q.Check("refutation", "cancelled order above 490000", "orders", Q.breaks("order_status = '50' AND pay_amount > 490000")),
         Q.Check("boundary", "blank priority", "orders", Q.blanks("priority"), weight="Low"),
         Q.Check("boundary", "priority format", "orders", Q.unmatched("priority", "^[1-5]-[A-Z]+$"), weight="Low"),
-        Q.Check("fluctuation", "day volume", "orders", Q.day_volume_change("inc_day", BIZDATE), weight="Low", threshold=">50%"),
+        Q.Check("fluctuation", "day volume", "orders", Q.day_volume_change("inc_day", BIZDATE), weight="Low", threshold=">50%",
+                where=f"inc_day BETWEEN '19980614' AND '{BIZDATE}'"),
     ]
 
 

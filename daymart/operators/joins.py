@@ -110,13 +110,20 @@ def in_scope(
 
 
 def latest_available(
-    df: DataFrame, bizdate: str, day: str = "inc_day", cond: Column | str | None = None
+    df: DataFrame,
+    bizdate: str,
+    day: str = "inc_day",
+    cond: Column | str | None = None,
+    since: str | None = None,
 ) -> DataFrame:
     """Rows of the newest day not after the run date; ``cond`` skips days without such rows.
 
-    The day is a scalar subquery, so partitions are pruned when the query runs.
+    The day is a scalar subquery, so partitions are pruned when the query runs. ``since``
+    bounds the search from below on tables with many partitions.
     """
     known = df.where(F.col(day) <= bizdate)
+    if since is not None:
+        known = known.where(F.col(day) >= since)
     if cond is not None:
         known = known.where(cond)
     newest = known.agg(F.max(day)).scalar()

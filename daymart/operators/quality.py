@@ -1,7 +1,7 @@
 """Data-quality checks that are evaluated on the data.
 
-A check is a measured number and an abnormal-if predicate on it. Checks over one table
-share a single aggregation; cross-table checks bring their own small frame.
+A check is a measured number and an abnormal-if predicate on it. Checks over the same rows of
+a table share a single aggregation; cross-table checks bring their own small frame.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ RESULT_SCHEMA = "category string, name string, weight int, measured double, thre
 @dataclass(frozen=True)
 class Check:
     """One check. Either ``measure`` (an aggregate over ``source``) or ``frame`` (a
-    function of all sources giving one row with a number) is set."""
+    function of all sources giving one row with a number) is set. ``where`` limits the rows
+    of the source, usually to its day partitions, and reaches the scan."""
 
     category: str
     name: str
@@ -40,6 +41,7 @@ class Check:
     frame: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None
     weight: str = "Medium"
     threshold: str = ">0"
+    where: str = ""
 
     @property
     def points(self) -> int:
@@ -177,6 +179,11 @@ def _shared_pass(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
+def _rows(check: Check, sources: Mapping[str, DataFrame]) -> DataFrame:
+    df = sources[check.source]
+    return df.where(check.where) if check.where else df
+
+
 def _measure(check: Check) -> Column:
     return F.expr(check.measure) if isinstance(check.measure, str) else check.measure
 
@@ -185,14 +192,14 @@ def _single(check: Check, sources: Mapping[str, DataFrame]) -> DataFrame:
     if check.frame is not None:
         out = check.frame(sources)
         return out.select(*_result_row(check, F.col(out.columns[0])))
-    return _shared_pass(sources[check.source], [check])
+    return _shared_pass(_rows(check, sources), [check])
 
 
 def measure_suite(sources: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """Lazy frame of measured checks; a check that fails analysis becomes an error row."""
     spark = next(iter(sources.values())).sparkSession
     parts: list[DataFrame] = []
-    shared: dict[str, list[Check]] = {}
+    shared: dict[tuple[str, str], list[Check]] = {}  # by source and row filter
     for c in checks:
         try:  # analysis only, no job
             if c.frame is not None:
@@ -200,11 +207,11 @@ def measure_suite(sources: Mapping[str, DataFrame], checks: Sequence[Check]) ->
                 alone.schema
                 parts.append(alone)
             else:
-                sources[c.source].agg(_measure(c)).schema
-                shared.setdefault(c.source, []).append(c)
+                _rows(c, sources).agg(_measure(c)).schema
+                shared.setdefault((c.source, c.where), []).append(c)
         except (PySparkException, KeyError) as e:
             parts.append(_error_frame(spark, c, e))
-    parts += [_shared_pass(sources[s], cs) for s, cs in shared.items()]
+    parts += [_shared_pass(_rows(cs[0], sources), cs) for cs in shared.values()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

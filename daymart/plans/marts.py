@@ -7,23 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.days import iso_week, monday_of, shift_day, week_start
 from ..functions.exprs import safe_div
-from ..operators.aggs import daily_avg, ratio, sum0
+from ..operators.aggs import daily_avg, sum0
 from ..operators.joins import join_dim
 from ..operators.windows import rolling_mean
 
 
 def commerce_daily(orders: DataFrame, paid: Column | str) -> DataFrame:
     """(inc_day, order_count, customer_count, gmv, avg_order_amount) of paid orders."""
-    gmv, n = F.sum("pay_amount"), F.count_distinct("order_id")
     return (
         orders.where(paid)
         .groupBy("inc_day")
         .agg(
-            n.alias("order_count"),
+            F.count_distinct("order_id").alias("order_count"),
             F.count_distinct("customer_id").alias("customer_count"),
-            gmv.alias("gmv"),
-            ratio(gmv, n).alias("avg_order_amount"),
+            F.sum("pay_amount").alias("gmv"),
         )
+        .withColumn("avg_order_amount", safe_div("gmv", "order_count"))
     )
 
 

@@ -30,6 +30,7 @@ def test_latest_available_skips_empty_days(spark):
     assert bag(joins.latest_available(df, "20240105")) == [("20240102", 0)]
     assert bag(joins.latest_available(df, "20240105", cond="n > 0")) == [("20240101", 1)]
     assert bag(joins.latest_available(df, "20230105")) == []
+    assert bag(joins.latest_available(df, "20240108", since="20240103")) == []
 
 
 def test_fanout_counts_without_multiplying(spark):
@@ -219,6 +220,19 @@ def test_same_source_checks_share_one_scan(spark, folder):
     assert plan.count("FileScan") == 1
 
 
+def test_check_filter_prunes_days(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "20240101"), (None, "20240102")], "n int, inc_day string")
+    rows.write.partitionBy("inc_day").parquet(str(tmp_path / "t"))
+    t = {"t": spark.read.parquet(str(tmp_path / "t"))}
+    checks = [
+        quality.Check("uniqueness", "all", "t", quality.nulls(["n"])),
+        quality.Check("uniqueness", "day", "t", quality.nulls(["n"]), where="inc_day = '20240101'"),
+    ]
+    out = quality.suite(t, checks)
+    assert dict(bag(out, "name", "measured")) == {"all": 1.0, "day": 0.0}
+    assert contracts.unpruned_scans(out) == 1
+
+
 def test_case_file():
     text = "-- [唯一性-key] a\n-- 权重: High\nselect 1;\n-- 预期: 0\n\n-- [x-y] b\n-- threshold: >5\nselect 2\nfrom t;\n"
     a, b = quality.read_cases(text)
