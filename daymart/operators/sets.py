@@ -42,33 +42,34 @@ def line_diff(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> D
 def diff_datasets(old: DataFrame, new: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """State of each key between two outputs: same, changed, added, removed or duplicate.
 
-    Both sides are tagged and grouped once. A key that repeats within one side has no
-    single row to compare and is reported as ``duplicate``; use ``multiset_diff`` there.
+    Equal rows of both sides are counted together first, then per key; both steps are hash
+    aggregations on numbers, and NULLs compare equal. A key that repeats within one side
+    has no single row to compare and is reported as ``duplicate``; use ``multiset_diff``
+    there.
     """
 
-    def side(df: DataFrame, tag: int) -> DataFrame:
-        return df.select(*keys, F.struct(*cols).alias("_row"), F.lit(tag).alias("_side"))
-
-    is_old = F.col("_side") == 0
-    grouped = (
-        side(old, 0)
-        .unionByName(side(new, 1))
-        .groupBy(*keys)
-        .agg(
-            F.count_if(is_old).alias("old_rows"),
-            F.count_if(~is_old).alias("new_rows"),
-            F.max(F.when(is_old, F.col("_row"))).alias("_old"),
-            F.max(F.when(~is_old, F.col("_row"))).alias("_new"),
-        )
+    def side(df: DataFrame, old_row: int) -> DataFrame:
+        return df.select(*keys, *cols, F.lit(old_row).alias("_o"), F.lit(1 - old_row).alias("_n"))
+
+    rows = (
+        side(old, 1)
+        .unionByName(side(new, 0))
+        .groupBy(*keys, *cols)
+        .agg(F.sum("_o").alias("_o"), F.sum("_n").alias("_n"))
+    )
+    per_key = rows.groupBy(*keys).agg(
+        F.sum("_o").alias("old_rows"),
+        F.sum("_n").alias("new_rows"),
+        F.max(F.when((F.col("_o") > 0) & (F.col("_n") > 0), 1).otherwise(0)).alias("_equal"),
     )
     state = (
         F.when((F.col("old_rows") > 1) | (F.col("new_rows") > 1), "duplicate")
         .when(F.col("old_rows") == 0, "added")
         .when(F.col("new_rows") == 0, "removed")
-        .when(F.col("_old").eqNullSafe(F.col("_new")), "same")
+        .when(F.col("_equal") == 1, "same")
         .otherwise("changed")
     )
-    return grouped.withColumn("state", state).drop("_old", "_new")
+    return per_key.withColumn("state", state).drop("_equal")
 
 
 def multiset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
