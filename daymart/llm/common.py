@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: bytes of text that one numpy step works on; a longer document is a step of its own
 CHUNK_BYTES = 2 << 20
@@ -167,3 +168,30 @@ def binary(values: list[bytes]) -> pa.Array:
 def plain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text's bytes, under names of their own, so that no other column can clash."""
     return df.select(column(id_col).alias("doc_id"), raw(text_col).alias("body"))
+
+
+def annotate(
+    docs: DataFrame,
+    start: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    fields: str,
+    text_col: str = "text",
+    keep: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Add columns that Python derives from the text's bytes, one Arrow batch after the other, without a shuffle.
+
+    ``start`` runs once per task and returns the function from a batch's texts to the new columns. ``keep`` names the
+    columns to carry along (all by default); they travel under numbered names, so no name can clash on the way.
+    """
+    keep = tuple(docs.columns) if keep is None else keep
+    names = [f"k{i}" for i in range(len(keep))]
+    inner = docs.select(*[column(c).alias(n) for c, n in zip(keep, names)], raw(text_col).alias("body"))
+    added = StructType.fromDDL(fields)
+    schema = StructType([*inner.schema.fields[:-1], *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            out = work(batch.column(len(names)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *out], names=[*names, *added.names])
+
+    return inner.mapInArrow(run, schema).toDF(*keep, *added.names)
