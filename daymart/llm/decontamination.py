@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,8 +233,6 @@ def _cut(text: str | None, hits: np.ndarray) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the hit word runs cut out of their texts; documents without a hit stay as they are, all rows and
     columns stay. Cutting joins what stood around a run; the text may become empty."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(text: pd.Series, hits: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, h) for t, h in zip(text, hits)], dtype=object)

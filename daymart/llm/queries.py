@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact, mixing, sharding
+from ..session import StageArea
+from . import decontamination, exact, licenses, mixing, sharding, tokens
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +18,18 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    to = StageArea(spark, "token-files").path("out")
+    tokens.write(_read(spark, folder, "documents"), to, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokens.read(spark, to).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.report(_read(spark, folder, "documents"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_read(spark, folder, "documents"), 8)
 
@@ -85,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op5_token_output,
+        op6_license_scan,
         op8_sharding,
         op9_mixing,
         op10_decontamination,
