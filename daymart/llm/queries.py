@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import StageArea
-from . import decontamination, exact, licenses, mixing, sharding, tokens
+from . import decontamination, exact, licenses, mixing, ngram_join, sharding, tokens
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.report(_read(spark, folder, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_components(_read(spark, folder, "documents"), 4, 85)
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_read(spark, folder, "documents"), 8)
 
@@ -47,6 +51,23 @@ SQL = {
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op7_ngram_join": r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS w FROM documents),
+grams AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT rid, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM grams GROUP BY rid),
+links AS (
+  SELECT x.rid AS a, y.rid AS b FROM grams x JOIN grams y ON x.g = y.g AND x.rid <> y.rid
+  JOIN sizes s ON s.rid = x.rid JOIN sizes t ON t.rid = y.rid
+  GROUP BY x.rid, y.rid, s.n, t.n HAVING 100 * count(*) >= 85 * (s.n + t.n - count(*))),
+reach AS (SELECT rid, rid AS other FROM words UNION SELECT r.rid, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT p.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(q.doc_id) AS component_id
+FROM words p LEFT JOIN sizes s USING (rid) JOIN reach r ON r.rid = p.rid JOIN words q ON q.rid = r.other
+GROUP BY p.rid, p.doc_id, s.n""",
     "op9_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -100,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_exact_dedup,
         op5_token_output,
         op6_license_scan,
+        op7_ngram_join,
         op8_sharding,
         op9_mixing,
         op10_decontamination,
