@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import StageArea
-from . import decontamination, exact, licenses, mixing, ngram_join, sharding, suffixes, tokens
+from . import decontamination, exact, licenses, mixing, ngram_join, sharding, suffixes, tokens, toxicity
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(_read(spark, folder, "documents"), 200).drop("kept")
 
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op2_toxicity,
         op4_suffix_dedup,
         op5_token_output,
         op6_license_scan,

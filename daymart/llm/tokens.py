@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ MAX_BITS = 18
 BLOCK_IDS = 1 << 16
 #: ids between two bit offsets
 CHECKPOINT = 64
-#: pieces of text whose ids a task remembers
-REMEMBERED = 400_000
+#: pieces of text whose ids a worker remembers, about
+REMEMBERED = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -142,9 +143,9 @@ class Decoder:
 class Encoder:
     """Ids of texts from a tokenizers file.
 
-    Its pre-tokenizer never joins what stands before a single space with the space and what follows, so a text can
-    be cut before such spaces; equal pieces are encoded once. Texts with longer white space at a space, or with an
-    added token's content, are encoded whole.
+    Its pre-tokenizer never joins what stands before a single space or line end with what follows, nor a letter or
+    digit with a full stop or comma that stands alone, so a text can be cut there and equal pieces are encoded once.
+    Texts with longer white space or with an added token's content are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -153,32 +154,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s ", r" \Z", *added]))
+        self.whole = re.compile("|".join([r"\s\s", r"\s\Z", "\0", *added]))
+        self.stops = re.compile(r"[^\w][.,]|_[.,]|[.,][^\w\s]|\A[.,]")
 
-    def _new(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers."""
+        """Ids as 32-bit integers."""
         cut: list[list[str] | None] = []
         for text in texts:
             if self.whole.search(text):
                 cut.append(None)
-            else:
-                head, *rest = text.split(" ")
-                cut.append([head, *[" " + x for x in rest]])
-        wanted = {x for pieces in cut if pieces is not None for x in pieces}
-        missing = [x for x in wanted if x not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            missing = list(wanted)
-        if missing:
-            self._new(missing)
-        get = self.known.__getitem__
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, cut) if p is None], add_special_tokens=False))
-        return [np.array(next(whole).ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for p in cut]
+                continue
+            alone = not self.stops.search(text)
+            text = text.replace(" ", "\0 ").replace("\n", "\0\n")
+            if alone:
+                text = text.replace(".", "\0.").replace(",", "\0,")
+            cut.append(text.split("\0"))
+        missing = list({x for pieces in cut if pieces is not None for x in pieces if x not in self.known})
+        self.known.update(zip(missing, self._ids(missing)))
+        whole = iter(self._ids([t for t, p in zip(texts, cut) if p is None]))
+        out = [next(whole) if p is None else b"".join(map(self.known.__getitem__, p)) for p in cut]
+        if len(self.known) > REMEMBERED:  # what came first is mostly what comes often
+            for piece in missing:
+                del self.known[piece]
+        return out
+
+
+#: of this Python worker; later tasks know the pieces of earlier ones
+_encoders: dict[str, Encoder] = {}
 
 
 def _tokenize(path: str, end_id: int, small: bool):
@@ -186,7 +191,7 @@ def _tokenize(path: str, end_id: int, small: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [x.decode() for x in batch.column(1).to_pylist()]
