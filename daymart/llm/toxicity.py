@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import StageArea
 from .common import annotate, chunks, column, raw, split_words
+from .ngram_join import shingle_sets
 
 #: labelled rows of each class that the examples are taken from, at most (those with the smallest id hashes)
 EXAMPLES = 3000
@@ -21,6 +22,8 @@ TERMS = 4096
 LEAST_G2 = 24.0
 #: neighbours that vote
 NEIGHBOURS = 15
+#: smallest shingle hashes by which copies among the examples are found
+SKETCH = 8
 #: examples per block of the index
 BLOCK = 64
 #: lengths of word beginnings that are terms beside whole words
@@ -184,11 +187,36 @@ def _held_by(terms: list[bytes]):
     return run
 
 
+def _apart(chosen: DataFrame) -> DataFrame:
+    """The examples without those that share one of their SKETCH smallest 4-word shingles with an earlier one: copies
+    of a text would make all its words look telling."""
+
+    def start():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            out = []
+            for part in chunks(texts):
+                grams, at = shingle_sets(part, 4)
+                out += [grams[a : min(b, a + SKETCH)].view(np.int64).tolist() for a, b in zip(at[:-1], at[1:])]
+            return [pa.array(out, pa.list_(pa.int64()))]
+
+        return work
+
+    rows = annotate(chosen, start, "sketch array<long>", "body", ("name", "label")).collect()  # at most 2 * examples
+    seen: set[int] = set()
+    keep = []
+    for r in sorted(rows, key=lambda r: (r.label, r.sketch, r.name)):
+        if seen.isdisjoint(r.sketch):
+            keep.append((r.name,))
+        seen.update(r.sketch)
+    kept = chosen.sparkSession.createDataFrame(keep, "name string").distinct()
+    return chosen.join(F.broadcast(kept), "name").dropDuplicates(["name"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model:
     """Learn from the rows of ``labels`` (id, label 0 or 1); the caller leaves out what must not be learned from.
 
     At most ``examples`` rows of each class, those with the smallest hashes of their ids, give the terms and the
-    examples; document frequencies count all of ``docs``. Ids with several labels count as toxic if one says so;
+    examples, copies of a text only once; document frequencies count all of ``docs``. Ids with several labels count as toxic if one says so;
     null labels and ids without a document are ignored. Without examples of both classes every score is the share of
     toxic labels, or 0.
     """
@@ -203,6 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = docs.select(column(id_col).alias("doc_id"), raw(text_col).alias("body")).join(picked, F.col("doc_id") == F.col("id"))
     chosen = area.save(chosen.select(F.col("doc_id").cast("string").alias("name"), "body", "label"), "examples")
 
+    chosen = area.save(_apart(chosen), "apart")
+
     seen = chosen.select("body", "label").mapInArrow(_class_terms, "term binary, clean long, toxic long")
     seen = seen.groupBy("term").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1"))
     size = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
