@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import StageArea
-from . import decontamination, exact, licenses, mixing, ngram_join, sharding, suffixes, tokens, toxicity
+from . import decontamination, exact, licenses, mixing, ngram_join, quotations, sharding, suffixes, tokens, toxicity
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
+def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return quotations.format_chats(_read(spark, folder, "conversations"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(_read(spark, folder, "documents"), 200).drop("kept")
 
@@ -128,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_exact_dedup,
         op2_toxicity,
+        op3_chat_formatting,
         op4_suffix_dedup,
         op5_token_output,
         op6_license_scan,
