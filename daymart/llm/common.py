@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: bytes of text that one numpy step works on; a longer document is a step of its own
 CHUNK_BYTES = 2 << 20
+#: rows of one step at most
+CHUNK_ROWS = 4096
 
 
 def body(text_col: str = "text") -> Column:
@@ -61,7 +63,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + CHUNK_ROWS)
         yield Chunk(lo, hi, flat[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
         lo = hi
 

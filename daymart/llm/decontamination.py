@@ -230,14 +230,17 @@ def _cut(text: str | None, hits: np.ndarray) -> str | None:
     return b"".join([*kept, whole[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
     """``docs`` with the hit word runs cut out of their texts; documents without a hit stay as they are, all rows and
-    columns stay. Cutting joins what stood around a run; the text may become empty."""
+    columns stay. Cutting joins what stood around a run; the text may become empty. A cut text's length in
+    characters goes to ``chars_col`` if there is such a column."""
     @F.pandas_udf("string")
     def cut(text: pd.Series, hits: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, h) for t, h in zip(text, hits)], dtype=object)
 
     own = tuple(docs.columns)
     found = contamination(docs, benchmark, text_col=text_col, keep=own, **options).toDF(*[f"c{i}" for i in range(len(own))], "n_words", "hits", "items")
-    text = F.col(f"c{own.index(text_col)}")
-    return found.select(*[(cut(text, F.col("hits")) if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(own)])
+    text = f"c{own.index(text_col)}"
+    found = found.withColumn(text, F.when(F.size("hits") > 0, cut(text, "hits")).otherwise(F.col(text)))
+    chars = F.when(F.size("hits") > 0, F.length(text).cast("long"))
+    return found.select(*[(F.coalesce(chars, F.col(f"c{i}")) if c == chars_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(own)])

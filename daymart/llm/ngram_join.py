@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.retrieval import components
 from ..session import StageArea
-from .common import Chunk, body, chunks, column, lower, mix64, plain, prefix_hash, ranges, slice_hash, space_words
+from .common import Chunk, body, chunks, column, lower, mix64, plain, prefix_hash, ranges, raw, slice_hash, space_words
 
 #: n-grams are counted in 2 ** SKETCH_BITS cells; a cell's count, in steps of 2 ** (1/8), is the first order key
 SKETCH_BITS = 22
@@ -81,15 +81,16 @@ def _profile(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "digest", *_MAP, "slice", "cells"]
+        names = ["doc_id", "mark", "n", "digest", *_MAP, "slice", "cells"]
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for part in chunks(batch.column(1)):
+            for part in chunks(batch.column(2)):
                 hashes, at = shingle_sets(part, width)
                 counts += np.bincount((hashes >> _CELL).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 maps = _maps(hashes, at)
-                out = [batch.column(0).slice(part.lo, len(part)), pa.array(np.diff(at).astype(np.int32)), pa.array(_digests(hashes, at))]
+                out = [batch.column(k).slice(part.lo, len(part)) for k in (0, 1)]
+                out += [pa.array(np.diff(at).astype(np.int32)), pa.array(_digests(hashes, at))]
                 out += [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAP_WORDS)]
                 none = len(part)
                 yield pa.RecordBatch.from_arrays([*out, pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
@@ -97,7 +98,7 @@ def _profile(width: int):
             pieces = counts.reshape(SLICES, -1)
             used = np.flatnonzero(pieces.any(axis=1))
             none = len(used)
-            out = [pa.nulls(none, id_type), pa.nulls(none, pa.int32()), *[pa.nulls(none, pa.int64())] * (1 + MAP_WORDS)]
+            out = [pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), *[pa.nulls(none, pa.int64())] * (1 + MAP_WORDS)]
             data = [zlib.compress(pieces[k].astype("<u4").tobytes(), 1) for k in used]
             yield pa.RecordBatch.from_arrays([*out, pa.array(used.astype(np.int32)), pa.array(data, pa.binary())], names=names)
 
@@ -171,11 +172,11 @@ class NgramJoin:
         self.width, self.percent = width, percent
         self.area = StageArea(self.spark, "ngram-join")
         self.texts = docs.select(column(id_col).alias("doc_id"), body(text_col).alias("body"))
-        source = plain(docs, id_col, text_col)
+        source = plain(docs, id_col, text_col).select("doc_id", F.xxhash64("body").alias("mark"), "body")
         kind = source.schema["doc_id"].dataType.simpleString()
         maps = ", ".join(f"{m} long" for m in _MAP)
-        scanned = self.area.save(source.mapInArrow(_profile(width), f"doc_id {kind}, n int, digest long, {maps}, slice int, cells binary"), "profiles")
-        self.members = scanned.filter("slice IS NULL").select("doc_id", "n", "digest", *_MAP)
+        scanned = self.area.save(source.mapInArrow(_profile(width), f"doc_id {kind}, mark long, n int, digest long, {maps}, slice int, cells binary"), "profiles")
+        self.members = scanned.filter("slice IS NULL").select("doc_id", "mark", "n", "digest", *_MAP)
         cells = scanned.filter("slice IS NOT NULL").select("slice", "cells").repartition("slice").mapInArrow(_add_slices, "slice int, cells binary")
         counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.float64)
         for r in cells.toLocalIterator():  # 2 ** SKETCH_BITS counts, whatever the input
@@ -240,10 +241,19 @@ class NgramJoin:
         second = self._verify(rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "rest")
         return first.unionByName(second)
 
+    def _joined(self) -> DataFrame:
+        label = self._labels(self.links())
+        return self.classes.select("digest", "rep").join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+
+    def keepers(self) -> DataFrame:
+        """(doc_id, mark) of the row that stands for each component: the smallest id; mark is the text's hash."""
+        rows = self.members.filter("n > 0").join(self._joined().select("digest", "component"), "digest")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+        return rows.groupBy("component").agg(first).select("first.doc_id", "first.mark")
+
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, digest) of every row."""
-        label = self._labels(self.links())
-        joined = self.classes.select("digest", "rep").join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        joined = self._joined()
         smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
         by_class = joined.join(smallest, "component").select("digest", "component_id")
         some = self.members.filter("n > 0").join(by_class, "digest")
@@ -261,3 +271,16 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     rows of their own. An empty table gives an empty result. N-grams are told apart by 64-bit hashes.
     """
     return NgramJoin(docs, width, percent, id_col, text_col).components().drop("digest")
+
+
+def one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every component: the one with the smallest id, a repeated row once. Rows without words
+    are in no group and all stay."""
+    own = docs.columns
+    inner = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(own)], column(id_col).alias("doc_id"), F.xxhash64(raw(text_col)).alias("mark"))
+    words = F.col(f"c{own.index(text_col)}").rlike(r"[^\x20\x09-\x0D]")
+    keep = NgramJoin(docs, width, percent, id_col, text_col).keepers()
+    keep = keep.withColumnsRenamed({"doc_id": "id", "mark": "m"})
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))
+    grouped = inner.filter(words).join(keep, same, "left_semi").dropDuplicates(["doc_id", "mark"])
+    return grouped.unionByName(inner.filter(~F.coalesce(words, F.lit(False)))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])

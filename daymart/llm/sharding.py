@@ -57,37 +57,52 @@ class HashTree:
         return F.substring_index(at, "-", -1).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tree: HashTree | None = None, grown: HashTree | None = None) -> DataFrame:
-    """Shard, slot and size of every document.
-
-    ``doc_id`` and the tree decide the shard (law ``key``), so equal ids, null ids among them, share a shard.
-    ``grown_shard`` is the shard in a tree with one more shard. Slots count the rows of a shard from 0 without gaps,
-    in the order of hash piece and id; repeated rows take slots of their own. Null text has size 1, as empty text.
-    An empty table gives an empty result. Other columns are ignored.
-    """
-    tree = tree or HashTree.regular(shards)
-    grown = grown or HashTree.regular(shards + 1)
+def _placed(docs: DataFrame, tree: HashTree, grown: HashTree, id_col: str, text_col: str, keep: dict[str, Column]) -> DataFrame:
     text = body(text_col)
     rows = docs.select(
+        *[c.alias(n) for n, c in keep.items()],
         column(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).select(
+    )
+    return rows.select(
         "*",
         tree.place(F.col("doc_id")).alias("shard"),
         grown.place(F.col("doc_id")).alias("grown_shard"),
         F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int").alias("piece"),
     )
-    rows = StageArea(docs.sparkSession, "sharding").save(rows, "placed")
+
+
+def _slots(rows: DataFrame, slim: DataFrame) -> DataFrame:
+    """Rows counted within their shard from 0: the rows of the pieces before, then the place in the piece."""
     before = (
-        rows.groupBy("shard", "piece")
+        slim.groupBy("shard", "piece")
         .agg(F.count("*").alias("n"))
         .withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n"))
         .select("shard", "piece", "base")
     )
     inside = Window.partitionBy("shard", "piece").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    return (
-        rows.join(F.broadcast(before), ["shard", "piece"])  # at most shards x PIECES rows
-        .withColumn("slot", F.col("base") + F.row_number().over(inside) - 1)
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard")
-    )
+    joined = rows.join(F.broadcast(before), ["shard", "piece"])  # at most shards x PIECES rows
+    return joined.withColumn("slot", (F.col("base") + F.row_number().over(inside) - 1).cast("long"))
+
+
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tree: HashTree | None = None, grown: HashTree | None = None) -> DataFrame:
+    """Shard, slot and size of every document.
+
+    ``doc_id`` and the tree decide the shard (law ``key``), so equal ids, null ids among them, share a shard.
+    ``grown_shard`` is the shard in a tree with one more shard. Slots count the rows of a shard from 0 without gaps,
+    in the order of hash piece and id; repeated rows take slots of their own. Null text has size 1, as empty text.
+    An empty table gives an empty result. Other columns are ignored.
+    """
+    placed = _placed(docs, tree or HashTree.regular(shards), grown or HashTree.regular(shards + 1), id_col, text_col, {})
+    rows = StageArea(docs.sparkSession, "sharding").save(placed, "placed")
+    return _slots(rows, rows).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tree: HashTree | None = None) -> DataFrame:
+    """``docs`` with all columns and their ``shard`` and ``slot``, numbered as by ``shard``."""
+    tree = tree or HashTree.regular(shards)
+    own = docs.columns
+    slim = _placed(docs, tree, tree, id_col, text_col, {})
+    rows = _placed(docs, tree, tree, id_col, text_col, {f"c{i}": column(c) for i, c in enumerate(own)})
+    return _slots(rows, slim).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "shard", "slot")
