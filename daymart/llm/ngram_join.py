@@ -21,7 +21,9 @@ from .common import Chunk, body, chunks, column, lower, mix64, plain, prefix_has
 SKETCH_BITS = 22
 SLICES = 256
 #: 64-bit words of a set's parity map
-MAP_WORDS = 8
+MAP_WORDS = 16
+#: rounds in which the classes of an n-gram that more than SMALL share are compared with HUBS of them
+ROUNDS, HUBS, SMALL = 2, 4, 32
 #: pieces of the global order; a pair's overlap is counted in each on its own
 FRAGMENTS = 8
 #: a list of documents to fetch that is broadcast; a longer one is joined
@@ -67,11 +69,11 @@ def _digests(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _maps(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Parity of the members in each of 512 cells: two maps differ in at most as many bits as the sets differ in members."""
+    """Parity of the members in each of 1024 cells: two maps differ in at most as many bits as the sets differ in members."""
     n = len(at) - 1
     cells = 64 * MAP_WORDS
     row = np.repeat(np.arange(n), np.diff(at))
-    bit = ((hashes * np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(55)).astype(np.int64) % cells
+    bit = ((hashes * np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(40)).astype(np.int64) % cells
     odd = (np.bincount(row * cells + bit, minlength=n * cells) & 1).astype(np.uint8).reshape(n, cells)
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
@@ -162,9 +164,9 @@ class NgramJoin:
     Equal sets form one class. A class's prefix holds its first n-grams in the global order (rare cells first): two
     sets with enough overlap share one of them. Classes that share a prefix n-gram are candidates if their sizes and
     parity maps allow the similarity; both tests are bounds and lose no link. Candidates are compared with the
-    smallest class of their n-gram first. Only classes that these links leave in different components are compared
-    with each other after that, so a large group of near copies is never expanded into all its pairs, and no link
-    between components is lost.
+    smallest class of their n-gram first, then those of common n-grams with a few more of them. Only classes that these
+    links leave in different components are compared with each other after that, so a large group of near copies is
+    never expanded into all its pairs, and no link between components is lost.
     """
 
     def __init__(self, docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"):
@@ -224,22 +226,36 @@ class NgramJoin:
     def links(self) -> DataFrame:
         """Links (a, b) between classes (digests), enough of them to span every component."""
         entries = self.area.save(self._entries(), "entries")
-        own = self.classes.drop("rep")
         star = entries.filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
-        star = star.join(own.alias("x"), F.col("a") == F.col("x.digest")).join(own.alias("y"), (F.col("b") == F.col("y.digest")) & self._may_link("x", "y"))
-        first = self._verify(star.select("a", "b"), "hubs")
-        # n-grams whose classes are still in several components
-        label = self._labels(first)
-        held = entries.join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-        same = Window.partitionBy("gram")
-        held = held.withColumns({"low": F.min("component").over(same), "high": F.max("component").over(same)}).filter("low <> high AND digest <> hub")
-        held = self.area.save(held.select("gram", "digest", "component").join(own, "digest"), "open")
+        star = self._plausible(star)
+        links = self._verify(star.select("a", "b"), "hubs")
+        for k in range(ROUNDS):
+            held = self._open(entries, links).filter(F.col("size") > SMALL)
+            hubs = F.array(*[F.min_by("digest", F.xxhash64("digest", F.lit(HUBS * k + j))).over(Window.partitionBy("gram")) for j in range(HUBS)])
+            star = held.select(F.col("digest").alias("b"), F.col("component").alias("of_b"), F.array_distinct(hubs).alias("hubs"))
+            star = star.select("b", "of_b", F.explode("hubs").alias("a")).distinct()
+            star = self._plausible(star.join(held.select(F.col("digest").alias("a"), F.col("component").alias("of_a")).distinct(), "a").filter("of_a <> of_b"))
+            links = links.unionByName(self._verify(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"hubs-{k}"))
+        # what is still apart is compared member by member
+        held = self.area.save(self._open(entries, links).select("gram", "digest", "component").join(self.classes.drop("rep"), "digest"), "open")
         rest = held.alias("x").join(
             held.alias("y"),
             (F.col("x.gram") == F.col("y.gram")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.component") != F.col("y.component")) & self._may_link("x", "y"),
         )
-        second = self._verify(rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "rest")
-        return first.unionByName(second)
+        return links.unionByName(self._verify(rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "rest"))
+
+    def _plausible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and maps allow a link."""
+        own = self.classes.drop("rep")
+        return pairs.join(own.alias("x"), F.col("a") == F.col("x.digest")).join(own.alias("y"), (F.col("b") == F.col("y.digest")) & self._may_link("x", "y"))
+
+    def _open(self, entries: DataFrame, links: DataFrame) -> DataFrame:
+        """Entries of the n-grams whose classes are still in several components, with component and number of classes."""
+        label = self._labels(links)
+        held = entries.filter("digest <> hub").join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        same = Window.partitionBy("gram")
+        held = held.withColumns({"low": F.min("component").over(same), "high": F.max("component").over(same), "size": F.count("*").over(same)})
+        return held.filter("low <> high")
 
     def _joined(self) -> DataFrame:
         label = self._labels(self.links())
