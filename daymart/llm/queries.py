@@ -35,7 +35,7 @@ def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
 
     to = StageArea(spark, "token-files").path("out")
     tokens.write(_read(spark, folder, "documents"), to, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return tokens.read(spark, to).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokens.read(spark, to, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:

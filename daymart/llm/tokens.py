@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -140,60 +140,86 @@ class Decoder:
         return np.split(flat, np.cumsum([n for _, _, n in blocks])[:-1])
 
 
+#: all white space but the space and the line end, and the mark that texts are cut at
+RARE_SPACE = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 class Encoder:
     """Ids of texts from a tokenizers file.
 
     Its pre-tokenizer never joins what stands before a single space or line end with what follows, nor a letter or
-    digit with a full stop or comma that stands alone, so a text can be cut there and equal pieces are encoded once.
-    Texts with longer white space or with an added token's content are encoded whole.
+    digit with one full stop or comma at a piece's end. So a text without longer white space is cut there, and equal
+    pieces are encoded once. Other texts, and those with an added token's content, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
         self.known: dict[str, bytes] = {}
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", r"\s\Z", "\0", *added]))
-        self.stops = re.compile(r"[^\w][.,]|_[.,]|[.,][^\w\s]|\A[.,]")
+        self.cuts = ["  ", " \n", "\n ", "\n\n", *[t.content for t in self.tokenizer.get_added_tokens_decoder().values()]]
+        self.stops = dict(zip(".,", self._ids([".", ","])))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if any(x in text for x in self.cuts) or text[:1].isspace() or text[-1:].isspace():
+            return None  # white space of more than one character, or at an end
+        if RARE_SPACE.search(text):
+            words = text.split()
+            if "\0" in text or len(text) - len("".join(words)) != max(0, len(words) - 1):
+                return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+    def _learn(self, missing: set[str]) -> list[str]:
+        bare, first = [], set()
+        for x in missing:
+            if x[-1:] in self.stops and x[-2:-1].isalnum():
+                bare.append(x)
+                first.add(x[:-1])
+            else:
+                first.add(x)
+        first = list(first.difference(self.known))
+        self.known.update(zip(first, self._ids(first)))
+        self.known.update([(x, self.known[x[:-1]] + self.stops[x[-1]]) for x in bare])
+        return [*first, *bare]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as 32-bit integers."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if self.whole.search(text):
-                cut.append(None)
-                continue
-            alone = not self.stops.search(text)
-            text = text.replace(" ", "\0 ").replace("\n", "\0\n")
-            if alone:
-                text = text.replace(".", "\0.").replace(",", "\0,")
-            cut.append(text.split("\0"))
-        missing = list({x for pieces in cut if pieces is not None for x in pieces if x not in self.known})
-        self.known.update(zip(missing, self._ids(missing)))
+        """Ids as integers of the encoder's kind."""
+        cut = [self._pieces(text) for text in texts]
+        seen: set[str] = set()
+        for pieces in cut:
+            seen.update(pieces or ())
+        full = len(self.known) > REMEMBERED
+        new = self._learn(seen.difference(self.known))
         whole = iter(self._ids([t for t, p in zip(texts, cut) if p is None]))
         out = [next(whole) if p is None else b"".join(map(self.known.__getitem__, p)) for p in cut]
-        if len(self.known) > REMEMBERED:  # what came first is mostly what comes often
-            for piece in missing:
+        if full:  # what came first is mostly what comes often
+            for piece in new:
                 del self.known[piece]
         return out
 
 
 #: of this Python worker; later tasks know the pieces of earlier ones
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def _tokenize(path: str, end_id: int, small: bool):
+def _tokenize(path: str, end_id: int, kind: str, vocabulary: int):
+    """Rows (doc_id, text) to (doc_id, ids) and, at a task's end, one row with its id counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        tail = np.array([end_id], "<u4").tobytes()
+        encoder = _encoders.get((path, kind)) or _encoders.setdefault((path, kind), Encoder(path, kind))
+        tail = np.array([end_id], kind).tobytes()
+        counts = np.zeros(vocabulary, np.int64)
+        names = ["doc_id", "ids", "counts"]
+        id_type = None
         for batch in batches:
+            id_type = batch.schema.field(0).type
             texts = [x.decode() for x in batch.column(1).to_pylist()]
             ids = []
             at = 0
@@ -203,28 +229,26 @@ def _tokenize(path: str, end_id: int, small: bool):
                     held += len(texts[to])
                     to += 1
                 ids += [x + tail for x in encoder.encode(texts[at:to])]
+                part = np.bincount(np.frombuffer(b"".join(ids[at:to]), kind))
+                counts[: len(part)] += part
                 at = to
-            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-            if small:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        if id_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
 
     return run
 
 
-def _count(kind: str, vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                ids = np.frombuffer(x.as_buffer(), kind)
-                part = np.bincount(ids)
-                total[: len(part)] += part
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            part = np.frombuffer(zlib.decompress(x), np.int64)
+            total = part if total is None else total + part
+    if total is not None:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    return run
-
 
 BLOCKS = "part int, block int, first_token long, n_tokens long, bits binary, marks binary, sizes array<long>"
 
@@ -271,7 +295,7 @@ def _blocks(kind: str, lengths: np.ndarray, codes: np.ndarray, id_type: pa.DataT
     return run
 
 
-def _read(lengths: np.ndarray, id_type: pa.DataType):
+def _read(lengths: np.ndarray, id_type: pa.DataType, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths)
         for batch in batches:
@@ -282,7 +306,7 @@ def _read(lengths: np.ndarray, id_type: pa.DataType):
                 for part, first, sizes, keys, ids in zip(rows["part"], rows["first_token"], rows["sizes"], rows["doc_ids"], blocks):
                     for key, x in zip(keys, np.split(ids, np.cumsum(sizes)[:-1])):
                         data = x.astype("<u4").tobytes()
-                        for name, v in zip(out, (part, key, first, len(x), zlib.crc32(data), data)):
+                        for name, v in zip(out, (part, key, first, len(x), zlib.crc32(data), data if with_ids else None)):
                             out[name].append(v)
                         first += len(x)
                 types = (pa.int32(), id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -306,18 +330,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     source = plain(docs, id_col, text_col)
     id_field = source.schema["doc_id"]
-    schema = StructType([id_field, StructField("n_tokens", LongType()), *StructType.fromDDL("ids binary").fields])
+    schema = StructType([id_field, *StructType.fromDDL("ids binary, counts binary").fields])
     staged = area.path("ids")
-    source.mapInArrow(_tokenize(tokenizer, end_id, kind == "<u2"), schema).write.option("compression", "zstd").parquet(staged)
+    source.mapInArrow(_tokenize(tokenizer, end_id, kind, vocabulary), schema).write.option("compression", "zstd").parquet(staged)
     ids = spark.read.schema(schema).parquet(staged)
     # at most a row per id of the vocabulary
     counts = np.zeros(vocabulary, np.int64)
-    for r in ids.select("ids").mapInArrow(_count(kind, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    shares = ids.filter("counts IS NOT NULL").select("counts").mapInArrow(_count, "id long, n long")
+    for r in shares.groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.id] = r.n
     lengths = code_lengths(counts, max_bits)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int").coalesce(1).write.parquet(f"{folder}/codebook")
     arrow_id = pa.int64() if isinstance(id_field.dataType, LongType) else pa.string()
-    key = ids.select("doc_id" if arrow_id == pa.int64() else F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    key = ids.filter("ids IS NOT NULL").select("doc_id" if arrow_id == pa.int64() else F.col("doc_id").cast("string").alias("doc_id"), "ids")
     block_schema = StructType([*StructType.fromDDL(BLOCKS).fields, *StructType.fromDDL(f"doc_ids array<{'long' if arrow_id == pa.int64() else 'string'}>").fields])
     (
         key.repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first())
@@ -328,9 +353,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     )
 
 
-def read(spark, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Documents of a written folder: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and the ids
-    themselves as little-endian 32-bit integers. Only the code book is held by every task."""
+    themselves as little-endian 32-bit integers (null without ``with_ids``). Only the code book is held by every task."""
     blocks = spark.read.parquet(f"{folder}/blocks")
     book = spark.read.parquet(f"{folder}/codebook").toPandas()  # a row per id of the vocabulary at most
     lengths = np.zeros(int(book["id"].max()) + 1 if len(book) else 1, np.uint8)
@@ -339,7 +364,7 @@ def read(spark, folder: str) -> DataFrame:
     arrow_id = pa.int64() if isinstance(key, LongType) else pa.string()
     schema = StructType([StructField("part", StructType.fromDDL("x int").fields[0].dataType), StructField("doc_id", key), *StructType.fromDDL("inside long, n_tokens long, ids_crc32 long, ids binary").fields])
     wanted = blocks.select("part", "first_token", "n_tokens", "bits", "marks", "sizes", "doc_ids")
-    rows = wanted.mapInArrow(_read(lengths, arrow_id), schema)
+    rows = wanted.mapInArrow(_read(lengths, arrow_id, with_ids), schema)
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per written range
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     return rows.join(before, "part").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")

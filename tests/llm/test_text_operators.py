@@ -248,7 +248,7 @@ def test_token_files(spark, docs, empty, tmp_path):
 def test_pieces_encode_like_whole_texts():
     import public_tokenizers
 
-    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "<u4")
     odd = ["", " ", "a b", "a  b", "a \n b", "a\n b", " a", "a ", "it's  <|endoftext|> x", "x <|endoftext|>", "1 2  3", "é　 ü", "a​ b", "don 't", "\n", "a\n\n b c", "a,b", "a, b.", "a.. b", "x. ,y", "(a). b", "é.\nB", ".a", "a_. b", "1,000.5", "a\x00b c", "x\n,y", "½, Ⅷ.", "a.\u0301 b"]
     got = e.encode(odd)
     for text, ids in zip(odd, got):
