@@ -20,12 +20,14 @@ EXAMPLES = 3000
 #: terms that tell the classes apart, at most, and the least log-likelihood ratio of one
 TERMS = 4096
 LEAST_G2 = 24.0
+#: and how much more frequent it is in one class, at least
+LEAST_LIFT = 4.0
 #: neighbours that vote
 NEIGHBOURS = 15
 #: smallest shingle hashes by which copies among the examples are found
 SKETCH = 8
 #: examples per block of the index
-BLOCK = 64
+BLOCK = 256
 #: lengths of word beginnings that are terms beside whole words
 STEMS = (4, 5, 6)
 
@@ -45,6 +47,7 @@ class Vocabulary:
     """Selected terms with their inverse document frequencies; turns a text into a unit vector."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray | None = None):
+        self.terms = terms
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf = idf
         self.gate = {t.removesuffix(b"*")[: STEMS[0]] for t in terms}  # a word that begins otherwise has no term
@@ -153,8 +156,7 @@ class Model:
         share, near = self.vote(which, weight)
         if share is None:
             return self.prior, [], []
-        terms = list(self.vocabulary.number)
-        shown = [terms[i].decode(errors="replace") for i in which[np.argsort(-weight, kind="stable")[:5]].tolist()]
+        shown = [self.vocabulary.terms[i].decode(errors="replace") for i in which[np.argsort(-weight, kind="stable")[:5]].tolist()]
         return float(np.interp(share, *self.knots)), [self.names[e] for e in near.tolist()], shown
 
 
@@ -246,7 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return F.when(have > 0, have * F.ln(have * float(size[0] + size[1]) / (both * float(n)))).otherwise(0.0)
 
     g2 = 2 * (part("c0", size[0], False) + part("c1", size[1], False) + part("c0", size[0], True) + part("c1", size[1], True))
-    best = seen.withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS)
+    rates = [(F.col(f"c{k}") + 0.5) / (size[k] + 1) for k in (0, 1)]
+    telling = F.greatest(*rates) >= LEAST_LIFT * F.least(*rates)
+    best = seen.filter(telling).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS)
     terms = [bytes(r.term) for r in best.select("term").collect()]  # at most TERMS
 
     held = docs.select(raw(text_col)).mapInArrow(_held_by(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
