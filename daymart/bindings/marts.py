@@ -9,7 +9,6 @@ from ..functions.exprs import money
 from ..plans import marts as M
 from . import bind
 from .frames import BIZDATE, ITEMS, MOVES, ORDERS, SESSIONS, SKUS, SNAPSHOTS, items, moves, orders, sessions, skus, snapshots, table
-from .windows import DAY_NO
 
 PAID = "order_status IN ('20','30','40')"
 DAILY = f"""SELECT inc_day, count(DISTINCT order_id) AS order_count, count(DISTINCT customer_id) AS customer_count,
@@ -35,16 +34,24 @@ def b2(spark, sf):
     return M.commerce_daily_with_refunds(orders(spark, sf), PAID, refunds, "return_flag = 'R'")
 
 
+def _retention(visits: str, lo: str, hi: str) -> str:
+    """Weeks from ``lo``, a Monday, to ``hi`` over (user_id, login_time, duration_seconds, inc_day)."""
+    week = "CAST(date_trunc('week', login_time) AS DATE)"
+    return f"""WITH v AS (SELECT * FROM {visits} WHERE inc_day <= '{hi}'),
+      a AS (SELECT user_id, duration_seconds, {week} AS w FROM v WHERE inc_day >= '{lo}' AND duration_seconds > 0),
+      u AS (SELECT DISTINCT user_id, w FROM a),
+      debut AS (SELECT w, count(*) AS n FROM (SELECT user_id, min({week}) AS w FROM v GROUP BY 1) GROUP BY 1),
+      back AS (SELECT x.w, count(*) AS n FROM u x JOIN u y ON x.user_id = y.user_id AND y.w = x.w - 7 GROUP BY 1),
+      k AS (SELECT w, count(DISTINCT user_id) AS wau, CAST(sum(duration_seconds) AS DOUBLE) / count(*) AS avg_s FROM a GROUP BY 1)
+      SELECT strftime(k.w, '%G-W%V') AS week_id, k.wau, coalesce(debut.n, 0) AS new_users,
+        CAST(coalesce(back.n, 0) AS DOUBLE) / p.wau AS retention_rate, k.avg_s AS avg_session_duration
+      FROM k LEFT JOIN k p ON p.w = k.w - 7 LEFT JOIN debut ON debut.w = k.w LEFT JOIN back ON back.w = k.w"""
+
+
 @bind(
     "b3_weekly_retention",
     "week_id:s wau:i new_users:i retention_rate:r6 avg_session_duration:r6",
-    f"""WITH a AS (SELECT user_id, duration_seconds, CAST(floor(({DAY_NO} + 3) / 7) AS BIGINT) AS w, strftime(login_time, '%G-W%V') AS week_id
-        FROM {SESSIONS} WHERE inc_day BETWEEN '20231102' AND '20240130' AND duration_seconds > 0),
-      u AS (SELECT DISTINCT user_id, w FROM a), f AS (SELECT user_id, min(w) AS w FROM u GROUP BY 1),
-      k AS (SELECT w, any_value(week_id) AS week_id, count(DISTINCT user_id) AS wau, CAST(sum(duration_seconds) AS DOUBLE) / count(*) AS avg_s FROM a GROUP BY 1)
-      SELECT k.week_id, k.wau, (SELECT count(*) FROM f WHERE f.w = k.w) AS new_users,
-        CAST((SELECT count(*) FROM u x JOIN u y ON x.user_id = y.user_id AND y.w = x.w - 1 WHERE x.w = k.w) AS DOUBLE) / p.wau AS retention_rate,
-        k.avg_s AS avg_session_duration FROM k LEFT JOIN k p ON p.w = k.w - 1""",
+    _retention(SESSIONS, "20231030", "20240130"),
 )
 def b3(spark, sf):
     return M.weekly_retention(sessions(spark, sf), "20240130")
@@ -53,13 +60,9 @@ def b3(spark, sf):
 @bind(
     "b3_weekly_retention_orders",
     "week_id:s wau:i new_users:i retention_rate:r6 avg_session_duration:r6",
-    f"""WITH a AS (SELECT customer_id AS user_id, pay_amount AS duration_seconds, CAST(floor(({DAY_NO} + 3) / 7) AS BIGINT) AS w, strftime(order_time, '%G-W%V') AS week_id
-        FROM {ORDERS} WHERE inc_day BETWEEN '19980318' AND '{BIZDATE}' AND pay_amount > 0),
-      u AS (SELECT DISTINCT user_id, w FROM a), f AS (SELECT user_id, min(w) AS w FROM u GROUP BY 1),
-      k AS (SELECT w, any_value(week_id) AS week_id, count(DISTINCT user_id) AS wau, CAST(sum(duration_seconds) AS DOUBLE) / count(*) AS avg_s FROM a GROUP BY 1)
-      SELECT k.week_id, k.wau, (SELECT count(*) FROM f WHERE f.w = k.w) AS new_users,
-        CAST((SELECT count(*) FROM u x JOIN u y ON x.user_id = y.user_id AND y.w = x.w - 1 WHERE x.w = k.w) AS DOUBLE) / p.wau AS retention_rate,
-        k.avg_s AS avg_session_duration FROM k LEFT JOIN k p ON p.w = k.w - 1""",
+    _retention(
+        f"(SELECT customer_id AS user_id, order_time AS login_time, pay_amount AS duration_seconds, inc_day FROM {ORDERS})", "19980316", BIZDATE
+    ),
 )
 def b3o(spark, sf):
     visits = orders(spark, sf).select(
@@ -72,13 +75,16 @@ def b3o(spark, sf):
 @bind(
     "b4_inventory_turnover",
     "inc_day:s warehouse_id:i sku_id:s stock_quantity:d available_quantity:d daily_outbound:d turnover_days:r6 stockout_flag:i reorder_flag:i",
-    f"""WITH o AS (SELECT warehouse_id, sku_id, inc_day, sum(abs(quantity)) AS q FROM {MOVES} WHERE lower(movement_type) = 'outbound' GROUP BY ALL),
-      r AS (SELECT *, CAST(sum(q) OVER (PARTITION BY warehouse_id, sku_id ORDER BY {DAY_NO} RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS DOUBLE) / 7 AS mean7 FROM o)
+    f"""WITH o AS (SELECT warehouse_id, sku_id, CAST(strptime(inc_day, '%Y%m%d') AS DATE) AS d, sum(abs(quantity)) AS q
+        FROM {MOVES} WHERE lower(movement_type) = 'outbound' GROUP BY ALL),
+      s AS (SELECT *, CAST(strptime(inc_day, '%Y%m%d') AS DATE) AS d FROM {SNAPSHOTS}),
+      last7 AS (SELECT s.warehouse_id, s.sku_id, s.d, CAST(sum(o.q) AS DOUBLE) / 7 AS mean7, sum(o.q) FILTER (o.d = s.d) AS today
+        FROM s JOIN o ON o.warehouse_id = s.warehouse_id AND o.sku_id = s.sku_id AND o.d BETWEEN s.d - 6 AND s.d GROUP BY ALL)
       SELECT inc_day, warehouse_id, sku_id, stock_quantity, stock_quantity - locked_quantity AS available_quantity,
-        coalesce(q, 0) AS daily_outbound, CAST(stock_quantity AS DOUBLE) / mean7 AS turnover_days,
+        coalesce(today, 0) AS daily_outbound, CAST(stock_quantity AS DOUBLE) / nullif(mean7, 0) AS turnover_days,
         CASE WHEN stock_quantity - locked_quantity < safety_stock THEN 1 ELSE 0 END AS stockout_flag,
         CASE WHEN stock_quantity - locked_quantity < reorder_point THEN 1 ELSE 0 END AS reorder_flag
-      FROM {SNAPSHOTS} LEFT JOIN r USING (warehouse_id, sku_id, inc_day) LEFT JOIN {SKUS} USING (sku_id)""",
+      FROM s LEFT JOIN last7 USING (warehouse_id, sku_id, d) LEFT JOIN {SKUS} USING (sku_id)""",
 )
 def b4(spark, sf):
     return M.inventory_turnover(snapshots(spark, sf), moves(spark, sf), skus(spark, sf))

@@ -41,34 +41,33 @@ def commerce_daily_with_refunds(orders: DataFrame, paid: Column | str, refunds:
 
 
 def weekly_retention(sessions: DataFrame, bizdate: str, days: int = 90, ts: str = "login_time") -> DataFrame:
-    """(week_id, wau, new_users, retention_rate, avg_session_duration) of the last 90 days.
+    """(week_id, wau, new_users, retention_rate, avg_session_duration) of the whole weeks that the last 90 days touch.
 
-    Retention is the share of the previous week's users who came back; the first week has
-    none. One row per (user, week) feeds users, newcomers and retention together.
+    Active users have a session with a duration in the week; new users logged in for the first time ever in it, which
+    takes one smallest timestamp per user over all history. Retention is the share of the previous week's users who
+    came back; the first week has none.
     """
-    day = F.col("inc_day")
-    active = sessions.where(day.between(shift_day(bizdate, 1 - days), bizdate)).where("duration_seconds > 0")
+    start = monday_of(shift_day(bizdate, 1 - days))
+    active = sessions.where(F.col("inc_day").between(start, bizdate)).where("duration_seconds > 0")
     per_user = active.groupBy(week_start(ts).alias("week"), "user_id").agg(
         F.sum("duration_seconds").alias("_sec"), F.count(F.lit(1)).alias("_n")
     )
-    w = Window.partitionBy("user_id").orderBy("week")
-    marked = per_user.withColumns(
-        {"_prev": F.lag("week").over(w), "_next": F.lead("week").over(w)}
-    )
-    weekly = marked.groupBy("week").agg(
+    back = F.datediff("week", F.lag("week").over(Window.partitionBy("user_id").orderBy("week"))) == 7
+    weekly = per_user.withColumn("_back", back).groupBy("week").agg(
         F.count(F.lit(1)).alias("wau"),
-        F.count_if(F.col("_prev").isNull()).alias("new_users"),
-        F.count_if(F.datediff("week", "_prev") == 7).alias("_back"),
+        F.count_if("_back").alias("_back"),
         F.sum("_sec").alias("_sec"),
         F.sum("_n").alias("_n"),
     )
+    first = sessions.where(F.col("inc_day") <= bizdate).groupBy("user_id").agg(week_start(F.min(ts)).alias("week"))
+    joined = weekly.join(first.groupBy("week").agg(F.count(F.lit(1)).alias("new_users")), "week", "left")
     # one row per week from here on
     before = Window.orderBy("week")
     prev_users = F.when(F.datediff("week", F.lag("week").over(before)) == 7, F.lag("wau").over(before))
-    return weekly.select(
+    return joined.select(
         iso_week("week").alias("week_id"),
         "wau",
-        "new_users",
+        F.coalesce("new_users", F.lit(0)).alias("new_users"),
         safe_div(F.col("_back"), prev_users, 6).alias("retention_rate"),
         safe_div("_sec", "_n", 6).alias("avg_session_duration"),
     )
@@ -77,13 +76,16 @@ def weekly_retention(sessions: DataFrame, bizdate: str, days: int = 90, ts: str
 def inventory_turnover(snapshots: DataFrame, moves: DataFrame, skus: DataFrame) -> DataFrame:
     """Stock per (day, warehouse, SKU) with 7-day turnover and flags.
 
-    Movements are reduced to daily outbound before they meet the snapshots, and the window
-    runs over calendar days.
+    Movements are reduced to daily outbound before they meet the snapshots, and the window runs over calendar days.
+    Every snapshot day takes part in it, with nothing going out where no movement says otherwise, so turnover is NULL
+    only where the 7 days hold no outbound.
     """
     keys = ["warehouse_id", "sku_id"]
     outbound = moves.where(F.lower("movement_type") == "outbound").select(
         *keys, "inc_day", F.abs("quantity").alias("daily_outbound")
     )
+    quiet = snapshots.select(*keys, "inc_day", F.lit(0).cast(outbound.schema["daily_outbound"].dataType).alias("daily_outbound"))
+    outbound = outbound.unionByName(quiet)
     rolled = rolling_mean(outbound, keys, "inc_day", "daily_outbound", 7, "mean_outbound")
     available = F.col("stock_quantity") - F.col("locked_quantity")
     return (
