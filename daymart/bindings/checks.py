@@ -234,6 +234,33 @@ where order_status = '50' and pay_amount > 490000;
 -- [boundary-broken] names a column that does not exist
 -- weight: Low
 select no_such_column from {orders};
+
+-- [唯一性-of the day] one row per order on the run date
+select order_id, count(*) as cnt
+from {doubled}
+where inc_day = '$[time(yyyyMMdd,-1d)]'
+group by order_id
+having cnt > 1;
+-- 预期: 0 条
+
+-- [时效性-newest day] the newest order is of the run date
+-- 权重: High
+select max(inc_day) as max_day
+from {orders};
+-- 预期: max_day = '$[time(yyyyMMdd,-1d)]'
+
+-- [波动-daily orders] change of the order count from day to day
+-- 权重: Low
+select inc_day, count(*) as cnt,
+    round((count(*) - lag(count(*)) over(order by inc_day)) * 100.0 / lag(count(*)) over(order by inc_day), 2) as pct_change
+from {orders}
+where inc_day >= '$[time(yyyyMMdd,-30d)]' and inc_day <= '${bizdate}'
+group by inc_day;
+-- 预期: pct_change 在 ±30% 以内
+
+-- [boundary-macro] a macro that nobody knows
+-- weight: Low
+select order_id from {orders} where inc_day = '$[quarter(yyyyMMdd)]';
 """
 
 
@@ -242,10 +269,15 @@ select no_such_column from {orders};
     MEASURED,
     f"""{one("唯一性", "item line", f"SELECT count(*) FROM (SELECT 1 FROM {ITEMS} GROUP BY order_id, line_no HAVING count(*) > 1)", 30, ">0", "m > 0")}
       UNION ALL {one("业务反证", "cancelled", f"SELECT count(*) FROM {ORDERS} WHERE order_status = '50' AND pay_amount > 490000", 15, ">100", "m > 100")}
-      UNION ALL SELECT 'boundary', 'broken', 5, NULL, '>0', 'FAILED'""",
+      UNION ALL SELECT 'boundary', 'broken', 5, NULL, '>0', 'FAILED' UNION ALL SELECT 'boundary', 'macro', 5, NULL, '>0', 'FAILED'
+      UNION ALL {one("唯一性", "of the day", f"SELECT count(DISTINCT order_id) FROM {ORDERS} WHERE inc_day = '{BIZDATE}'", 15, ">0", "m > 0")}
+      UNION ALL {one("时效性", "newest day", f"SELECT CASE WHEN max(inc_day) = '{BIZDATE}' THEN 0 ELSE 1 END FROM {ORDERS}", 30, ">0", "m > 0")}
+      UNION ALL {one("波动", "daily orders", f"SELECT count(*) FROM (SELECT inc_day, n, lag(n) OVER (ORDER BY inc_day) AS p FROM (SELECT inc_day, count(*) AS n FROM {ORDERS} WHERE inc_day BETWEEN '19980517' AND '{BIZDATE}' GROUP BY 1)) WHERE abs(round((n - p) * 100.0 / p, 2)) > 30", 5, ">0", "m > 0")}""",
 )
 def q20(spark, sf):
-    return Q.run_sql_checks(spark, {"orders": orders(spark, sf), "items": items(spark, sf)}, CHECK_FILE)
+    o = orders(spark, sf)
+    tables = {"orders": o, "items": items(spark, sf), "doubled": o.unionAll(o)}
+    return Q.run_sql_checks(spark, tables, CHECK_FILE, BIZDATE)
 
 
 # --- contracts ----------------------------------------------------------------------

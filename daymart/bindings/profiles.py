@@ -105,11 +105,14 @@ def pr6e(spark, sf):
     + _profile_sql("documents", ["doc_id"], "'documents' AS table_name, ")
     + " UNION ALL " + _profile_sql("conversations", ["conv_id"], "'conversations' AS table_name, ")
     + " UNION ALL " + _profile_sql("labels", ["doc_id", "quality", "toxic"], "'labels' AS table_name, ")
-    + ") UNION ALL SELECT 'lost', NULL, NULL, NULL, NULL, NULL, 'FileNotFoundError'",
+    + ") UNION ALL SELECT 'lost', NULL, NULL, NULL, NULL, NULL, 'FileNotFoundError'"
+    + " UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, NULL, 'CAST_INVALID_INPUT'",
 )
 def pr7(spark, sf):
     tables = {n: table(spark, sf, n) for n in ("documents", "conversations", "labels")}
     tables["lost"] = FileNotFoundError("no such table")
+    # fails while it runs: a language is no number
+    tables["broken"] = table(spark, sf, "documents").select(F.col("lang").cast("int").alias("lang_id"))
     return P.profile_tables(tables, columns={"labels": ["doc_id", "quality", "toxic"]})
 
 

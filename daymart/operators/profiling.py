@@ -7,20 +7,19 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import latest_available
 
-# Name shapes and caps that steer which columns are profiled.
+# Name shapes that steer which columns are profiled.
 KEY_SUFFIXES = ("_no", "_id", "_code", "_guid", "_key")
 ENUM_MARKERS = ("type", "status", "state", "scene", "flag", "level", "category", "grade")
 TIME_MARKERS = ("_tm", "_time", "_date", "_dt", "timestamp")
-PROFILE_COLUMN_CAP = 8
-ENUM_COLUMN_CAP = 3
-PROFILE_TABLE_CAP = 8
 
 
 @dataclass(frozen=True)
@@ -29,9 +28,9 @@ class ColumnChoice:
     enums: tuple[str, ...]
 
 
-def choose_columns(schema: T.StructType, mentioned: str = "") -> ColumnChoice:
+def choose_columns(schema: T.StructType, mentioned: str = "", limit: int | None = None, enum_limit: int | None = None) -> ColumnChoice:
     """Columns named in a text plus key-like ones; enum candidates are named strings,
-    enum-ish names first and time-like names last."""
+    enum-ish names first and time-like names last. All of them, unless limits are given."""
     names = schema.fieldNames()
     named = [n for n in names if re.search(rf"\b{re.escape(n)}\b", mentioned)]
     keyish = [n for n in names if n.endswith(KEY_SUFFIXES) and n not in named]
@@ -44,8 +43,8 @@ def choose_columns(schema: T.StructType, mentioned: str = "") -> ColumnChoice:
 
     strings = [n for n in named if isinstance(schema[n].dataType, (T.StringType, T.VarcharType, T.CharType))]
     return ColumnChoice(
-        tuple((named + keyish)[:PROFILE_COLUMN_CAP]),
-        tuple(sorted(strings, key=rank)[:ENUM_COLUMN_CAP]),
+        tuple((named + keyish)[:limit]),
+        tuple(sorted(strings, key=rank)[:enum_limit]),
     )
 
 
@@ -93,16 +92,18 @@ def profile_enums(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
 def latest_partition(
     df: DataFrame, day: str = "inc_day", bounded: bool = False, today: date | None = None
 ) -> str | None:
-    """Newest day. ``bounded`` looks at this year, then last year, so pruning caps the scan.
+    """Newest day. ``bounded`` looks at this year, then last year, then at all before, so pruning keeps the usual
+    scan small and an old table is still found.
 
     Only one value reaches the driver.
     """
     if not bounded:
         return df.agg(F.max(day)).first()[0]
     year = (today or date.today()).year
-    for y in (year, year - 1):
-        window = df.where((F.col(day) >= f"{y}0101") & (F.col(day) < f"{y + 1}0101"))
-        found = window.agg(F.max(day)).first()[0]
+    column = F.col(day)
+    spans = [(column >= f"{y}0101") & (column < f"{y + 1}0101") for y in (year, year - 1)]
+    for span in [*spans, column < f"{year - 1}0101"]:
+        found = df.where(span).agg(F.max(day)).first()[0]
         if found is not None:
             return found
     return None
@@ -140,14 +141,13 @@ def profile_tables(
     day: str | None = None,
     bizdate: str | None = None,
 ) -> DataFrame:
-    """Profile many tables; a table that cannot be analysed becomes an error row.
+    """Profile many tables now; a table that cannot be analysed or breaks while it is read becomes an error row.
 
     With ``day`` and ``bizdate`` only the newest partition not after the run date is read.
     """
-    if len(tables) > PROFILE_TABLE_CAP:
-        raise ValueError(f"profile at most {PROFILE_TABLE_CAP} tables per call")
-    parts, errors = [], []
+    parts, errors = {}, []
     spark = next(t.sparkSession for t in tables.values() if isinstance(t, DataFrame))
+    names = [c.split()[0] for c in PROFILE_SCHEMA.split(",")]
     for name, df in tables.items():
         try:
             if isinstance(df, Exception):
@@ -155,13 +155,18 @@ def profile_tables(
             cols = (columns or {}).get(name) or choose_columns(df.schema).profile
             if day is not None:
                 df = latest_available(df, bizdate, day)
-            part = profile_columns(df, cols).withColumns(
-                {"table_name": F.lit(name), "error": F.lit(None).cast("string")}
-            )
-            parts.append(part.select(*[c.split()[0] for c in PROFILE_SCHEMA.split(",")]))
+            part = profile_columns(df, cols).withColumns({"table_name": F.lit(name), "error": F.lit(None).cast("string")})
+            parts[name] = part.select(*names)
         except Exception as e:
             errors.append((name, None, None, None, None, None, type(e).__name__))
-    out = spark.createDataFrame(errors, PROFILE_SCHEMA)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    rows: list[tuple] = []  # one per profiled column
+    if parts:
+        try:
+            rows = [tuple(r) for r in reduce(lambda a, b: a.unionByName(b), parts.values()).collect()]
+        except PySparkException:  # find the table that broke
+            for name, part in parts.items():
+                try:
+                    rows += [tuple(r) for r in part.collect()]
+                except PySparkException as e:
+                    errors.append((name, None, None, None, None, None, e.getCondition() or type(e).__name__))
+    return spark.createDataFrame([*rows, *errors], PROFILE_SCHEMA)

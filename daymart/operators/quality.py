@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.days import previous_day
+from ..functions.days import previous_day, resolve_macro
 from .windows import period_change
 
 # Deduction per weight name; other names count as Medium.
@@ -324,12 +324,14 @@ class SqlCase:
     sql: str
     weight: str = "Medium"
     threshold: str = ">0"
-    params: Mapping[str, str] = field(default_factory=dict)
+    expect: str = ""
 
 
 # The header line and the comment labels of a check file.
 _HEADER = re.compile(r"^--\s*\[([^\]]*?)-([^\]]*)\]", re.M)
-_LABEL = re.compile(r"^--\s*(权重|weight|阈值|threshold)\s*[:：]\s*(.+?)\s*$", re.M | re.I)
+_LABEL = re.compile(r"^--\s*(权重|weight|阈值|threshold|预期|expect)\s*[:：]\s*(.+?)\s*$", re.M | re.I)
+_EXPECTED_VALUE = re.compile(r"^\s*(\w+)\s*=\s*('?)([^'\s]*)\2\s*$")
+_EXPECTED_BAND = re.compile(r"^\s*(\w+)\s*(?:在|within)\s*[±+-]*\s*(\d+(?:\.\d+)?)\s*%")
 
 
 def read_cases(text: str) -> list[SqlCase]:
@@ -341,23 +343,44 @@ def read_cases(text: str) -> list[SqlCase]:
         block = text[m.end() : stop]
         case = SqlCase(m.group(1).strip(), m.group(2).strip(), "")
         for label, value in _LABEL.findall(block):
-            slot = "weight" if label.lower() in ("权重", "weight") else "threshold"
+            slot = {"权重": "weight", "阈值": "threshold", "预期": "expect"}.get(label, label.lower())
             case = replace(case, **{slot: value})
         lines = [ln for ln in block.split("\n")[1:] if not ln.strip().startswith("--")]
         out.append(replace(case, sql="\n".join(lines).strip().rstrip(";").strip()))
     return out
 
 
-def sql_check(spark: SparkSession, case: SqlCase) -> Check:
-    """A statement that returns offending rows; the measured value is their number."""
+def _offending(rows: DataFrame, expect: str) -> Column:
+    """How many rows break an expectation: any row, a value that differs (no row at all breaks it too), or a percent
+    change outside a band, where a missing one does not count."""
+    if value := _EXPECTED_VALUE.match(expect):
+        wrong = F.count_if(~F.col(value[1]).cast("string").eqNullSafe(F.lit(value[3])))
+        return F.when(F.count(F.lit(1)) == 0, 1).otherwise(wrong)
+    if band := _EXPECTED_BAND.match(expect):
+        return F.count_if(F.abs(F.col(band[1]).cast("double")) > float(band[2]))
+    # whole rows are evaluated, so that a failing expression of the select list is seen
+    return F.count_if(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))) >= 0)
+
+
+def sql_check(spark: SparkSession, case: SqlCase, bizdate: str | None = None) -> Check:
+    """A statement and what is expected of its rows; the measured value is the number of rows that break it.
+
+    Date macros are resolved for ``bizdate`` in the statement and the expectation; a case with a macro left over, or
+    with one and no run date, is an error and never passes.
+    """
 
     def frame(t: Mapping[str, DataFrame]) -> DataFrame:
-        rows = spark.sql(case.sql, **t)
-        return rows.agg(F.count(F.lit(1)).alias("measured"))
+        sql, expect = case.sql, case.expect
+        if bizdate is not None:
+            sql, expect = resolve_macro(sql, bizdate), resolve_macro(expect, bizdate)
+        if left := re.search(r"\$[\[{][^\]}]*[\]}]?", sql + expect):
+            raise KeyError(f"unresolved {left[0]}")
+        rows = spark.sql(sql, **t)
+        return rows.agg(_offending(rows, expect).alias("measured"))
 
     return Check(case.category, case.name, frame=frame, weight=case.weight, threshold=case.threshold)
 
 
-def run_sql_checks(spark: SparkSession, sources: Mapping[str, DataFrame], text: str) -> DataFrame:
-    """Run a check file whose statements name sources as ``{name}``."""
-    return suite(sources, [sql_check(spark, c) for c in read_cases(text)])
+def run_sql_checks(spark: SparkSession, sources: Mapping[str, DataFrame], text: str, bizdate: str | None = None) -> DataFrame:
+    """Run a check file whose statements name sources as ``{name}``, for one run date."""
+    return suite(sources, [sql_check(spark, c, bizdate) for c in read_cases(text)])

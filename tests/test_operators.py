@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daymart.operators import aggs, contracts, joins, profiling, quality, sets, windows
+from daymart.plans import marts
 
 
 def bag(df, *cols):
@@ -173,7 +174,7 @@ def test_profile_nulls_and_keys(spark):
 def test_bounded_latest_partition(spark):
     df = spark.createDataFrame([("20220505",), ("20230107",)], "inc_day string")
     assert profiling.latest_partition(df, bounded=True, today=date(2024, 2, 1)) == "20230107"
-    assert profiling.latest_partition(df, bounded=True, today=date(2026, 2, 1)) is None
+    assert profiling.latest_partition(df, bounded=True, today=date(2026, 2, 1)) == "20230107"
     assert profiling.latest_partition(df.limit(0)) is None
 
 
@@ -270,3 +271,70 @@ def test_missing_outputs(spark):
     want = spark.createDataFrame([("a.ads_x",), ("a.dws_y",), ("tmp_a.tmp_z",), ("a.foo",), ("a.ok",)], "table_name string")
     have = spark.createDataFrame([("a.ok",)], "table_name string")
     assert bag(contracts.missing_outputs(want, have)) == [("a.ads_x", "critical"), ("a.dws_y", "warning"), ("a.foo", "critical")]
+
+
+# --- mended operators
+
+
+CASES = """
+-- [唯一性-orders] one row per order and day
+select order_id, count(*) as cnt from {o} where inc_day = '$[time(yyyyMMdd,-1d)]' group by order_id having cnt > 1;
+-- 预期: 0 条
+-- [时效性-newest] loaded up to the run date
+select max(inc_day) as max_day from {o};
+-- 预期: max_day = '$[time(yyyyMMdd,-1d)]'
+-- [一致性-amount] paid is total less discount
+select order_id from {o} where inc_day = '$[time(yyyyMMdd,-1d)]' and abs(pay - (total - off)) > 0.01;
+-- 预期: 0 条
+-- [业务反证-closed] a cancelled order has no payment time
+select order_id from {o} where inc_day = '$[time(yyyyMMdd,-1d)]' and status = '50' and paid_at is not null;
+-- 预期: 0 条
+-- [波动-count] change from day to day
+select inc_day, round((count(*) - lag(count(*)) over(order by inc_day)) * 100.0 / lag(count(*)) over(order by inc_day), 2) as pct_change
+from {o} where inc_day >= '$[time(yyyyMMdd,-7d)]' group by inc_day;
+-- 预期: pct_change 在 ±30% 以内
+"""
+
+
+def test_check_file_on_clean_and_faulty_data(spark):
+    good = [(i, d, 10.0, 2.0, 8.0, "20", None) for d in ("20240101", "20240102") for i in range(4)]
+    schema = "order_id int, inc_day string, total double, off double, pay double, status string, paid_at string"
+    run = lambda rows, day="20240102": {
+        r.name: r.status for r in quality.run_sql_checks(spark, {"o": spark.createDataFrame(rows, schema)}, CASES, day).collect()
+    }
+    assert set(run(good).values()) == {"PASSED"} and len(run(good)) == 5
+    bad = [*good, (0, "20240102", 10.0, 2.0, 9.0, "50", "x"), (9, "20240102", 1.0, 0.0, 1.0, "20", None)]
+    assert run(bad) == {"orders": "FAILED", "newest": "PASSED", "amount": "FAILED", "closed": "FAILED", "count": "FAILED"}
+    assert run(good, "20240103")["newest"] == "FAILED"
+    assert set(run(good, None).values()) == {"FAILED"}  # nothing may pass on an unresolved day
+
+
+def test_failing_select_list_is_seen(spark):
+    df = {"o": spark.createDataFrame([("x",)], "v string")}
+    text = "-- [a-b] c\nselect cast(v as int) as n from {o};\n"
+    assert quality.run_suite(df, [quality.sql_check(spark, c) for c in quality.read_cases(text)]).first()["status"] == "FAILED"
+
+
+def test_wide_and_many_profiles(spark):
+    wide = spark.createDataFrame([tuple(range(12))], ", ".join(f"c{i}_id int" for i in range(12)))
+    assert len(profiling.choose_columns(wide.schema).profile) == 12
+    assert len(profiling.choose_columns(wide.schema, limit=3).profile) == 3
+    tables = {f"t{i}": wide for i in range(10)} | {"broken": spark.createDataFrame([("x",)], "v string").selectExpr("cast(v as int) as a_id")}
+    rows = profiling.profile_tables(tables).collect()
+    assert len(rows) == 121 and [r.table_name for r in rows if r.error] == ["broken"]
+
+
+def test_turnover_counts_days_without_movement(spark):
+    snaps = spark.createDataFrame([(1, "a", f"2024010{d}", 70.0, 0.0) for d in (1, 3)] + [(1, "a", "20240120", 70.0, 0.0)], "warehouse_id int, sku_id string, inc_day string, stock_quantity double, locked_quantity double")
+    moves = spark.createDataFrame([(1, "a", "20240101", "OUTBOUND", -7.0)], "warehouse_id int, sku_id string, inc_day string, movement_type string, quantity double")
+    skus = spark.createDataFrame([("a", 1, 1)], "sku_id string, safety_stock int, reorder_point int")
+    got = {r.inc_day: (r.daily_outbound, r.turnover_days) for r in marts.inventory_turnover(snaps, moves, skus).collect()}
+    assert got == {"20240101": (7.0, 70.0), "20240103": (0.0, 70.0), "20240120": (0.0, None)}
+
+
+def test_new_users_are_new_for_ever(spark):
+    rows = [("old", "2023-01-02 10:00:00", 5.0), ("old", "2024-01-29 10:00:00", 5.0), ("new", "2024-01-30 10:00:00", 5.0)]
+    s = spark.createDataFrame(rows, "user_id string, t string, duration_seconds double").selectExpr(
+        "user_id", "cast(t as timestamp_ntz) as login_time", "duration_seconds", "replace(substr(t, 1, 10), '-', '') as inc_day"
+    )
+    assert [(r.week_id, r.wau, r.new_users) for r in marts.weekly_retention(s, "20240130").collect()] == [("2024-W05", 2, 1)]
