@@ -162,11 +162,11 @@ def io13(spark, sf):
     name = new_table(spark, "evolve")
     io.write_partitions(rows(spark, sf), name)
     io.evolve_and_backfill(
-        spark, name, {"is_long": "int"}, lambda d: d.withColumn("is_long", (F.col("duration_seconds") > 100).cast("int")),
+        spark, name, {"is_long": "int DEFAULT 0"}, lambda d: d.withColumn("is_long", (F.col("duration_seconds") > 100).cast("int")),
         "20240130", days=10,
     )
     return spark.table(name).groupBy("inc_day").agg(
-        F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("is_long"), F.lit(0)).alias("long_sessions")
+        F.count(F.lit(1)).alias("sessions"), F.sum("is_long").alias("long_sessions")
     )
 
 

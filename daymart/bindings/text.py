@@ -193,10 +193,12 @@ def k9(spark, sf):
     )
 
 
-TERMS = ["the", "Der", "maison", "que"]
+TERMS = ["the", "Der", "maison", "que", "Été", "über", "金额(元)"]
 LINES = r"string_split_regex(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n')"
 HITS = " UNION ALL ".join(
     rf"""SELECT doc_id, '{t.lower()}' AS term, list_filter({LINES}, lambda x: regexp_matches(x, '(?i)(?:^|[^\p{{L}}\p{{N}}_]){t}(?:$|[^\p{{L}}\p{{N}}_])')) AS hits FROM documents"""
+    if t.isascii()
+    else f"""SELECT doc_id, '{t.lower()}' AS term, list_filter({LINES}, lambda x: contains(lower(x), '{t.lower()}')) AS hits FROM documents"""
     for t in TERMS
 )
 

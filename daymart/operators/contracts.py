@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import StageArea
 from .sets import diff_datasets
 
 
@@ -83,8 +84,13 @@ def dry_run(
 
 
 def idempotent(fn: Callable[[], DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Run a job twice and count the keys per state; only ``same`` is expected."""
-    first, second = fn(), fn()
+    """Run a job twice and count the keys per state; only ``same`` is expected.
+
+    Each run is written on its own, so the second can't be a reused part of the first.
+    """
+    first = fn()
+    area = StageArea(first.sparkSession, "idempotent")
+    first, second = area.save(first), area.save(fn())
     cols = [c for c in first.columns if c not in keys]
     return diff_datasets(first, second, keys, cols).groupBy("state").agg(F.count(F.lit(1)).alias("keys"))
 

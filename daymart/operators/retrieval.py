@@ -7,6 +7,7 @@ term instead of comparing every query with every text.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import identifiers, keywords, lines_of, match_units, substrings, term_pattern
 from ..session import StageArea, spread
+from .scripts import find_inserts
 from .windows import rank_top
 
 # Weight of one keyword hit per kind of catalog text, and the match bar.
@@ -116,8 +118,9 @@ def search_corpus(docs: DataFrame, terms: Sequence[str], key: str, text: str = "
     The terms are parameters, so each text is read once and matched in place.
     """
     wanted = list(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))
+
     def hit(term: str):
-        pattern = term_pattern(term) if term.isascii() else term
+        pattern = term_pattern(term) if term.isascii() else "(?iu)" + re.escape(term)
         return F.struct(
             F.lit(term).alias("term"),
             F.filter("_lines", lambda ln: F.regexp_like(ln, F.lit(pattern))).alias("hits"),
@@ -139,6 +142,24 @@ def search_corpus(docs: DataFrame, terms: Sequence[str], key: str, text: str = "
     )
 
 
+def search_files(files: DataFrame, terms: Sequence[str], path: str = "path", text: str = "text", shown: int = 5) -> DataFrame:
+    """(term, path, kind, hit_count, hits, inserts) of the files that hold a term, by kind of file.
+
+    SQL scripts answer with their inserts into the table of the term's name, notes (``.md``) with their hit lines,
+    model files (``.json``) with their path alone; other files are not searched.
+    """
+    kind = F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
+    known = files.select(F.col(path).alias("path"), F.col(text).alias("text"), kind.alias("kind")).where(F.col("kind").isin("sql", "md", "json"))
+    found = search_corpus(known, terms, "path", "text", shown).join(known.select("path", "kind"), "path")
+    made = find_inserts(known.where("kind = 'sql'").select(F.col("path").alias("script_id"), F.col("text").alias("sql_text")))
+    made = made.withColumn("term", F.lower(F.element_at(F.split("table_name", r"\."), -1)))
+    inserts = made.groupBy(F.col("script_id").alias("path"), "term").agg(F.array_sort(F.collect_list(F.struct("line", "table_name", "partition"))).alias("inserts"))
+    note = F.col("kind") == "md"
+    return found.join(inserts, ["path", "term"], "left").select(
+        "term", "path", "kind", F.when(note, F.col("hit_lines")).alias("hit_count"), F.when(note, F.col("first_lines")).alias("hits"), "inserts"
+    )
+
+
 # --- vector top-k -------------------------------------------------------------------
 
 

@@ -167,8 +167,9 @@ def evolve_and_backfill(
     days: int = 30,
     day_col: str = "inc_day",
 ) -> None:
-    """Add columns and recompute the last ``days`` partitions; older ones read as NULL.
+    """Add columns and recompute the last ``days`` partitions; older ones read as the default.
 
+    ``new_cols`` maps names to types, which may carry a default (``int DEFAULT 0``); without one they read as NULL.
     ``compute`` gets the rows of those days and returns them with the new columns filled.
     """
     have = set(spark.table(table).columns)

@@ -172,6 +172,28 @@ def test_search_corpus(spark):
     assert got == [(1, "ads_order", 8, ["ads_order x", "ADS_ORDER", "ads_order", "ads_order", "ads_order"]), (2, "上岗率", 1, ["上岗率及效能"])]
 
 
+def test_search_terms_are_literal_and_caseless(spark):
+    docs = spark.createDataFrame([(1, "合计金额(元)\nCAFÉ au lait"), (2, "金额元 cafe")], "id int, text string")
+    got = bag(retrieval.search_corpus(docs, ["金额(元)", "café", "(额", "额"], "id"), "id", "term", "hit_lines")
+    assert got == [(1, "café", 1), (1, "金额(元)", 1), (1, "额", 1), (2, "额", 1)]
+
+
+def test_search_by_kind_of_file(spark):
+    files = [
+        ("a/x.sql", "insert overwrite table dw.ads_pay partition (inc_day='1')\nselect 1 from t\ninsert overwrite table dw.other\n"),
+        ("b/note.md", "about ads_pay\n\n ads_pay again \nnothing"),
+        ("c/model.json", '{"t": "ads_pay"}'),
+        ("d/readme.txt", "ads_pay"),
+    ]
+    rows = retrieval.search_files(spark.createDataFrame(files, "path string, text string"), ["ADS_PAY"]).orderBy("path").collect()
+    assert [(r.path, r.kind, r.hit_count, r.hits) for r in rows] == [
+        ("a/x.sql", "sql", None, None),
+        ("b/note.md", "md", 2, ["about ads_pay", "ads_pay again"]),
+        ("c/model.json", "json", None, None),
+    ]
+    assert [(i.line, i.table_name, i.partition) for i in rows[0].inserts] == [(1, "dw.ads_pay", "inc_day='1'")] and rows[2].inserts is None
+
+
 # --- conversations and logs
 
 

@@ -338,3 +338,11 @@ def test_new_users_are_new_for_ever(spark):
         "user_id", "cast(t as timestamp_ntz) as login_time", "duration_seconds", "replace(substr(t, 1, 10), '-', '') as inc_day"
     )
     assert [(r.week_id, r.wau, r.new_users) for r in marts.weekly_retention(s, "20240130").collect()] == [("2024-W05", 2, 1)]
+
+
+def test_unstable_job_is_found(spark):
+    runs = iter([1, 2])
+    job = lambda: spark.createDataFrame([(1, next(runs)), (2, 5)], "k int, v int")
+    assert bag(contracts.idempotent(job, ["k"])) == [("changed", 1), ("same", 1)]
+    random_job = lambda: spark.range(5).withColumn("v", F.rand())
+    assert bag(contracts.idempotent(random_job, ["id"]), "state") == [("changed",)]
