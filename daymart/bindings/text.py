@@ -42,10 +42,10 @@ def k1c(spark, sf):
     return lines.groupBy("keyword").agg(F.count(F.lit(1)).alias("lines"))
 
 
-QUERIES = "(SELECT p_partkey AS query_id, p_type || ' ' || p_name || ' brand' AS text FROM part)"
+QUERIES = "(SELECT p_partkey AS query_id, p_type || ' ' || p_name AS text FROM part)"
 CATALOG = """(SELECT DISTINCT p_brand AS domain_id, 'domain' AS kind, 3 AS w, p_brand AS text FROM part
-  UNION ALL SELECT DISTINCT p_brand, 'entity', 2, p_type FROM part WHERE p_size > 45
-  UNION ALL SELECT DISTINCT p_brand, 'attribute', 1, p_name FROM part WHERE p_size > 48)"""
+  UNION ALL SELECT DISTINCT p_brand, 'entity', 2, p_type FROM part
+  UNION ALL SELECT DISTINCT p_brand, 'attribute', 1, p_name FROM part)"""
 SCORES = f"""(SELECT query_id, domain_id, least(1.0, CAST(sum(w) AS DOUBLE) / (any_value(n) * 3)) AS score
   FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM {kw_sql(QUERIES, "query_id", "text")}) k
   JOIN {CATALOG} c ON contains(lower(c.text), k.keyword) GROUP BY ALL)"""
@@ -53,7 +53,7 @@ SCORES = f"""(SELECT query_id, domain_id, least(1.0, CAST(sum(w) AS DOUBLE) / (a
 
 def part_queries(spark, sf):
     return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_type", "p_name", F.lit("brand")).alias("text")
+        F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_type", "p_name").alias("text")
     )
 
 
@@ -65,8 +65,8 @@ def catalog(spark, sf):
 
     return (
         texts(p, "domain", "p_brand")
-        .unionByName(texts(p.where("p_size > 45"), "entity", "p_type"))
-        .unionByName(texts(p.where("p_size > 48"), "attribute", "p_name"))
+        .unionByName(texts(p, "entity", "p_type"))
+        .unionByName(texts(p, "attribute", "p_name"))
     )
 
 
@@ -172,25 +172,23 @@ def k7(spark, sf):
 )
 def k8(spark, sf):
     e = table(spark, sf, "embeddings")
-    return R.top_k(e, e, "vec_id", "embedding", 5, 0.2)
+    return R.top_k(e, e, "vec_id", "embedding", 5, 0.2, block_rows=192)  # several blocks
 
 
 @bind(
     "k9_hash_embedding",
-    "conv_id:i turn:i dims:i first:r6 last:r6 norm:r6",
-    """WITH h AS (SELECT conv_id, turn, sha256(text || ':0') || sha256(text || ':32') AS hex FROM conversations),
-      v AS (SELECT conv_id, turn, list_transform(range(48), lambda j: (CAST('0x' || substr(hex, CAST(j * 2 + 1 AS BIGINT), 2) AS INTEGER) - 128) / 128.0) AS v FROM h),
+    "conv_id:i turn:i dims:i vector:s norm:r6",
+    """WITH h AS (SELECT conv_id, turn, array_to_string(list_transform(range(12), lambda k: sha256(text || ':' || CAST(k * 32 AS VARCHAR))), '') AS hex FROM conversations),
+      v AS (SELECT conv_id, turn, list_transform(range(384), lambda j: (CAST('0x' || substr(hex, CAST(j * 2 + 1 AS BIGINT), 2) AS INTEGER) - 128) / 128.0) AS v FROM h),
       n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM v)
-      SELECT conv_id, turn, 48 AS dims, v[1] / norm AS first, v[48] / norm AS last, 1.0 AS norm FROM n""",
+      SELECT conv_id, turn, 384 AS dims, array_to_string(list_transform(v, lambda x: CAST(round(x / norm * 1000000) AS BIGINT)), ',') AS vector, 1.0 AS norm FROM n""",
 )
 def k9(spark, sf):
     from ..functions.vectors import l2_norm
 
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", hash_vector("text", 48).alias("v"))
-    return rows.select(
-        "conv_id", "turn", F.size("v").alias("dims"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"),
-        l2_norm("v").alias("norm"),
-    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", hash_vector("text", 384).alias("v"))
+    shown = F.array_join(F.transform("v", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",")
+    return rows.select("conv_id", "turn", F.size("v").alias("dims"), shown.alias("vector"), l2_norm("v").alias("norm"))
 
 
 TERMS = ["the", "Der", "maison", "que", "Été", "über", "金额(元)"]

@@ -6,7 +6,6 @@ term instead of comparing every query with every text.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -186,11 +185,23 @@ CELLS = 4_000_000  # scores held at once by a task
 PARTIAL = "query_id bigint, match_id bigint, score double"
 
 
-def _scan_with_queries(queries: DataFrame, corpus: DataFrame, k: int, threshold: float, digits: int) -> DataFrame:
-    """One pass over the corpus where it lies, with a query matrix of checked size."""
-    spark = corpus.sparkSession
-    pdf = queries.toPandas()
-    shared = spark.sparkContext.broadcast((pdf["_id"].to_numpy(), _unit(pdf["_v"])))
+def _query_blocks(queries: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the queries, streamed in blocks of ``rows``."""
+    ids: list[int] = []
+    vectors: list[list[float]] = []
+    for r in queries.toLocalIterator():
+        ids.append(r._id)
+        vectors.append(r._v)
+        if len(ids) == rows:
+            yield np.array(ids), _unit(pd.Series(vectors))
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids), _unit(pd.Series(vectors))
+
+
+def _scan_with_queries(block: tuple[np.ndarray, np.ndarray], corpus: DataFrame, k: int, threshold: float, digits: int) -> DataFrame:
+    """One pass over the corpus where it lies, with a query matrix of bounded size."""
+    shared = corpus.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, q = shared.value
@@ -208,31 +219,6 @@ def _scan_with_queries(queries: DataFrame, corpus: DataFrame, k: int, threshold:
     return corpus.mapInPandas(scan, PARTIAL)
 
 
-def _block_pairs(
-    queries: DataFrame, corpus: DataFrame, qb: int, cb: int, k: int, threshold: float, digits: int
-) -> DataFrame:
-    """Both sides in hash blocks of bounded size; one matrix product per block pair."""
-
-    def blocked(df: DataFrame, blocks: int, copies: int, own: str, other: str) -> DataFrame:
-        return df.select(
-            F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other),
-            "_id",
-            "_v",
-        )
-
-    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "match_id": [], "score": []})
-        scores = np.round(_unit(q["_v"]) @ _unit(c["_v"]).T, digits) + 0.0
-        ids = np.broadcast_to(c["_id"].to_numpy(), scores.shape)
-        return _rows(q["_id"].to_numpy(), *_best(scores, ids, k), threshold)
-
-    left = blocked(queries, qb, cb, "qb", "cb").groupBy("qb", "cb")
-    right = blocked(corpus, cb, qb, "cb", "qb").groupBy("qb", "cb")
-    return left.cogroup(right).applyInPandas(pair, PARTIAL)
-
-
 def top_k(
     queries: DataFrame,
     corpus: DataFrame,
@@ -245,23 +231,16 @@ def top_k(
 ) -> DataFrame:
     """Exact top-k by cosine for many queries: (query_id, match_id, score, rank).
 
-    Up to ``block_rows`` queries (counted first) are broadcast as one matrix and the corpus
-    is scanned without a shuffle. More queries are cut, like the corpus, into blocks of
-    that size, and every block pair is one task; nothing is broadcast then. Either way a
-    task forwards at most k rows per query, and its memory follows from ``block_rows``.
-    Scores are compared at ``digits`` decimals so that equal vectors tie and fall back to
-    the id.
+    Queries take turns in blocks of ``block_rows``, whatever their number: each block is broadcast as one matrix, the
+    corpus is scanned where it lies and a task forwards at most k rows per query, which are written before the next
+    block. Scores are compared at ``digits`` decimals so that equal vectors tie and fall back to the id.
     """
     queries, corpus = (df.select(F.col(key).cast("bigint").alias("_id"), F.col(vec).alias("_v")) for df in (queries, corpus))
-    nq = queries.count()
-    if nq == 0:
-        partial = corpus.sparkSession.createDataFrame([], PARTIAL)
-    elif nq <= block_rows:
-        partial = _scan_with_queries(queries, corpus, k, threshold, digits)
-    else:
-        qb, cb = math.ceil(nq / block_rows), max(1, math.ceil(corpus.count() / block_rows))
-        partial = _block_pairs(queries, corpus, qb, cb, k, threshold, digits)
-    return rank_top(partial, ["query_id"], [F.desc("score"), F.asc("match_id")], k)
+    area = StageArea(corpus.sparkSession, "top-k")
+    best = corpus.sparkSession.createDataFrame([], PARTIAL)
+    for block in _query_blocks(queries, block_rows):
+        best = best.unionByName(area.save(_scan_with_queries(block, corpus, k, threshold, digits)))
+    return rank_top(best, ["query_id"], [F.desc("score"), F.asc("match_id")], k)
 
 
 # --- grouping by rare tokens ----------------------------------------------------------
