@@ -20,14 +20,15 @@ def union_like(frames: Sequence[DataFrame], distinct: bool = False) -> DataFrame
 def line_diff(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Distinct lines added and removed per document between two versions.
 
-    One join on the document key; the line sets are compared inside the row.
+    One join on the document key; lines travel as pairs of 64-bit hashes and are compared inside the row.
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
         trimmed = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
-        return df.select(key, F.array_distinct(lines_of(trimmed)).alias(name))
+        hashes = F.transform(lines_of(trimmed), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")))
+        return df.select(key, F.array_distinct(hashes).alias(name))
 
-    empty = F.array().cast("array<string>")
+    empty = F.array().cast("array<struct<a: bigint, b: bigint>>")
     both = side(old, "_o").join(side(new, "_n"), key, "full")
     both = both.select(
         key, F.coalesce("_o", empty).alias("_o"), F.coalesce("_n", empty).alias("_n")
@@ -73,10 +74,15 @@ def diff_datasets(old: DataFrame, new: DataFrame, keys: Sequence[str], cols: Seq
 
 
 def multiset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows with different multiplicity, tagged by the side that has more of them."""
-    gone = old.exceptAll(new).withColumn("side", F.lit("old"))
-    come = new.exceptAll(old).withColumn("side", F.lit("new"))
-    return gone.unionByName(come)
+    """Rows with different multiplicity, tagged by the side that has more of them, as often as it has more.
+
+    Both sides are counted in one aggregation, so each is read and shuffled once.
+    """
+    cols = old.columns
+    sides = old.withColumn("_count", F.lit(1)).unionByName(new.withColumn("_count", F.lit(-1)))
+    more = sides.groupBy(*cols).agg(F.sum("_count").alias("_count")).where("_count <> 0")
+    times = F.array_repeat(F.when(F.col("_count") > 0, "old").otherwise("new"), F.abs("_count").cast("int"))
+    return more.select(*cols, F.explode(times).alias("side"))
 
 
 def merge_insert_only(
