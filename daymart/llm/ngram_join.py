@@ -196,11 +196,13 @@ class NgramJoin:
         rows = rows.select("gram", "digest", F.min("digest").over(same).alias("hub"), F.max("digest").over(same).alias("top"))
         return rows.filter("hub <> top").select("gram", "digest", "hub").dropDuplicates(["gram", "digest"])
 
-    def _may_link(self, a: str, b: str) -> Column:
+    def _sizes_allow(self, n: Column, m: Column) -> Column:
+        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+
+    def _maps_allow(self, a: str, b: str, n: Column, m: Column) -> Column:
         """A bound: overlap o of a link has (100 + p) o >= p (n + m), so at most (100 - p) / (100 + p) (n + m) members differ."""
-        n, m, p = F.col(f"{a}.n"), F.col(f"{b}.n"), self.percent
         apart = reduce(add, [F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in _MAP])
-        return (100 * F.least(n, m) >= p * F.greatest(n, m)) & (apart * (100 + p) <= (100 - p) * (n + m))
+        return apart * (100 + self.percent) <= (100 - self.percent) * (n + m)
 
     def _verify(self, pairs: DataFrame, tag: str) -> DataFrame:
         """The pairs (a, b) of digests that are links, by exact overlaps."""
@@ -213,12 +215,17 @@ class NgramJoin:
         grams = self.area.save(fetched.mapInArrow(_fragments(self.width), "digest long, fragment int, grams array<long>"), f"fragments-{tag}")
         left = grams.select(F.col("digest").alias("a"), "fragment", F.col("grams").alias("x"))
         right = grams.select(F.col("digest").alias("b"), "fragment", F.col("grams").alias("y"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("shared"))
+        few = F.broadcast(pairs) if seen["n"] <= FETCH_ROWS else pairs  # then the left side stays where it is
+        partial = few.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("shared"))
         # an id that several rows of one text bear is fetched as often
         overlap = partial.groupBy("a", "b", "fragment").agg(F.max("shared").alias("shared")).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
         sizes = self.classes.select("digest", "n")
         both = overlap.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
-        return self.area.save(both.filter(100 * F.col("shared") >= self.percent * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b"), f"links-{tag}")
+        links = both.filter(100 * F.col("shared") >= self.percent * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b")
+        links = self.area.save(links, f"links-{tag}")
+        for name in ("pairs", "wanted", "fragments"):  # nothing reads them any more
+            self.area.drop(f"{name}-{tag}")
+        return links
 
     def _labels(self, links: DataFrame) -> DataFrame:
         return components(self.spark, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("digest"), "component")
@@ -234,28 +241,39 @@ class NgramJoin:
             hubs = F.array(*[F.min_by("digest", F.xxhash64("digest", F.lit(HUBS * k + j))).over(Window.partitionBy("gram")) for j in range(HUBS)])
             star = held.select(F.col("digest").alias("b"), F.col("component").alias("of_b"), F.array_distinct(hubs).alias("hubs"))
             star = star.select("b", "of_b", F.explode("hubs").alias("a")).distinct()
-            star = self._plausible(star.join(held.select(F.col("digest").alias("a"), F.col("component").alias("of_a")).distinct(), "a").filter("of_a <> of_b"))
+            star = self._plausible(star.join(held.select(F.col("digest").alias("a"), F.col("component").alias("of_a")).distinct(), "a").filter("of_a <> of_b").select("a", "b"))
             links = links.unionByName(self._verify(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"hubs-{k}"))
         # what is still apart is compared member by member
         held = self.area.save(self._open(entries, links).select("gram", "digest", "component").join(self.classes.drop("rep"), "digest"), "open")
         rest = held.alias("x").join(
             held.alias("y"),
-            (F.col("x.gram") == F.col("y.gram")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.component") != F.col("y.component")) & self._may_link("x", "y"),
+            (F.col("x.gram") == F.col("y.gram")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.component") != F.col("y.component"))
+            & self._sizes_allow(F.col("x.n"), F.col("y.n"))
+            & self._maps_allow("x", "y", F.col("x.n"), F.col("y.n")),
         )
         return links.unionByName(self._verify(rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "rest"))
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sizes and maps allow a link."""
-        own = self.classes.drop("rep")
-        return pairs.join(own.alias("x"), F.col("a") == F.col("x.digest")).join(own.alias("y"), (F.col("b") == F.col("y.digest")) & self._may_link("x", "y"))
+        """The pairs (a, b) whose sizes and maps allow a link; maps travel only where the sizes do."""
+        own, sizes = self.classes.drop("rep", "n"), self.classes.select("digest", "n")
+        pairs = pairs.select("a", "b").join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b").filter(self._sizes_allow(F.col("n"), F.col("m")))
+        pairs = pairs.join(own.alias("x"), F.col("a") == F.col("x.digest")).join(own.alias("y"), F.col("b") == F.col("y.digest"))
+        return pairs.filter(self._maps_allow("x", "y", F.col("n"), F.col("m")))
 
     def _open(self, entries: DataFrame, links: DataFrame) -> DataFrame:
-        """Entries of the n-grams whose classes are still in several components, with component and number of classes."""
+        """Entries of the n-grams whose classes are still in several components, with component and number of classes.
+
+        A class stays only if one next to it by size is near enough in size; else no class of the n-gram is.
+        """
         label = self._labels(links)
         held = entries.filter("digest <> hub").join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        held = held.join(self.classes.select("digest", "n"), "digest")
         same = Window.partitionBy("gram")
+        by_size = same.orderBy("n", "digest")
         held = held.withColumns({"low": F.min("component").over(same), "high": F.max("component").over(same), "size": F.count("*").over(same)})
-        return held.filter("low <> high")
+        held = held.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+        near = self._sizes_allow(F.col("n"), F.coalesce("less", F.lit(0))) | self._sizes_allow(F.col("n"), F.coalesce("more", F.lit(0)))
+        return held.filter((F.col("low") != F.col("high")) & near).select("gram", "digest", "component", "size")
 
     def _joined(self) -> DataFrame:
         label = self._labels(self.links())
