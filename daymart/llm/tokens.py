@@ -24,7 +24,7 @@ BLOCK_IDS = 1 << 16
 #: ids between two bit offsets
 CHECKPOINT = 64
 #: pieces of text whose ids a worker remembers, about
-REMEMBERED = 1_000_000
+REMEMBERED = 1_200_000
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -144,6 +144,13 @@ class Decoder:
 RARE_SPACE = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+# The byte-level vocabulary writes printable bytes as themselves and the others as characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+#: up to here all tables agree on what a letter is
+LATIN_END = "\u0250"
+
+
 class Encoder:
     """Ids of texts from a tokenizers file.
 
@@ -157,13 +164,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.code = {"<u2": "H", "<u4": "I"}[kind]
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(self)
         self.cuts = ["  ", " \n", "\n ", "\n\n", *[t.content for t in self.tokenizer.get_added_tokens_decoder().values()]]
         self.stops = dict(zip(".,", self._ids([".", ","])))
+        self.breaks = self._ids(["\n"])[0]
+        sample = ["word", " word", "Wörter", " élève"]
+        self.model = self.tokenizer.model if self._letters(sample, self.tokenizer.model) == self._ids(sample) else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[str], model) -> list[bytes]:
+        """Ids of words that the pre-tokenizer leaves whole, from the model alone."""
+        return [array(self.code, [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes() for x in words]
+
     def _pieces(self, text: str) -> list[str] | None:
         if any(x in text for x in self.cuts) or text[:1].isspace() or text[-1:].isspace():
             return None  # white space of more than one character, or at an end
@@ -173,33 +187,42 @@ class Encoder:
                 return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
-    def _learn(self, missing: set[str]) -> list[str]:
-        bare, first = [], set()
-        for x in missing:
-            if x[-1:] in self.stops and x[-2:-1].isalnum():
-                bare.append(x)
-                first.add(x[:-1])
-            else:
-                first.add(x)
-        first = list(first.difference(self.known))
-        self.known.update(zip(first, self._ids(first)))
-        self.known.update([(x, self.known[x[:-1]] + self.stops[x[-1]]) for x in bare])
-        return [*first, *bare]
+    def piece(self, x: str) -> bytes:
+        """Ids of a piece. Full stops, commas and line ends at a word are tokens of their own."""
+        head = tail = b""
+        y = x
+        if y[:1] == "\n" and len(y) > 1:
+            head, y = self.breaks, y[1:]
+        if y[-1:] in self.stops and y[-2:-1].isalnum():
+            tail, y = self.stops[y[-1]], y[:-1]
+        if y is not x:
+            return head + self.known[y] + tail
+        word = y[1:] if y[:1] == " " else y
+        if self.model is not None and word.isalpha() and max(word) < LATIN_END:
+            return self._letters([y], self.model)[0]
+        return self._ids([y])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as integers of the encoder's kind."""
+        get = self.known.__getitem__
         cut = [self._pieces(text) for text in texts]
-        seen: set[str] = set()
-        for pieces in cut:
-            seen.update(pieces or ())
-        full = len(self.known) > REMEMBERED
-        new = self._learn(seen.difference(self.known))
         whole = iter(self._ids([t for t, p in zip(texts, cut) if p is None]))
-        out = [next(whole) if p is None else b"".join(map(self.known.__getitem__, p)) for p in cut]
-        if full:  # what came first is mostly what comes often
-            for piece in new:
-                del self.known[piece]
-        return out
+        return [next(whole) if p is None else b"".join(map(get, p)) for p in cut]
+
+
+class Memory(dict):
+    """Ids by piece; a new piece is encoded when it is first asked for, and kept while there is room. What comes
+    first is mostly what comes often."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoder.piece(piece)
+        if len(self) < REMEMBERED:
+            self[piece] = ids
+        return ids
 
 
 #: of this Python worker; later tasks know the pieces of earlier ones
