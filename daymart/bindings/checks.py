@@ -38,7 +38,7 @@ Q4 = one("consistency", "net amount formula", f"SELECT count(*) FROM (SELECT ite
 Q5 = one("refutation", "cancelled order above 490000", f"SELECT count(*) FROM {ORDERS} WHERE order_status = '50' AND pay_amount > 490000", 15, ">0", "m > 0")
 Q6 = one("consistency", "orders against their items", "SELECT abs((SELECT count(*) FROM orders) - (SELECT count(DISTINCT l_orderkey) FROM lineitem)) / CAST((SELECT count(DISTINCT l_orderkey) FROM lineitem) AS DOUBLE)", 15, ">1%", "m > 0.01")
 Q7 = one("consistency", "orders with no items", "SELECT count(*) FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))", 15, ">0", "m > 0")
-Q8 = one("boundary", "quantity range", f"SELECT count(*) FROM {ITEMS} WHERE quantity < 2 OR quantity > 45", 15, ">50%", "m > 0.5")
+Q8 = one("boundary", "quantity range", f"SELECT CAST(count(*) FILTER (WHERE quantity < 2 OR quantity > 45) AS DOUBLE) / count(*) FROM {ITEMS}", 15, ">10%", "m > 0.1")
 Q9 = one("boundary", "blank priority", f"SELECT count(*) FROM {ORDERS} WHERE priority IS NULL OR trim(priority) = ''", 5, ">0", "m > 0")
 Q10 = one("boundary", "priority format", f"SELECT count(*) FROM {ORDERS} WHERE NOT regexp_matches(priority, '^[1-5]-[A-Z]+$')", 5, ">0", "m > 0")
 Q11 = one("fluctuation", "day volume", f"SELECT abs(a - b) / NULLIF(b, 0) FROM (SELECT CAST(count(*) FILTER (WHERE inc_day = '{BIZDATE}') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE inc_day = '19980614') AS DOUBLE) AS b FROM {ORDERS})", 5, ">50%", "m > 0.5")
@@ -52,7 +52,7 @@ def order_checks() -> list[Q.Check]:
         Q.Check("boundary", "blank priority", "orders", Q.blanks("priority"), weight="Low"),
         Q.Check("boundary", "priority format", "orders", Q.unmatched("priority", "^[1-5]-[A-Z]+$"), weight="Low"),
         Q.Check("fluctuation", "day volume", "orders", Q.day_volume_change("inc_day", BIZDATE), weight="Low", threshold=">50%",
-                where=f"inc_day BETWEEN '19980614' AND '{BIZDATE}'"),
+                where=f"inc_day BETWEEN '19980614' AND '{BIZDATE}'", ratio=True),
     ]
 
 
@@ -60,7 +60,7 @@ def item_checks() -> list[Q.Check]:
     net = "item_amount - CAST(item_amount * discount AS DECIMAL(18,2))"
     return [
         Q.Check("consistency", "net amount formula", "items", Q.formula(net, "CAST(item_amount * (1 - discount) AS DECIMAL(18,1))"), weight="High"),
-        Q.Check("boundary", "quantity range", "items", Q.out_of_range("quantity", 2, 45), threshold=">50%"),
+        Q.Check("boundary", "quantity range", "items", Q.out_of_range("quantity", 2, 45), threshold=">10%"),
     ]
 
 
@@ -107,7 +107,7 @@ for _key, _name, _sql in (
       SELECT *, round((cnt - prev_cnt) * 100.0 / prev_cnt, 2) AS pct_change FROM s WHERE abs(round((cnt - prev_cnt) * 100.0 / prev_cnt, 2)) > 30""",
 )
 def q12(spark, sf):
-    return Q.volume_band(orders(spark, sf), "inc_day", BIZDATE)
+    return Q.volume_band(orders(spark, sf, ("19980608", BIZDATE)), "inc_day", BIZDATE)
 
 
 @bind(

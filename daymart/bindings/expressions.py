@@ -129,7 +129,7 @@ def p8(spark, sf):
     cond = days.resolve_macro(
         "inc_day BETWEEN '$[monday(yyyyMMdd,-1d)]' AND '${bizdate}' OR inc_day = '$[time(yyyyMMdd,-30d)]'", BIZDATE
     )
-    return orders(spark, sf).where(cond).groupBy("inc_day").agg(F.count(F.lit(1)).alias("orders"))
+    return orders(spark, sf, ("19980517", BIZDATE)).where(cond).groupBy("inc_day").agg(F.count(F.lit(1)).alias("orders"))
 
 
 @bind(
@@ -139,7 +139,7 @@ def p8(spark, sf):
       WHERE inc_day BETWEEN '19980101' AND '{BIZDATE}' GROUP BY inc_day""",
 )
 def p9(spark, sf):
-    return orders(spark, sf).where(days.year_window("inc_day", BIZDATE)).groupBy("inc_day").agg(F.sum("pay_amount").alias("amount"))
+    return orders(spark, sf, ("19980101", BIZDATE)).where(days.year_window("inc_day", BIZDATE)).groupBy("inc_day").agg(F.sum("pay_amount").alias("amount"))
 
 
 @bind(
@@ -158,7 +158,7 @@ def p10(spark, sf):
             dedup_order=("order_time desc", "order_id"),
         ),
     ]
-    return apply_filter_rules(orders(spark, sf), rules, BIZDATE)
+    return apply_filter_rules(orders(spark, sf, ("19980101", BIZDATE)), rules, BIZDATE)
 
 
 @bind(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.days import day_of
+from ..functions.days import day_of, ts_between_days
 from ..functions.exprs import classify, money
 from ..sources.tables import load, read_files
 
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return read_files(spark, path, "parquet", _SCHEMAS[path])
 
 
+def _days(df: DataFrame, ts: str, days: tuple[str, str] | None) -> DataFrame:
+    """Rows of a day range, as a condition on the raw timestamp that reaches the scan."""
+    return df if days is None else df.where(ts_between_days(ts, *days))
+
+
 STATUS = {"50": "o_orderpriority = '5-LOW'", "20": "o_orderstatus = 'F'", "30": "o_orderstatus = 'O'"}
 
 ORDERS = """(SELECT o_orderkey AS order_id, o_custkey AS customer_id,
@@ -35,8 +40,8 @@ ORDERS = """(SELECT o_orderkey AS order_id, o_custkey AS customer_id,
   o_orderpriority AS priority, strftime(o_orderdate, '%Y%m%d') AS inc_day FROM orders)"""
 
 
-def orders(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(
+def orders(spark: SparkSession, sf: str, days: tuple[str, str] | None = None) -> DataFrame:
+    return _days(table(spark, sf, "orders"), "o_orderdate", days).select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         classify(STATUS, "10").alias("order_status"),
@@ -53,8 +58,8 @@ ITEMS = """(SELECT l_orderkey AS order_id, l_partkey AS product_id, l_suppkey AS
   strftime(l_shipdate, '%Y%m%d') AS inc_day FROM lineitem)"""
 
 
-def items(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+def items(spark: SparkSession, sf: str, days: tuple[str, str] | None = None) -> DataFrame:
+    return _days(table(spark, sf, "lineitem"), "l_shipdate", days).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("supplier_id"),
@@ -72,8 +77,8 @@ SESSIONS = """(SELECT event_id AS session_id, user_id, ts AS login_time, CAST(va
   event_type AS feature_name, strftime(ts, '%Y%m%d') AS inc_day FROM events)"""
 
 
-def sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+def sessions(spark: SparkSession, sf: str, days: tuple[str, str] | None = None) -> DataFrame:
+    return _days(table(spark, sf, "events"), "ts", days).select(
         F.col("event_id").alias("session_id"),
         "user_id",
         F.col("ts").alias("login_time"),

@@ -120,7 +120,7 @@ def b5(spark, sf):
 )
 def b6(spark, sf):
     detail = (
-        items(spark, sf)
+        items(spark, sf, ("19980615", "19980621"))
         .groupBy(F.col("supplier_id").cast("string").alias("dept_code"), "inc_day")
         .agg(F.count(F.lit(1)).alias("order_cnt"), F.sum("item_amount").alias("order_amount"), F.sum("quantity").alias("pickup_cnt"))
     )

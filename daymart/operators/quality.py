@@ -32,7 +32,9 @@ RESULT_SCHEMA = "category string, name string, weight int, measured double, thre
 class Check:
     """One check. Either ``measure`` (an aggregate over ``source``) or ``frame`` (a
     function of all sources giving one row with a number) is set. ``where`` limits the rows
-    of the source, usually to its day partitions, and reaches the scan."""
+    of the source, usually to its day partitions, and reaches the scan. A measure counts
+    rows unless ``ratio`` says that it is a share already; a percent threshold is compared
+    with the share of the source's rows."""
 
     category: str
     name: str
@@ -42,6 +44,7 @@ class Check:
     weight: str = "Medium"
     threshold: str = ">0"
     where: str = ""
+    ratio: bool = False
 
     @property
     def points(self) -> int:
@@ -185,7 +188,10 @@ def _rows(check: Check, sources: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def _measure(check: Check) -> Column:
-    return F.expr(check.measure) if isinstance(check.measure, str) else check.measure
+    value = F.expr(check.measure) if isinstance(check.measure, str) else check.measure
+    if check.threshold.rstrip().endswith("%") and not check.ratio:
+        return F.try_divide(value.cast("double"), F.count(F.lit(1)))
+    return value
 
 
 def _single(check: Check, sources: Mapping[str, DataFrame]) -> DataFrame:

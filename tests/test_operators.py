@@ -346,3 +346,9 @@ def test_unstable_job_is_found(spark):
     assert bag(contracts.idempotent(job, ["k"])) == [("changed", 1), ("same", 1)]
     random_job = lambda: spark.range(5).withColumn("v", F.rand())
     assert bag(contracts.idempotent(random_job, ["id"]), "state") == [("changed",)]
+
+
+def test_percent_threshold_reads_the_share(spark):
+    df = spark.createDataFrame([(i,) for i in range(10)], "n int")
+    run = lambda bound: quality.suite({"t": df}, [quality.Check("boundary", "n", "t", quality.out_of_range("n", 1, 9), threshold=bound)]).first()
+    assert (run(">50%").measured, run(">50%").status, run(">5%").status, run(">0").measured) == (0.1, "PASSED", "FAILED", 1.0)
