@@ -170,28 +170,56 @@ def io13(spark, sf):
     )
 
 
+DESCRIBED = ("customer", "supplier", "events")
+
+
 @bind(
     "io3_describe_table",
-    "column:s type:s comment:s is_partition:b",
-    """SELECT * FROM (VALUES ('session_id', 'bigint', 'primary key', FALSE), ('user_id', 'bigint', 'who was active', FALSE),
-      ('duration_seconds', 'decimal(18,2)', 'length in seconds', FALSE), ('inc_day', 'string', 'day partition', TRUE)) AS v("column", type, comment, is_partition)""",
+    "table_name:s column:s type:s is_partition:b filled:i",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, c.column_name AS "column",
+          CASE WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'INTEGER' THEN 'int' WHEN column_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type,
+          c.column_name IN ('c_mktsegment', 's_nationkey', 'event_type') AS is_partition, filled
+        FROM (DESCRIBE SELECT * FROM {t}) c JOIN (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE filled) f ON c.column_name = f.column_name"""
+        for t in DESCRIBED
+    ),
 )
 def io3(spark, sf):
-    name = new_table(spark, "describe")
-    io.write_partitions(rows(spark, sf), name)
-    return io.describe_table(spark, name)
+    """The catalog's columns of three written tables, each with the values that the table holds."""
+    out = None
+    for t, part in zip(DESCRIBED, ("c_mktsegment", "s_nationkey", "event_type")):
+        name = f"dwd_{t}_{uuid.uuid4().hex[:10]}"
+        table(spark, sf, t).write.partitionBy(part).option("path", StageArea(spark, "describe").path(name)).saveAsTable(name)
+        described = io.describe_table(spark, name)
+        held = spark.table(name)
+        counts = held.agg(*[F.count(c).alias(c) for c in held.columns]).first().asDict()
+        spark.sql(f"DROP TABLE {name}")
+        filled = spark.createDataFrame(list(counts.items()), "column string, filled bigint")
+        one = described.join(filled, "column").select(F.lit(t).alias("table_name"), "column", "type", "is_partition", "filled")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @bind(
     "io4_list_tables",
-    "database:s comment:s tables:i",
-    "SELECT 'default' AS database, 'session facts' AS comment, 1 AS tables",
+    "table_name:s comment:s nations:i",
+    """SELECT 'dim_' || lower(replace(r_name, ' ', '_')) AS table_name, 'nations of ' || r_name AS comment, count(n_nationkey) AS nations
+      FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL""",
 )
 def io4(spark, sf):
-    name = new_table(spark, "list")
-    io.write_partitions(rows(spark, sf), name)
-    found = io.list_tables(spark, "default", name.upper())
-    return found.groupBy(F.element_at(F.split("database", r"\."), -1).alias("database"), "comment").agg(F.count(F.lit(1)).alias("tables"))
+    """One table per region, found again by a word of its name or comment."""
+    tag = uuid.uuid4().hex[:10]
+    nations = table(spark, sf, "nation")
+    for r in table(spark, sf, "region").collect():
+        name = f"dim_{r.r_name.lower().replace(' ', '_')}_{tag}"
+        path = StageArea(spark, "list").path(name)
+        nations.where(F.col("n_regionkey") == r.r_regionkey).write.option("path", path).saveAsTable(name)
+        spark.sql(f"COMMENT ON TABLE {name} IS 'nations of {r.r_name}'")
+    found = [r for r in io.list_tables(spark, "default", "nations of ").collect() if r.table_name.endswith(tag)]
+    found = [(r.table_name.removesuffix(f"_{tag}"), r.comment, spark.table(r.table_name).count()) for r in found]
+    for r in io.list_tables(spark, "default", tag).collect():
+        spark.sql(f"DROP TABLE {r.table_name}")
+    return spark.createDataFrame(found, "table_name string, comment string, nations bigint")
 
 
 @bind(

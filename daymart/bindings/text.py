@@ -218,9 +218,10 @@ def k10(spark, sf):
     "doc_id:i group_id:i",
     r"""WITH RECURSIVE t AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_]{3,}'))) AS token FROM documents),
       r AS (SELECT token FROM t WHERE token NOT IN ('select','from','where','group','order','left','cast','round') GROUP BY 1 HAVING count(*) BETWEEN 2 AND 3),
-      e AS (SELECT DISTINCT a.doc_id AS s, b.doc_id AS d FROM t a JOIN t b USING (token) JOIN r USING (token)),
-      c AS (SELECT s AS doc_id, s AS root FROM e UNION SELECT e.d, c.root FROM c JOIN e ON e.s = c.doc_id WHERE c.root <= e.d)
-      SELECT d.doc_id, coalesce(min(c.root), d.doc_id) AS group_id FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""",
+      p AS (SELECT a.doc_id AS s, b.doc_id AS d, count(*) AS n FROM t a JOIN t b USING (token) JOIN r USING (token) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+      e AS (SELECT s, d FROM p QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, s) = 1),
+      c AS (SELECT doc_id, doc_id AS root FROM documents WHERE doc_id NOT IN (SELECT d FROM e) UNION ALL SELECT e.d, c.root FROM c JOIN e ON e.s = c.doc_id)
+      SELECT doc_id, root AS group_id FROM c""",
 )
 def k13(spark, sf):
     return R.group_by_rare_tokens(table(spark, sf, "documents"), "doc_id")

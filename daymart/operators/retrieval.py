@@ -250,7 +250,8 @@ RARE_AT_MOST = 3
 
 
 def rare_token_edges(items: DataFrame, key: str, text: str) -> DataFrame:
-    """Star edges (src, dst) from the smallest item of each rare token to its others.
+    """(src, dst) from every item to the earlier one (smaller id) that it shares most rare tokens with; the smallest
+    of several.
 
     A token in more than three items is no anchor. Count, smallest, largest and sum of the
     integer ids name all items of a rare token, so one aggregation with partial sums is
@@ -263,9 +264,13 @@ def rare_token_edges(items: DataFrame, key: str, text: str) -> DataFrame:
         F.sum(F.col("id").cast("decimal(38,0)")).alias("total"),
     )
     middle = (F.col("total") - F.col("src") - F.col("hi")).cast("bigint")
-    others = F.when(F.col("n") == 2, F.array("hi")).otherwise(F.array(middle, F.col("hi")))
+    pair = lambda a, b: F.struct(a.alias("src"), b.alias("dst"))
+    lo, hi = F.col("src"), F.col("hi")
+    pairs = F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, middle), pair(lo, hi), pair(middle, hi)))
     rare = stats.where((F.col("n") >= 2) & (F.col("n") <= RARE_AT_MOST))
-    return rare.select("src", F.explode(others).alias("dst")).distinct()
+    shared = rare.select(F.inline(pairs)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("dst").agg(F.min(F.struct((-F.col("n")).alias("n"), "src")).alias("best"))
+    return best.select("best.src", "dst")
 
 
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -305,6 +310,7 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
 
 
 def group_by_rare_tokens(items: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, group_id): items linked through shared rare tokens; others are alone."""
+    """(key, group_id): an item joins the group of the earlier item that it shares most rare tokens with, so one shared
+    token doesn't chain groups; an item that shares none starts a group. The group is named by its smallest id."""
     found = components(items.sparkSession, rare_token_edges(items, key, text)).withColumnRenamed("id", key)
     return items.select(key).join(found, key, "left").select(key, F.coalesce("component", key).alias("group_id"))
