@@ -9,12 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 #: bytes of text that one numpy step works on; a longer document is a step of its own
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: rows of one step at most
 CHUNK_ROWS = 4096
+#: rows that Spark sends to Python at once, at most; texts are long, so its default of 10,000 takes much memory
+BATCH_ROWS = 2048
 
 
 def body(text_col: str = "text") -> Column:
@@ -31,6 +33,13 @@ def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,7 +61,7 @@ class Chunk:
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cut a non-null binary column into steps of about ``limit`` bytes, whole rows each."""
+    """Cut a binary or string column into steps of about ``limit`` bytes, whole rows each; null counts as empty."""
     n = len(column)
     if n == 0:
         return
@@ -169,6 +178,7 @@ def binary(values: list[bytes]) -> pa.Array:
 
 def plain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text's bytes, under names of their own, so that no other column can clash."""
+    small_batches(df.sparkSession)
     return df.select(column(id_col).alias("doc_id"), raw(text_col).alias("body"))
 
 
@@ -184,16 +194,21 @@ def annotate(
     ``start`` runs once per task and returns the function from a batch's texts to the new columns. ``keep`` names the
     columns to carry along (all by default); they travel under numbered names, so no name can clash on the way.
     """
+    small_batches(docs.sparkSession)
     keep = tuple(docs.columns) if keep is None else keep
     names = [f"k{i}" for i in range(len(keep))]
     inner = docs.select(*[column(c).alias(n) for c, n in zip(keep, names)], raw(text_col).alias("body"))
     added = StructType.fromDDL(fields)
     schema = StructType([*inner.schema.fields[:-1], *added.fields])
+    body_at = len(names)
+    if text_col in keep and docs.schema[text_col].dataType == StringType():  # the text needs to travel once only
+        body_at = keep.index(text_col)
+        inner = inner.drop("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            out = work(batch.column(len(names)))
+            out = work(batch.column(body_at))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *out], names=[*names, *added.names])
 
     return inner.mapInArrow(run, schema).toDF(*keep, *added.names)

@@ -83,13 +83,22 @@ def _profile(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            if waiting:
+                counts[:] += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+                waiting.clear()
+
         names = ["doc_id", "mark", "n", "digest", *_MAP, "slice", "cells"]
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
             for part in chunks(batch.column(2)):
                 hashes, at = shingle_sets(part, width)
-                counts += np.bincount((hashes >> _CELL).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                waiting.append((hashes >> _CELL).astype(np.uint32))
+                if sum(map(len, waiting)) > len(counts) // 4:
+                    count()
                 maps = _maps(hashes, at)
                 out = [batch.column(k).slice(part.lo, len(part)) for k in (0, 1)]
                 out += [pa.array(np.diff(at).astype(np.int32)), pa.array(_digests(hashes, at))]
@@ -97,6 +106,7 @@ def _profile(width: int):
                 none = len(part)
                 yield pa.RecordBatch.from_arrays([*out, pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
         if id_type is not None:
+            count()
             pieces = counts.reshape(SLICES, -1)
             used = np.flatnonzero(pieces.any(axis=1))
             none = len(used)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import StageArea
-from .common import chunks, column, mix64, parts, prefix_hash, ranges, raw, slice_hash
+from .common import chunks, column, mix64, parts, prefix_hash, ranges, raw, slice_hash, small_batches
 
 #: bytes of the k-gram that a suffix is partitioned by
 TOKEN = 40
@@ -269,6 +269,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     if window < 8:
         raise ValueError("strings of less than 8 bytes are not supported")
     area = StageArea(docs.sparkSession, "suffixes")
+    small_batches(docs.sparkSession)
     texts = docs.select(column(id_col).alias("doc_id"), raw(text_col).alias("body")).withColumn("mark", F.hash("body"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     pieces = texts.filter(F.length("body") >= window).select("doc_id", "mark", "body")
