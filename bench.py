@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -21,6 +22,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
+    scratch = tempfile.mkdtemp(prefix="spark-bench-")
     spark = build_session(
         "bench",
         f"local[{cpus}]",
@@ -29,6 +31,8 @@ def main() -> None:
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": f"{scratch}/checkpoint",
+            "spark.sql.warehouse.dir": f"{scratch}/warehouse",
         },
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -84,7 +84,7 @@ def io5(spark, sf):
 )
 def io6(spark, sf):
     sql = "select supplier_id, count(*) as items, sum(item_amount) as amount from {items} group by supplier_id order by amount desc, supplier_id"
-    return io.run_sql(spark, sql, {"items": items(spark, sf)})
+    return io.run_sql(spark, sql, {"items": items(spark, sf)}, max_rows=1000)
 
 
 @bind(

@@ -42,14 +42,17 @@ def est_tokens(text: Column | str) -> Column:
     return F.floor((cjk * 5 + F.length(c)) / 4).cast("bigint")
 
 
-def clean_text(text: Column | str) -> Column:
-    """Drop images and tags, fold runs of rules and blank lines; short texts stay."""
+def clean_text(text: Column | str, min_chars: int = CLEAN_MIN_CHARS) -> Column:
+    """Drop images and tags, fold runs of rules and blank lines.
+
+    Texts of less than ``min_chars`` characters stay as they are; 0 cleans all.
+    """
     c = as_col(text)
     out = F.regexp_replace(c, r"(?d)!\[.*?\]\(.*?\)", "")
     out = F.regexp_replace(out, r"<[^>]+>", "")
     out = F.regexp_replace(out, r"(?dm)(^---\s*\n){3,}", "---\n\n")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.when(F.length(c) < CLEAN_MIN_CHARS, c).otherwise(out)
+    return F.when(F.length(c) < min_chars, c).otherwise(out)
 
 
 def unescape_md(text: Column | str) -> Column:

@@ -32,7 +32,7 @@ INSERTED = r"(?i)\binsert\s+(?:overwrite|into)\s+(?:table\s+)?(\w+\.\w+)"
 INSERT_LINE = r"(?i)insert\s+(?:overwrite\s+)?(?:into\s+)?table\s+([A-Za-z0-9_.]+)"
 PARTITION_LINE = r"(?i)partition\s*\((.*)$"
 PARTITION_WINDOW = 4
-JOINS = r"(?i)\b(?:(?:left|right|full)(?:\s+outer)?\s+|inner\s+|cross\s+)?join\b"
+JOINS = r"(?i)\bjoin\b"
 ON_OR_USING = r"(?i)\b(?:on|using)\b"
 NOT_ALIASES = (
     "where", "on", "left", "right", "inner", "full", "cross", "join", "group", "order", "union", "having",

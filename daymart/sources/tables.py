@@ -72,9 +72,10 @@ def sample_table(df: DataFrame, day_pred: Column, n: int = 10, order: Sequence[C
     return rows.limit(n)
 
 
-def run_sql(spark: SparkSession, sql: str, sources: Mapping[str, DataFrame] | None = None, max_rows: int = 1000) -> DataFrame:
-    """Run a statement and hand back at most ``max_rows`` rows."""
-    return spark.sql(sql, **(sources or {})).limit(max_rows)
+def run_sql(spark: SparkSession, sql: str, sources: Mapping[str, DataFrame] | None = None, *, max_rows: int | None) -> DataFrame:
+    """Run a statement and hand back at most ``max_rows`` rows, or all of them for None. The caller always says which."""
+    rows = spark.sql(sql, **(sources or {}))
+    return rows if max_rows is None else rows.limit(max_rows)
 
 
 # Corpus file kinds and folders never scanned.

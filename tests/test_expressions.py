@@ -83,6 +83,7 @@ def test_clean_text(spark):
     got = one(spark, text.clean_text(F.col("t")), t=body)
     assert got == "a  c\n---\n\nend" + "z" * 500
     assert one(spark, text.clean_text(F.col("t")), t="<b>short</b>") == "<b>short</b>"
+    assert one(spark, text.clean_text(F.col("t"), min_chars=0), t="<b>short</b>") == "short"
 
 
 def test_names(spark):
