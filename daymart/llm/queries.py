@@ -63,6 +63,46 @@ SQL = {
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op3_chat_formatting": r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text,
+    coalesce(conv_id::VARCHAR, chr(0)) AS c, coalesce(turn, -1)::BIGINT AS t FROM conversations),
+l AS (
+  SELECT rid, c, t, line, pos, regexp_extract(line, '^(?:[ \t]*>)+') AS marks, len(regexp_replace(marks, '[^>]', '', 'g')) AS level
+  FROM (SELECT rid, c, t, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS pos FROM m)),
+n AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY rid ORDER BY pos), 0) AS after FROM l),
+kept AS (
+  SELECT rid, regexp_replace(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT
+    (after > 0 AND regexp_matches(line, '(?i)\b(?:wrote|writes|schrieb|écrit|escribió)\s*:\s*$'))), '^\s*\n|\s+$', '', 'g') AS own
+  FROM n GROUP BY rid HAVING max(level) > 0),
+o AS (SELECT m.*, CASE WHEN kept.rid IS NULL THEN text ELSE coalesce(own, '') END AS own FROM m LEFT JOIN kept USING (rid)),
+passages AS (
+  SELECT DISTINCT c, t, trim(regexp_replace(lower(p), '\s+', ' ', 'g'), ' ') AS norm FROM (
+    SELECT c, t, unnest(list_concat([own], string_split_regex(own, '\n[ \t]*\n'), string_split(own, chr(10)))) AS p FROM o)),
+runs AS (
+  SELECT rid, c, t, level, min(pos) AS line, string_agg(trim(substr(line, len(marks) + 1), ' '), chr(10) ORDER BY pos) AS text
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY rid, level ORDER BY pos) AS run FROM l WHERE level > 0) GROUP BY rid, c, t, level, run),
+keys AS (
+  SELECT rid, c, t, level, line, rank, trim(regexp_replace(lower(p), '\s+', ' ', 'g'), ' ') AS norm FROM (
+    SELECT *, unnest(list_concat([text], string_split_regex(text, '\n\n+'))) AS p,
+      generate_subscripts(list_concat([text], string_split_regex(text, '\n\n+')), 1) AS rank FROM runs)),
+found AS (
+  SELECT k.*, (SELECT max(p.t) FROM passages p WHERE p.c = k.c AND p.norm = k.norm AND p.t < k.t) AS near, f.far
+  FROM keys k LEFT JOIN (SELECT norm, min({'c': c, 't': t}) AS far FROM passages GROUP BY norm) f ON f.norm = k.norm AND f.far.c <> k.c WHERE k.norm <> ''),
+links AS (
+  SELECT rid, c, t, level, line, near, CASE WHEN near IS NULL THEN far END AS far FROM found
+  QUALIFY row_number() OVER (PARTITION BY rid, level, line ORDER BY near IS NULL, far IS NULL AND near IS NULL, rank) = 1),
+answers AS (
+  SELECT rid, count(*) AS n_quotes, max(level) AS levels, -(min({'level': level, 'up': -near}) FILTER (near IS NOT NULL)).up AS reply,
+    (min({'level': level, 'line': line, 'far': far}) FILTER (far IS NOT NULL)).far AS far FROM links GROUP BY rid),
+ups AS (SELECT c, t, max(reply) AS up FROM m JOIN answers USING (rid) WHERE reply IS NOT NULL GROUP BY c, t),
+roots AS (
+  SELECT DISTINCT c, t, t AS root FROM m WHERE (c, t) NOT IN (SELECT c, t FROM ups)
+  UNION ALL SELECT u.c, u.t, r.root FROM roots r JOIN ups u ON u.c = r.c AND u.up = r.t)
+SELECT conv_id, turn, role, own AS text, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(levels, 0)::INTEGER AS levels, reply AS reply_turn,
+  nullif(far.c, chr(0)) AS quoted_conv, far.t AS quoted_turn, root AS root_turn,
+  (row_number() OVER (PARTITION BY c ORDER BY root, t) - 1)::BIGINT AS position, '<|' || coalesce(role, '') || '|>' || chr(10) || own AS chat
+FROM o LEFT JOIN answers USING (rid) JOIN roots USING (c, t)""",
     "op7_ngram_join": r"""
 WITH RECURSIVE words AS (
   SELECT row_number() OVER () AS rid, doc_id,

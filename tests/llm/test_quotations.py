@@ -108,6 +108,20 @@ def test_links(result):
     assert got == want
 
 
+def test_sql_says_the_same():
+    import duckdb
+
+    from daymart.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn INTEGER, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(d) for d in DATA])
+    cur = con.execute(SQL["op3_chat_formatting"])
+    names = [d[0] for d in cur.description]
+    at = [names.index(k) for k in "conv_id turn role text n_quotes levels reply_turn quoted_conv quoted_turn root_turn".split()]
+    assert Counter(tuple(r[i] for i in at) for r in cur.fetchall()) == Counter(map(tuple, brute(DATA)))
+
+
 def test_order(result):
     by = defaultdict(list)
     for r in result:
