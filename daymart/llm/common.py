@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -182,6 +185,23 @@ def plain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(column(id_col).alias("doc_id"), raw(text_col).alias("body"))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving memory back at its end: Python workers outlive their tasks, and what they keep counts against
+    the executor while later stages run."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def annotate(
     docs: DataFrame,
     start: Callable[[], Callable[[pa.Array], list[pa.Array]]],
@@ -211,4 +231,4 @@ def annotate(
             out = work(batch.column(body_at))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *out], names=[*names, *added.names])
 
-    return inner.mapInArrow(run, schema).toDF(*keep, *added.names)
+    return inner.mapInArrow(tidy(run), schema).toDF(*keep, *added.names)

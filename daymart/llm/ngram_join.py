@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.retrieval import components
 from ..session import StageArea
-from .common import Chunk, body, chunks, column, lower, mix64, plain, prefix_hash, ranges, raw, slice_hash, space_words
+from .common import Chunk, body, chunks, column, lower, mix64, plain, prefix_hash, ranges, raw, slice_hash, space_words, tidy
 
 #: n-grams are counted in 2 ** SKETCH_BITS cells; a cell's count, in steps of 2 ** (1/8), is the first order key
 SKETCH_BITS = 22
@@ -187,9 +187,9 @@ class NgramJoin:
         source = plain(docs, id_col, text_col).select("doc_id", F.xxhash64("body").alias("mark"), "body")
         kind = source.schema["doc_id"].dataType.simpleString()
         maps = ", ".join(f"{m} long" for m in _MAP)
-        scanned = self.area.save(source.mapInArrow(_profile(width), f"doc_id {kind}, mark long, n int, digest long, {maps}, slice int, cells binary"), "profiles")
+        scanned = self.area.save(source.mapInArrow(tidy(_profile(width)), f"doc_id {kind}, mark long, n int, digest long, {maps}, slice int, cells binary"), "profiles")
         self.members = scanned.filter("slice IS NULL").select("doc_id", "mark", "n", "digest", *_MAP)
-        cells = scanned.filter("slice IS NOT NULL").select("slice", "cells").repartition("slice").mapInArrow(_add_slices, "slice int, cells binary")
+        cells = scanned.filter("slice IS NOT NULL").select("slice", "cells").repartition("slice").mapInArrow(tidy(_add_slices), "slice int, cells binary")
         counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.float64)
         for r in cells.toLocalIterator():  # 2 ** SKETCH_BITS counts, whatever the input
             counts[r.slice] = np.frombuffer(r.cells, "<u8")
@@ -200,7 +200,7 @@ class NgramJoin:
 
     def _entries(self) -> DataFrame:
         """(gram, digest, hub) of the prefix n-grams that several classes share; hub is the smallest of them."""
-        rows = self.texts.select(F.col("body").cast("binary")).mapInArrow(_prefixes(self.width, self.percent, self.order), "digest long, prefix array<long>")
+        rows = self.texts.select(F.col("body").cast("binary")).mapInArrow(tidy(_prefixes(self.width, self.percent, self.order)), "digest long, prefix array<long>")
         same = Window.partitionBy("gram")
         rows = rows.select("digest", F.explode("prefix").alias("gram"))
         rows = rows.select("gram", "digest", F.min("digest").over(same).alias("hub"), F.max("digest").over(same).alias("top"))
@@ -222,7 +222,7 @@ class NgramJoin:
         ids = sides.select("rep").distinct()
         ids = F.broadcast(ids) if listed["n"] <= FETCH_ROWS else ids
         fetched = self.texts.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select(F.col("body").cast("binary"))
-        grams = self.area.save(fetched.mapInArrow(_fragments(self.width), "digest long, fragment int, grams array<long>"), f"fragments-{tag}")
+        grams = self.area.save(fetched.mapInArrow(tidy(_fragments(self.width)), "digest long, fragment int, grams array<long>"), f"fragments-{tag}")
         left = grams.select(F.col("digest").alias("a"), "fragment", F.col("grams").alias("x"))
         right = grams.select(F.col("digest").alias("b"), "fragment", F.col("grams").alias("y"))
         few = F.broadcast(pairs) if seen["n"] <= FETCH_ROWS else pairs  # then the left side stays where it is

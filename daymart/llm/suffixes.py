@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import StageArea
-from .common import chunks, column, mix64, parts, prefix_hash, ranges, raw, slice_hash, small_batches
+from .common import chunks, column, mix64, parts, prefix_hash, ranges, raw, slice_hash, small_batches, tidy
 
 #: bytes of the k-gram that a suffix is partitioned by
 TOKEN = 40
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     texts = docs.select(column(id_col).alias("doc_id"), raw(text_col).alias("body")).withColumn("mark", F.hash("body"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     pieces = texts.filter(F.length("body") >= window).select("doc_id", "mark", "body")
-    pieces = pieces.mapInArrow(_pieces(window), f"token long, digest long, doc_id {kind}, mark int, lo int, n int, twice boolean")
+    pieces = pieces.mapInArrow(tidy(_pieces(window)), f"token long, digest long, doc_id {kind}, mark int, lo int, n int, twice boolean")
     shared = pieces.groupBy("token").agg(F.count("*").alias("places"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("twice").alias("twice"))
     shared = shared.filter("places > 1 OR twice").select("token", (F.expr("low <> high OR places = 1")).alias("mixed"))
     held = area.save(pieces.drop("twice").join(shared, "token"), "pieces")
@@ -284,14 +284,14 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     wanted = kinds.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("token", "digest", "copies", "many", "lo", "n")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc_id": "id", "mark": "m"})
     fetched = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).select("body", "wanted")
-    cut = fetched.mapInArrow(_cut(window), "token long, digest long, copies long, many boolean, piece binary")
+    cut = fetched.mapInArrow(tidy(_cut(window)), "token long, digest long, copies long, many boolean, piece binary")
     cut = area.save(cut.dropDuplicates(["token", "digest"]), "kinds")  # a repeated row brings its pieces twice
 
     runs = "token long, digest long, runs array<struct<a: int, b: int>>"
     cold = cut.filter("NOT many").select("token", "digest", "copies", "piece").repartitionByRange(parts(docs.sparkSession), "token")
-    found = cold.sortWithinPartitions("token").mapInArrow(_sort_bucket(window), runs)
+    found = cold.sortWithinPartitions("token").mapInArrow(tidy(_sort_bucket(window)), runs)
     prints = cut.filter("many").select("token", "digest", "copies", "piece")
-    prints = prints.mapInArrow(_fingerprints(window), "token long, digest long, copies long, at int, x long, y long")
+    prints = prints.mapInArrow(tidy(_fingerprints(window)), "token long, digest long, copies long, at int, x long, y long")
     twice = prints.groupBy("token", "x", "y").agg(F.sum("copies").alias("times")).filter("times > 1").select("token", "x", "y")
     hot = prints.join(twice, ["token", "x", "y"]).groupBy("token", "digest").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("runs"))
     found = area.save(found.unionByName(hot).filter(F.size("runs") > 0), "runs")
@@ -302,4 +302,4 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     spans = whole.unionByName(some).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = spans.withColumnsRenamed({"doc_id": "id", "mark": "m"})
     rows = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "body", "spans")
-    return rows.mapInArrow(_keep, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(tidy(_keep), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

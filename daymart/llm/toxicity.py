@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import StageArea
-from .common import annotate, chunks, column, raw, split_words
+from .common import annotate, chunks, column, raw, split_words, tidy
 from .ngram_join import shingle_sets
 
 #: labelled rows of each class that the examples are taken from, at most (those with the smallest id hashes)
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     chosen = area.save(_apart(chosen), "apart")
 
-    seen = chosen.select("body", "label").mapInArrow(_class_terms, "term binary, clean long, toxic long")
+    seen = chosen.select("body", "label").mapInArrow(tidy(_class_terms), "term binary, clean long, toxic long")
     seen = seen.groupBy("term").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1"))
     size = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = seen.filter(telling).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS)
     terms = [bytes(r.term) for r in best.select("term").collect()]  # at most TERMS
 
-    held = docs.select(raw(text_col)).mapInArrow(_held_by(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    held = docs.select(raw(text_col)).mapInArrow(tidy(_held_by(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     frequency = {r.term: r.n for r in held}
     df = np.array([frequency.get(i, 0) for i in range(len(terms))], np.float64)
     vocabulary = Vocabulary(terms, np.log((1 + frequency.get(-1, 0)) / (1 + df)) + 1)
