@@ -78,14 +78,15 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     """The ids' bits, and the number of bits of every CHECKPOINT ids as 16-bit integers."""
     if not len(ids):
         return b"", b""
-    width = lengths[ids].astype(np.int64)
+    width = lengths.astype(np.int64)[ids]
     if not width.all():
         raise ValueError("an id has no code")
     end = np.cumsum(width)
     begin = end - width
     words = np.zeros(int(end[-1]) // 32 + 2, np.uint64)
     # a code lies in one or two 32-bit words; what falls into one word never overlaps, so sums are unions
-    shifted = codes[ids].astype(np.uint64) << (np.uint64(64) - width.astype(np.uint64) - (begin & 31).astype(np.uint64))
+    left = codes.astype(np.uint64) << (np.uint64(64) - np.maximum(lengths, 1).astype(np.uint64))  # codes at the top
+    shifted = left[ids] >> (begin & 31).view(np.uint64)
     word = begin >> 5
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     words[word[first]] += np.add.reduceat(shifted >> np.uint64(32), first)
@@ -109,7 +110,7 @@ class Decoder:
 
     def unpack(self, blocks: list[tuple[bytes, bytes, int]]) -> list[np.ndarray]:
         """Ids of blocks of (bits, marks, number of ids)."""
-        at, base, sizes = [], 0, []
+        at, base, sizes, padded = [], 0, [], []
         for bits, marks, n in blocks:
             steps = np.frombuffer(marks, "<u2").astype(np.int64)
             at.append(base * 8 + np.cumsum(steps) - steps)
@@ -117,9 +118,10 @@ class Decoder:
             if n:
                 full[-1] = n - CHECKPOINT * (len(steps) - 1)
             sizes.append(full)
-            base += len(bits)
-        data = np.frombuffer(b"".join([*[b for b, _, _ in blocks], bytes(8)]), np.uint8)
-        windows = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))
+            padded.append(bits + bytes(-len(bits) % 4))
+            base += len(padded[-1])
+        words = np.frombuffer(b"".join([*padded, bytes(8)]), ">u4").astype(np.uint64)
+        windows = (words[:-1] << np.uint64(32)) | words[1:]  # 64 bits from every 32-bit word on
         lane, size = np.concatenate(at), np.concatenate(sizes)
         out = np.zeros((len(lane), CHECKPOINT), np.uint32)
         mask = np.uint64((1 << self.bits) - 1)
@@ -131,8 +133,7 @@ class Decoder:
             if not n:
                 break
             pos = lane[:n]
-            word = windows[pos >> 3].copy().view(">u8")[:, 0].astype(np.uint64)
-            code = (word >> (np.uint64(64 - self.bits) - (pos & 7).astype(np.uint64))) & mask
+            code = ((windows[pos >> 5] >> (np.int64(64 - self.bits) - (pos & 31)).view(np.uint64)) & mask).view(np.int64)
             got[:n, k] = self.ids[code]
             lane[:n] += self.widths[code]
         out[turn] = got
