@@ -190,10 +190,10 @@ class NgramJoin:
         scanned = self.area.save(source.mapInArrow(tidy(_profile(width)), f"doc_id {kind}, mark long, n int, digest long, {maps}, slice int, cells binary"), "profiles")
         self.members = scanned.filter("slice IS NULL").select("doc_id", "mark", "n", "digest", *_MAP)
         cells = scanned.filter("slice IS NOT NULL").select("slice", "cells").repartition("slice").mapInArrow(tidy(_add_slices), "slice int, cells binary")
-        counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.float64)
+        order = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
         for r in cells.toLocalIterator():  # 2 ** SKETCH_BITS counts, whatever the input
-            counts[r.slice] = np.frombuffer(r.cells, "<u8")
-        self.order = self.spark.sparkContext.broadcast(np.minimum(255, np.round(8 * np.log2(counts.ravel() + 1))).astype(np.uint8))
+            order[r.slice] = np.minimum(255, np.round(8 * np.log2(np.frombuffer(r.cells, "<u8") + 1.0)))
+        self.order = self.spark.sparkContext.broadcast(order.ravel())
         self.classes = self.area.save(
             self.members.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in _MAP]), "classes"
         )
@@ -246,15 +246,17 @@ class NgramJoin:
         star = entries.filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
         star = self._plausible(star)
         links = self._verify(star.select("a", "b"), "hubs")
-        for k in range(ROUNDS):
-            held = self._open(entries, links).filter(F.col("size") > SMALL)
+        left = entries.filter("digest <> hub").select("gram", "digest")
+        for k in range(ROUNDS):  # components only grow, so each round goes on with what the one before left open
+            left = self.area.save(self._open(left, links), f"open-{k}")
+            held = left.filter(F.col("size") > SMALL)
             hubs = F.array(*[F.min_by("digest", F.xxhash64("digest", F.lit(HUBS * k + j))).over(Window.partitionBy("gram")) for j in range(HUBS)])
             star = held.select(F.col("digest").alias("b"), F.col("component").alias("of_b"), F.array_distinct(hubs).alias("hubs"))
             star = star.select("b", "of_b", F.explode("hubs").alias("a")).distinct()
             star = self._plausible(star.join(held.select(F.col("digest").alias("a"), F.col("component").alias("of_a")).distinct(), "a").filter("of_a <> of_b").select("a", "b"))
             links = links.unionByName(self._verify(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"hubs-{k}"))
         # what is still apart is compared member by member
-        held = self.area.save(self._open(entries, links).select("gram", "digest", "component").join(self.classes.drop("rep"), "digest"), "open")
+        held = self.area.save(self._open(left, links).select("gram", "digest", "component").join(self.classes.drop("rep"), "digest"), "open")
         rest = held.alias("x").join(
             held.alias("y"),
             (F.col("x.gram") == F.col("y.gram")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.component") != F.col("y.component"))
@@ -276,7 +278,7 @@ class NgramJoin:
         A class stays only if one next to it by size is near enough in size; else no class of the n-gram is.
         """
         label = self._labels(links)
-        held = entries.filter("digest <> hub").join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        held = entries.select("gram", "digest").join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
         held = held.join(self.classes.select("digest", "n"), "digest")
         same = Window.partitionBy("gram")
         by_size = same.orderBy("n", "digest")
