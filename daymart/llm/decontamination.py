@@ -20,7 +20,7 @@ from .fmindex import FMIndex
 #: benchmark words that one search takes; a larger benchmark is searched in several passes
 BLOCK_WORDS = 1_000_000
 #: bytes of text per FM-index
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 FIELDS = "n_words long, hits array<int>, items array<string>"
 
