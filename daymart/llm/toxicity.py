@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity from the nearest labelled examples: exact cosine of weighted TF-IDF vectors over a block-max inverted index."""
 
 from __future__ import annotations
 
@@ -12,22 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import StageArea
-from .common import annotate, chunks, column, raw, split_words, tidy
+from .common import annotate, chunks, column, ranges, raw, split_words, tidy
 from .ngram_join import shingle_sets
 
 #: labelled rows of each class that the examples are taken from, at most (those with the smallest id hashes)
 EXAMPLES = 3000
-#: terms that tell the classes apart, at most, and the least log-likelihood ratio of one
-TERMS = 4096
-LEAST_G2 = 24.0
-#: and how much more frequent it is in one class, at least
-LEAST_LIFT = 4.0
 #: neighbours that vote
 NEIGHBOURS = 15
 #: smallest shingle hashes by which copies among the examples are found
 SKETCH = 8
 #: examples per block of the index
 BLOCK = 256
+#: terms that most examples have, whose postings are kept as a dense matrix
+FREQUENT = 256
+#: texts that are scored together
+QUERIES = 64
+#: words that a task remembers the terms of, at most
+KNOWN = 1 << 16
 #: lengths of word beginnings that are terms beside whole words
 STEMS = (4, 5, 6)
 
@@ -44,71 +45,98 @@ def terms_of(text: bytes) -> Counter:
 
 
 class Vocabulary:
-    """Selected terms with their inverse document frequencies; turns a text into a unit vector."""
+    """All terms of the examples with their weights; turns a text into a unit vector."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray | None = None):
         self.terms = terms
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf = idf
-        self.gate = {t.removesuffix(b"*")[: STEMS[0]] for t in terms}  # a word that begins otherwise has no term
-
-    def counts(self, text: bytes) -> dict[int, int]:
-        out: dict[int, int] = {}
-        first, gate, number = STEMS[0], self.gate, self.number
-        for word in split_words(text):
-            if word[:first] in gate:
-                for term in (word, *[word[:k] + b"*" for k in STEMS if len(word) > k]):
-                    i = number.get(term)
-                    if i is not None:
-                        out[i] = out.get(i, 0) + 1
+        self.known: dict[bytes, list[int]] = {}
+
+    def _of(self, word: bytes) -> list[int]:
+        if len(self.known) >= KNOWN:
+            self.known.clear()
+        number = self.number
+        found = [number.get(t) for t in (word, *[word[:k] + b"*" for k in STEMS if len(word) > k])]
+        out = self.known[word] = [i for i in found if i is not None]
         return out
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        which = np.array(sorted(counts), np.int64)
-        weight = (1 + np.log(np.array([counts[i] for i in which.tolist()], np.float64))) * self.idf[which]
+    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's terms, ascending, and how often each is in it."""
+        out: dict[int, int] = {}
+        known = self.known
+        for word, n in Counter(split_words(text)).items():
+            at = known.get(word)
+            for i in self._of(word) if at is None else at:
+                out[i] = out.get(i, 0) + n
+        which = np.fromiter(out.keys(), np.int64, len(out))
+        order = np.argsort(which)
+        return which[order], np.fromiter(out.values(), np.int64, len(out))[order]
+
+    def vector(self, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(counts.astype(np.float64))) * self.idf[which]
         return which, weight / np.sqrt((weight**2).sum()) if len(which) else weight
 
 
 class BlockMaxIndex:
-    """Postings by term in blocks of examples, with each block's largest weight.
+    """Postings by term, those of the FREQUENT terms as a matrix in blocks of examples with each block's largest weight.
 
-    A query bounds every block's scores by the sum of its terms' maxima, scores blocks from the highest bound down
-    and stops when no bound reaches the k-th score, so the result is exact.
+    Weights are positive, so what the other terms give is a lower bound of every score. A block is scored for the
+    queries whose bound in it (these scores and the block's largest weights) reaches the k-th lower bound, so the
+    result is exact.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         self.block, self.size = block, len(vectors)
         self.blocks = -(-self.size // block)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for e, (which, weight) in enumerate(vectors):
-            for i, w in zip(which.tolist(), weight.tolist()):
-                lists[i].append((e, w))
-        self.examples = [np.array([e for e, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x], np.float64) for x in lists]
-        self.tops = np.zeros((terms, self.blocks))
-        self.cuts = []
-        for i, (e, w) in enumerate(zip(self.examples, self.weights)):
-            np.maximum.at(self.tops[i], e // block, w)
-            self.cuts.append(np.searchsorted(e, np.arange(self.blocks + 1) * block))
+        sizes = [len(which) for which, _ in vectors]
+        term = np.concatenate([np.zeros(0, np.int32), *[which.astype(np.int32) for which, _ in vectors]])
+        weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+        example = np.repeat(np.arange(self.size, dtype=np.int32), sizes)
+        held = np.bincount(term, minlength=terms)
+        often = np.argsort(-held, kind="stable")[:FREQUENT]
+        self.row = np.full(terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        at = self.row[term]
+        self.dense = np.zeros((len(often), self.blocks * block))
+        self.dense[at[at >= 0], example[at >= 0]] = weight[at >= 0]
+        self.tops = self.dense.reshape(len(often), self.blocks, block).max(axis=2) if self.blocks else np.zeros((len(often), 0))
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        self.examples, self.weights = example[rest], weight[rest]
+        self.cuts = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0))))
+
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k examples of largest positive cosine (ties: smallest number) and their cosines, for every query."""
+        width = self.blocks * self.block
+        scores = np.zeros((len(queries), width))
+        often = np.zeros((len(queries), len(self.dense)))
+        for q, (which, weight) in enumerate(queries):
+            row = self.row[which]
+            often[q, row[row >= 0]] = weight[row >= 0]
+            which, weight = which[row < 0], weight[row < 0]
+            count = self.cuts[which + 1] - self.cuts[which]
+            at = ranges(self.cuts[which], count)
+            scores[q] = np.bincount(self.examples[at], np.repeat(weight, count) * self.weights[at], width)
+            if without is not None and without[q] >= 0:
+                scores[q, without[q]] = -np.inf
+        least = np.partition(scores, width - k, axis=1)[:, width - k] if k < width else np.full(len(queries), -np.inf)
+        bounds = scores.reshape(len(queries), self.blocks, self.block).max(axis=2) + often @ self.tops
+        for b in range(self.blocks):
+            here = slice(b * self.block, (b + 1) * self.block)
+            open_ = bounds[:, b] >= least - 1e-12
+            scores[~open_, here] = 0
+            scores[open_, here] += often[open_] @ self.dense[:, here]
+        out = []
+        for line in np.round(scores, 12):
+            last = np.partition(line, width - k)[width - k] if k < width else 0.0
+            found = np.flatnonzero((line > 0) & (line >= last))
+            found = found[np.argsort(-line[found], kind="stable")][:k]
+            out.append((found, line[found]))
+        return out
 
     def nearest(self, which: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (ties: smallest number) and their cosines."""
-        bounds = weight @ self.tops[which] if len(which) else np.zeros(self.blocks)
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best_s) == k and bounds[b] < best_s[-1] - 1e-12):
-                break
-            scores = np.zeros(self.block)
-            for i, q in zip(which.tolist(), weight.tolist()):
-                lo, hi = self.cuts[i][b], self.cuts[i][b + 1]
-                scores[self.examples[i][lo:hi] - b * self.block] += q * self.weights[i][lo:hi]
-            found = np.flatnonzero(scores > 0)
-            found = found[found + b * self.block != without]
-            best_e = np.concatenate((best_e, found + b * self.block))
-            best_s = np.concatenate((best_s, scores[found]))
-            order = np.lexsort((best_e, -np.round(best_s, 12)))[:k]
-            best_e, best_s = best_e[order], best_s[order]
-        return best_e, best_s
+        return self.nearest_each([(which, weight)], k, [without])[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +154,18 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for p in pools for v in p[:2]]), np.repeat(level, 2)
 
 
+def log_likelihood(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Log-likelihood ratio (G2) of terms that are in c0 of n0 and c1 of n1 examples."""
+    out = np.zeros(len(c0))
+    for a, b, n in ((c0, c1, n0), (c1, c0, n1), (n0 - c0, n1 - c1, n0), (n1 - c1, n0 - c0, n1)):
+        have = a > 0
+        out[have] += 2 * a[have] * np.log(a[have] * float(n0 + n1) / ((a[have] + b[have]) * float(n)))
+    return np.maximum(out, 0.0)
+
+
 @dataclass
 class Model:
-    """Everything a task needs: at most 2 * EXAMPLES examples over at most TERMS terms."""
+    """Everything a task needs: at most 2 * EXAMPLES examples over all their terms."""
 
     vocabulary: Vocabulary
     index: BlockMaxIndex
@@ -139,25 +176,27 @@ class Model:
     prior: float
     knots: tuple[np.ndarray, np.ndarray]
 
-    def vote(self, which: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray]:
-        """Share of the distance-weighted votes for toxic; None if no example shares a term."""
-        near, cosine = self.index.nearest(which, weight, self.neighbours, without)
-        if not len(near):
-            return None, near
-        votes = self.weights[self.labels[near]] / (1.02 - np.minimum(1.0, cosine))
-        return float((votes * self.labels[near]).sum() / votes.sum()), near
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float | None, np.ndarray]]:
+        """Share of the distance-weighted votes for toxic, None if no example shares a term, and the voters."""
+        out = []
+        for at in range(0, len(queries), QUERIES):
+            some = slice(at, at + QUERIES)
+            for near, cosine in self.index.nearest_each(queries[some], self.neighbours, without and without[some]):
+                votes = self.weights[self.labels[near]] / (1.02 - np.minimum(1.0, cosine))
+                out.append((float((votes * self.labels[near]).sum() / votes.sum()) if len(near) else None, near))
+        return out
 
-    def score(self, text: bytes) -> tuple[float, list[str], list[str]]:
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list[str], list[str]]]:
         """Calibrated score, the nearest examples and the terms that stand for it."""
-        counts = self.vocabulary.counts(text)
-        if not counts:
-            return self.prior, [], []
-        which, weight = self.vocabulary.vector(counts)
-        share, near = self.vote(which, weight)
-        if share is None:
-            return self.prior, [], []
-        shown = [self.vocabulary.terms[i].decode(errors="replace") for i in which[np.argsort(-weight, kind="stable")[:5]].tolist()]
-        return float(np.interp(share, *self.knots)), [self.names[e] for e in near.tolist()], shown
+        out = []
+        vectors = [self.vocabulary.vector(*self.vocabulary.counts(t)) for t in texts]
+        for (which, weight), (share, near) in zip(vectors, self.votes(vectors)):
+            if share is None:
+                out.append((self.prior, [], []))
+                continue
+            shown = [self.vocabulary.terms[i].decode(errors="replace") for i in which[np.argsort(-weight, kind="stable")[:5]].tolist()]
+            out.append((float(np.interp(share, *self.knots)), [self.names[e] for e in near.tolist()], shown))
+        return out
 
 
 def _class_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +220,7 @@ def _held_by(terms: list[bytes]):
             for part in chunks(batch.column(0)):
                 rows += len(part)
                 for i in range(len(part)):
-                    for t in vocabulary.counts(part.text(i)):
-                        total[t] += 1
+                    total[vocabulary.counts(part.text(i))[0]] += 1
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([rows, *total[used].tolist()], pa.int64())], names=["term", "n"])
 
@@ -217,8 +255,9 @@ def _apart(chosen: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model:
     """Learn from the rows of ``labels`` (id, label 0 or 1); the caller leaves out what must not be learned from.
 
-    At most ``examples`` rows of each class, those with the smallest hashes of their ids, give the terms and the
-    examples, copies of a text only once; document frequencies count all of ``docs``. Ids with several labels count as toxic if one says so;
+    At most ``examples`` rows of each class, those with the smallest hashes of their ids, are the examples, copies of
+    a text only once, and all their words and word beginnings are terms. A term weighs its inverse document frequency
+    (over all of ``docs``) times the root of one plus its log-likelihood ratio between the classes. Ids with several labels count as toxic if one says so;
     null labels and ids without a document are ignored. Without examples of both classes every score is the share of
     toxic labels, or 0.
     """
@@ -242,35 +281,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         nothing = BlockMaxIndex([], 0)
         return Model(Vocabulary([], np.zeros(0)), nothing, np.zeros(0, np.int64), [], np.ones(2), neighbours, prior, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
-    def part(count: str, n: int, out: bool):  # one cell of the log-likelihood ratio
-        have = F.lit(n) - F.col(count) if out else F.col(count)
-        both = F.lit(size[0] + size[1]) - F.col("c0") - F.col("c1") if out else F.col("c0") + F.col("c1")
-        return F.when(have > 0, have * F.ln(have * float(size[0] + size[1]) / (both * float(n)))).otherwise(0.0)
-
-    g2 = 2 * (part("c0", size[0], False) + part("c1", size[1], False) + part("c0", size[0], True) + part("c1", size[1], True))
-    rates = [(F.col(f"c{k}") + 0.5) / (size[k] + 1) for k in (0, 1)]
-    telling = F.greatest(*rates) >= LEAST_LIFT * F.least(*rates)
-    best = seen.filter(telling).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS)
-    terms = [bytes(r.term) for r in best.select("term").collect()]  # at most TERMS
+    table = seen.toArrow().sort_by("term")  # at most the terms of 2 * examples documents
+    terms = table.column("term").to_pylist()
+    telling = log_likelihood(table.column("c0").to_numpy(), table.column("c1").to_numpy(), size[0], size[1])
+    del table
 
-    held = docs.select(raw(text_col)).mapInArrow(tidy(_held_by(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    frequency = {r.term: r.n for r in held}
-    df = np.array([frequency.get(i, 0) for i in range(len(terms))], np.float64)
-    vocabulary = Vocabulary(terms, np.log((1 + frequency.get(-1, 0)) / (1 + df)) + 1)
+    held = docs.select(raw(text_col)).mapInArrow(tidy(_held_by(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1)
+    df[held.column("term").to_numpy()] = held.column("n").to_numpy()  # the number of documents is the last
+    vocabulary = Vocabulary(terms, (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.sqrt(1 + telling))
 
     def count():
-        return lambda texts: [pa.array([list(vocabulary.counts(p.text(i)).items()) for p in chunks(texts) for i in range(len(p))], pa.map_(pa.int64(), pa.int64()))]
+        def work(texts: pa.Array) -> list[pa.Array]:
+            found = [vocabulary.counts(p.text(i)) for p in chunks(texts) for i in range(len(p))]
+            return [pa.array([x[k].astype(np.int32).tobytes() for x in found], pa.binary()) for k in (0, 1)]
 
-    rows = annotate(chosen, count, "counts map<long, long>", "body", ("name", "label")).orderBy("name", "label").collect()  # at most 2 * examples documents' terms
-    empty = [r.label for r in rows if not r["counts"]]
-    rows = [r for r in rows if r["counts"]]
-    vectors = [vocabulary.vector(dict(r["counts"])) for r in rows]
+        return work
+
+    rows = annotate(chosen, count, "which binary, counts binary", "body", ("name", "label")).orderBy("name", "label").collect()  # at most 2 * examples documents' terms
+    empty = [r.label for r in rows if not r["which"]]
+    rows = [r for r in rows if r["which"]]
+    vectors = [vocabulary.vector(*(np.frombuffer(r[k], np.int32).astype(np.int64) for k in ("which", "counts"))) for r in rows]
     y = np.array([r.label for r in rows], np.int64)
     weights = np.array([totals[c] / size[c] for c in (0, 1)])  # a class that was cut down votes for what was cut
     bare = np.array([weights[c] for c in empty]) if empty else np.ones(1)
     unknown = float((bare * np.array(empty or [0])).sum() + 0.5 * prior) / float(bare.sum() + 1)
     model = Model(vocabulary, BlockMaxIndex(vectors, len(terms)), y, [r.name for r in rows], weights, neighbours, unknown, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    left = [model.vote(*v, without=i)[0] for i, v in enumerate(vectors)]
+    left = [share for share, _ in model.votes(vectors, list(range(len(vectors))))]
     have = np.array([i for i, s in enumerate(left) if s is not None], np.int64)
     if len(have):
         model.knots = isotonic(np.array([left[i] for i in have]), y[have].astype(float), weights[y[have]])
@@ -289,7 +326,10 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
         held = shared.value
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            rows = [held.score(part.text(i)) for part in chunks(texts) for i in range(len(part))]
+            rows = []
+            for part in chunks(texts):
+                for at in range(0, len(part), QUERIES):
+                    rows += held.scores([part.text(i) for i in range(at, min(len(part), at + QUERIES))])
             kinds = (pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
             return [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
 

@@ -184,6 +184,35 @@ def test_toxicity_without_data(spark):
     assert {r.score for r in toxicity.report(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def words_of_class(spark, rows):
+    """Documents 0, 1, ... of (text, toxic) and their labels."""
+    docs = spark.createDataFrame([(i, t, "en", None, 1, 1, "h", 2, 0.5) for i, (t, _) in enumerate(rows)], SCHEMA)
+    return docs, spark.createDataFrame([(i, bad, 1) for i, (_, bad) in enumerate(rows)], "doc_id long, toxic int, score int")
+
+
+def test_toxicity_of_moderately_telling_words(spark):
+    """No word is four times as frequent in one class; together they tell it."""
+    r = random.Random(4)
+    rows = []
+    for _ in range(900):
+        bad = int(r.random() < 0.4)
+        rows.append((" ".join(f"{'ab'[r.random() < (0.3 if bad else 0.7)]}{r.randrange(60)}" for _ in range(40)), bad))
+    got = toxicity.report(*words_of_class(spark, rows)).filter("held_out").collect()
+    right = sum(r.predicted == rows[r.doc_id][1] for r in got) / len(got)
+    found = sum(r.predicted for r in got if rows[r.doc_id][1]) / sum(rows[r.doc_id][1] for r in got)
+    assert len(got) > 200 and right > 0.9 and found > 0.85 and all(r.terms for r in got)
+
+
+def test_toxicity_of_rare_words(spark):
+    """A word that about ten toxic examples have counts."""
+    r = random.Random(5)
+    rows = [(" ".join(f"v{r.randrange(300)}" for _ in range(20)), 0) for _ in range(300)]
+    bad = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(30)]
+    rows += [(f"{bad[k]} {bad[k - 1]} " + " ".join(f"v{r.randrange(300)}" for _ in range(4)), 1) for k in range(30) for _ in range(8)]
+    got = toxicity.report(*words_of_class(spark, rows)).filter("held_out").collect()
+    assert sum(r.predicted == rows[r.doc_id][1] for r in got) > 0.95 * len(got)
+
+
 def test_mix_rows(docs):
     decided = Counter()
     for r in mixing.mix(docs).collect():
