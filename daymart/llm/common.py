@@ -185,6 +185,15 @@ def plain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(column(id_col).alias("doc_id"), raw(text_col).alias("body"))
 
 
+def give_back() -> None:
+    """Return unused memory to the system."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, giving memory back at its end: Python workers outlive their tasks, and what they keep counts against
     the executor while later stages run."""
@@ -193,11 +202,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
-            _powers.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # glibc only
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

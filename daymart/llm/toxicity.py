@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import StageArea
-from .common import annotate, chunks, column, ranges, raw, split_words, tidy
+from .common import annotate, chunks, column, give_back, ranges, raw, split_words, tidy
 from .ngram_join import shingle_sets
 
 #: labelled rows of each class that the examples are taken from, at most (those with the smallest id hashes)
 EXAMPLES = 3000
 #: neighbours that vote
 NEIGHBOURS = 15
-#: smallest shingle hashes by which copies among the examples are found
-SKETCH = 8
+#: Jaccard index of their 4-word shingles from which two examples of one class are copies
+COPIES = 0.8
 #: examples per block of the index
 BLOCK = 256
 #: terms that most examples have, whose postings are kept as a dense matrix
@@ -44,6 +45,22 @@ def terms_of(text: bytes) -> Counter:
     return out
 
 
+class _Known(dict):
+    """The numbers of a word's terms, remembered for KNOWN words."""
+
+    def __init__(self, number: dict[bytes, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) >= KNOWN:
+            self.clear()
+        number = self.number
+        found = [number.get(t) for t in (word, *[word[:k] + b"*" for k in STEMS if len(word) > k])]
+        out = self[word] = [i for i in found if i is not None]
+        return out
+
+
 class Vocabulary:
     """All terms of the examples with their weights; turns a text into a unit vector."""
 
@@ -51,33 +68,25 @@ class Vocabulary:
         self.terms = terms
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf = idf
-        self.known: dict[bytes, list[int]] = {}
+        self.known = _Known(self.number)
 
-    def _of(self, word: bytes) -> list[int]:
-        if len(self.known) >= KNOWN:
-            self.known.clear()
-        number = self.number
-        found = [number.get(t) for t in (word, *[word[:k] + b"*" for k in STEMS if len(word) > k])]
-        out = self.known[word] = [i for i in found if i is not None]
-        return out
+    def __reduce__(self):
+        return _vocabulary, (b" ".join(self.terms), self.idf)  # terms hold no spaces; far smaller than objects
 
     def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the text's terms, ascending, and how often each is in it."""
-        out: dict[int, int] = {}
-        known = self.known
-        for word, n in Counter(split_words(text)).items():
-            at = known.get(word)
-            for i in self._of(word) if at is None else at:
-                out[i] = out.get(i, 0) + n
-        which = np.fromiter(out.keys(), np.int64, len(out))
-        order = np.argsort(which)
-        return which[order], np.fromiter(out.values(), np.int64, len(out))[order]
+        every = np.fromiter(chain.from_iterable(map(self.known.__getitem__, split_words(text))), np.int64)
+        return np.unique(every, return_counts=True)
 
     def vector(self, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weight = (1 + np.log(counts.astype(np.float64))) * self.idf[which]
         return which, weight / np.sqrt((weight**2).sum()) if len(which) else weight
 
 
+def _vocabulary(terms: bytes, idf: np.ndarray | None) -> Vocabulary:
+    return Vocabulary(terms.split(), idf)
+
+
 class BlockMaxIndex:
     """Postings by term, those of the FREQUENT terms as a matrix in blocks of examples with each block's largest weight.
 
@@ -211,11 +220,11 @@ def _class_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *counts], names=["term", "clean", "toxic"])
 
 
-def _held_by(terms: list[bytes]):
+def _held_by(vocabulary: Vocabulary):
     """Document counts of the terms and, under an empty term, of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, total, rows = Vocabulary(terms), np.zeros(len(terms), np.int64), 0
+        total, rows = np.zeros(len(vocabulary.terms), np.int64), 0
         for batch in batches:
             for part in chunks(batch.column(0)):
                 rows += len(part)
@@ -227,36 +236,64 @@ def _held_by(terms: list[bytes]):
     return run
 
 
+def _picked(docs: DataFrame, known: DataFrame, examples: int) -> DataFrame:
+    """Ids and text digests of the examples: equal texts of a class count once, by the smallest id hash."""
+    texts = docs.select("doc_id", F.md5("body").alias("digest")).join(known, F.col("doc_id") == F.col("id"))
+    once = texts.groupBy("label", "digest").agg(F.min(F.struct(F.xxhash64("id").alias("at"), "id")).alias("x"))
+    picks = [once.filter(F.col("label") == c).orderBy("x", "digest").limit(examples) for c in (0, 1)]
+    return picks[0].unionByName(picks[1]).select("x.at", "x.id", "digest", "label")
+
+
+def apart(sets: list[np.ndarray], labels: list[int]) -> list[int]:
+    """Places of the sets (distinct hashes each) without copies: those with a Jaccard index of COPIES or more with an
+    earlier one of their label that was kept."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    order = np.argsort(flat).astype(np.int32)
+    flat = flat[order]
+    first = np.ones(len(flat), bool)
+    first[1:] = flat[1:] != flat[:-1]
+    held = np.append(np.flatnonzero(first), len(flat)).astype(np.int32)
+    item = np.empty(len(flat), np.int32)
+    item[order] = np.cumsum(first, dtype=np.int32) - 1
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+    del flat, order, first
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    label, kept = np.array(labels, np.int64), np.zeros(len(sets), bool)
+    for i in range(len(sets)):
+        mine = item[starts[i] : starts[i + 1]]
+        both = np.bincount(owner[ranges(held[mine], held[mine + 1] - held[mine])], minlength=len(sets))
+        copies = kept & (label == label[i]) & (both > 0) & (both >= COPIES * (sizes + sizes[i] - both))
+        kept[i] = not copies.any()
+    return np.flatnonzero(kept).tolist()
+
+
 def _apart(chosen: DataFrame) -> DataFrame:
-    """The examples without those that share one of their SKETCH smallest 4-word shingles with an earlier one: copies
-    of a text would make all its words look telling."""
+    """The examples without copies in their class, which would make all words of a text look telling."""
 
     def start():
         def work(texts: pa.Array) -> list[pa.Array]:
             out = []
             for part in chunks(texts):
                 grams, at = shingle_sets(part, 4)
-                out += [grams[a : min(b, a + SKETCH)].view(np.int64).tolist() for a, b in zip(at[:-1], at[1:])]
-            return [pa.array(out, pa.list_(pa.int64()))]
+                out += [grams[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            return [pa.array(out, pa.binary())]
 
         return work
 
-    rows = annotate(chosen, start, "sketch array<long>", "body", ("name", "label")).collect()  # at most 2 * examples
-    seen: set[int] = set()
-    keep = []
-    for r in sorted(rows, key=lambda r: (r.label, r.sketch, r.name)):
-        if seen.isdisjoint(r.sketch):
-            keep.append((r.name,))
-        seen.update(r.sketch)
-    kept = chosen.sparkSession.createDataFrame(keep, "name string").distinct()
-    return chosen.join(F.broadcast(kept), "name").dropDuplicates(["name"])
+    rows = annotate(chosen, start, "grams binary", "body", ("at", "name", "digest", "label")).collect()  # at most 2 * examples
+    rows = sorted({(r.label, r.at, r.name, r.digest): r.grams for r in rows}.items())
+    keep = apart([np.frombuffer(g, np.uint64) for _, g in rows], [k[0] for k, _ in rows])
+    keep = [(rows[i][0][0], *rows[i][0][2:]) for i in keep]
+    kept = chosen.sparkSession.createDataFrame(keep, "label int, name string, digest string")
+    return chosen.join(F.broadcast(kept), ["label", "name", "digest"]).dropDuplicates(["label", "name", "digest"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model:
     """Learn from the rows of ``labels`` (id, label 0 or 1); the caller leaves out what must not be learned from.
 
-    At most ``examples`` rows of each class, those with the smallest hashes of their ids, are the examples, copies of
-    a text only once, and all their words and word beginnings are terms. A term weighs its inverse document frequency
+    At most ``examples`` different texts of each class, those with the smallest hashes of their ids, are the examples,
+    without near copies in their class, and all their words and word beginnings are terms. A term weighs its inverse document frequency
     (over all of ``docs``) times the root of one plus its log-likelihood ratio between the classes. Ids with several labels count as toxic if one says so;
     null labels and ids without a document are ignored. Without examples of both classes every score is the share of
     toxic labels, or 0.
@@ -267,12 +304,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    picks = [known.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(examples) for c in (0, 1)]
-    picked = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * examples rows
-    chosen = docs.select(column(id_col).alias("doc_id"), raw(text_col).alias("body")).join(picked, F.col("doc_id") == F.col("id"))
-    chosen = area.save(chosen.select(F.col("doc_id").cast("string").alias("name"), "body", "label"), "examples")
+    texts = docs.select(column(id_col).alias("doc_id"), raw(text_col).alias("body"))
+    picked = area.save(_picked(texts, known, examples), "picked")  # at most 2 * examples rows
+    chosen = texts.join(F.broadcast(picked), (F.col("doc_id") == F.col("id")) & (F.md5("body") == F.col("digest")))
+    chosen = area.save(chosen.select("at", F.col("doc_id").cast("string").alias("name"), "digest", "body", "label"), "examples")
 
     chosen = area.save(_apart(chosen), "apart")
+    give_back()
 
     seen = chosen.select("body", "label").mapInArrow(tidy(_class_terms), "term binary, clean long, toxic long")
     seen = seen.groupBy("term").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1"))
@@ -285,8 +323,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     terms = table.column("term").to_pylist()
     telling = log_likelihood(table.column("c0").to_numpy(), table.column("c1").to_numpy(), size[0], size[1])
     del table
+    give_back()
 
-    held = docs.select(raw(text_col)).mapInArrow(tidy(_held_by(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held = docs.select(raw(text_col)).mapInArrow(tidy(_held_by(Vocabulary(terms))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(terms) + 1)
     df[held.column("term").to_numpy()] = held.column("n").to_numpy()  # the number of documents is the last
     vocabulary = Vocabulary(terms, (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.sqrt(1 + telling))
@@ -298,15 +337,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return work
 
-    rows = annotate(chosen, count, "which binary, counts binary", "body", ("name", "label")).orderBy("name", "label").collect()  # at most 2 * examples documents' terms
+    rows = annotate(chosen, count, "which binary, counts binary", "body", ("name", "label", "digest")).orderBy("name", "label", "digest").collect()  # at most 2 * examples documents' terms
     empty = [r.label for r in rows if not r["which"]]
     rows = [r for r in rows if r["which"]]
-    vectors = [vocabulary.vector(*(np.frombuffer(r[k], np.int32).astype(np.int64) for k in ("which", "counts"))) for r in rows]
+    vectors = [vocabulary.vector(*(np.frombuffer(r[k], np.int32) for k in ("which", "counts"))) for r in rows]
     y = np.array([r.label for r in rows], np.int64)
     weights = np.array([totals[c] / size[c] for c in (0, 1)])  # a class that was cut down votes for what was cut
     bare = np.array([weights[c] for c in empty]) if empty else np.ones(1)
     unknown = float((bare * np.array(empty or [0])).sum() + 0.5 * prior) / float(bare.sum() + 1)
-    model = Model(vocabulary, BlockMaxIndex(vectors, len(terms)), y, [r.name for r in rows], weights, neighbours, unknown, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    names = [r.name for r in rows]
+    del rows
+    give_back()
+    index = BlockMaxIndex(vectors, len(terms))
+    give_back()
+    model = Model(vocabulary, index, y, names, weights, neighbours, unknown, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     left = [share for share, _ in model.votes(vectors, list(range(len(vectors))))]
     have = np.array([i for i, s in enumerate(left) if s is not None], np.int64)
     if len(have):

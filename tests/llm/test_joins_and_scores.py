@@ -213,6 +213,34 @@ def test_toxicity_of_rare_words(spark):
     assert sum(r.predicted == rows[r.doc_id][1] for r in got) > 0.95 * len(got)
 
 
+def test_toxicity_copies():
+    """Only true copies within a label go; a row that went drops no others."""
+    base = np.arange(100, dtype=np.uint64)
+    near = np.arange(5, 105, dtype=np.uint64)  # 95 of 105 shared with base
+    far = np.arange(9, 109, dtype=np.uint64)  # 91 of 109 shared with base, 96 of 104 with near
+    farther = np.arange(12, 112, dtype=np.uint64)  # 88 of 112 shared with base, 93 of 107 with near
+    shared = np.concatenate((base[:50], np.arange(500, 550, dtype=np.uint64)))
+    none = np.zeros(0, np.uint64)
+    sets = [base, near, far, farther, shared, base, shared, none, none]
+    assert toxicity.apart(sets, [0, 0, 0, 0, 0, 1, 1, 0, 1]) == [0, 3, 4, 5, 6, 7, 8]
+    assert toxicity.apart([], []) == []
+
+
+def test_toxicity_of_shared_passages(spark):
+    """A passage that stands in texts of both classes makes them no copies; copies don't use up the examples."""
+    r = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(50))
+    words = lambda n: " ".join(f"v{r.randrange(400)}" for _ in range(n))
+    rows = [(f"{passage} {words(30)}", 0) for _ in range(200)]
+    rows += [(f"{passage} {words(15)} {r.choice(['nasty', 'vile', 'rotten'])} {words(14)}", 1) for _ in range(200)]
+    rows += [(f"{passage} spam", 0)] * 300
+    docs, labels = words_of_class(spark, rows)
+    got = toxicity.report(docs, labels).filter("held_out").collect()
+    assert sum(x.predicted == rows[x.doc_id][1] for x in got) > 0.95 * len(got)
+    model = toxicity.fit(docs, labels, examples=100)
+    assert Counter(model.labels.tolist()) == {0: 100, 1: 100}
+
+
 def test_mix_rows(docs):
     decided = Counter()
     for r in mixing.mix(docs).collect():
