@@ -12,6 +12,8 @@ MARKS = r"^(?:[ \t]*>)+"
 #: a level-0 line like this right before a quotation belongs to it
 ATTRIBUTION = r"(?i)\b(?:wrote|writes|schrieb|écrit|escribió)\s*:\s*$"
 NO_CONVERSATION = "\x00"
+#: ends of sentences
+SENTENCE = r"(?<=[.!?\u2026])\s+|(?<=[\u3002\uFF01\uFF1F])"
 #: messages are numbered in pieces of this many turns
 PIECE = 1024
 
@@ -41,27 +43,41 @@ def _own(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["here"]["line"]), "\n"), r"^\s*\n|\s+$", "")
 
 
-def _passages(text: Column) -> Column:
-    """The text as a whole, its paragraphs and its lines, normalised."""
-    pieces = F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), F.split(text, r"\n"))
+def _sentences(text: Column) -> Column:
+    """Sentences, over line ends within a paragraph and of every line by itself."""
+    return F.concat(F.split(text, r"\n[ \t]*\n|" + SENTENCE), F.split(text, r"\n|" + SENTENCE))
+
+
+def _norms(pieces: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(pieces, normal)), lambda p: p != "")
 
 
+def _passages(text: Column) -> Column:
+    """The text as a whole, its paragraphs, its lines and its sentences, normalised."""
+    return _norms(F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), F.split(text, r"\n"), _sentences(text)))
+
+
 def quoted(messages: DataFrame) -> DataFrame:
-    """Quoted passages: maximal runs of lines of one level, with their keys (the whole first, then paragraphs)."""
+    """Quoted passages: maximal runs of lines of one level, with their keys: the whole, then paragraphs, then as parts
+    lines and sentences."""
     lines = messages.filter(F.col("text").rlike(r"(?m)^[ \t]*>")).select("c", "t", "h", F.posexplode(_lines(F.col("text"))).alias("at", "x"))
     lines = lines.select("c", "t", "h", "at", "x.level", "x.body").filter("level > 0").distinct()
     run = F.col("at") - F.row_number().over(Window.partitionBy("c", "t", "h", "level").orderBy("at"))
     runs = lines.withColumn("run", run).groupBy("c", "t", "h", "level", "run").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("x"))
     text = F.array_join(F.transform("x", lambda p: F.trim(p["body"])), "\n")
-    keys = F.filter(F.array_distinct(F.transform(F.concat(F.array(text), F.split(text, r"\n\n+")), normal)), lambda p: p != "")
+    runs = runs.withColumn("text", text)
+    whole = _norms(F.concat(F.array(F.col("text")), F.split("text", r"\n\n+")))
+    parts = F.array_except(_norms(F.concat(F.split("text", r"\n"), _sentences(F.col("text")))), whole)
+    keys = F.concat(*[F.transform(k, lambda p, part=part: F.struct(F.lit(part).alias("part"), p.alias("norm"))) for k, part in ((whole, False), (parts, True))])
     return runs.select("c", "t", "h", "level", F.element_at("x", 1)["at"].alias("line"), keys.alias("keys")).filter(F.size("keys") > 0)
 
 
 def link(messages: DataFrame, originals: DataFrame) -> DataFrame:
     """Every quoted passage with the message it comes from: in its conversation the latest earlier one that has the
-    passage, else the first in another conversation. The whole passage is tried before its paragraphs."""
-    asked = quoted(messages).select("c", "t", "h", "level", "line", F.posexplode("keys").alias("rank", "norm")).withColumn("key", F.xxhash64("norm"))
+    passage, else the first in another conversation. The whole passage is tried before its paragraphs, and single lines
+    and sentences only where neither is found anywhere."""
+    asked = quoted(messages).select("c", "t", "h", "level", "line", F.posexplode("keys").alias("rank", "x"))
+    asked = asked.select("c", "t", "h", "level", "line", "rank", "x.part", "x.norm").withColumn("key", F.xxhash64("norm"))
     # one window per passage and conversation; equal texts of equal turns were merged before
     steps = asked.select("c", "key", "norm", "t", F.lit(None).cast("long").alias("source")).unionByName(
         originals.select("c", "key", "norm", "t", F.col("t").alias("source"))
@@ -72,7 +88,7 @@ def link(messages: DataFrame, originals: DataFrame) -> DataFrame:
     found = asked.join(near, ["c", "key", "norm", "t"], "left").join(first, ["key", "norm"], "left")
     far = F.when(F.col("near").isNull() & (F.col("far.c") != F.col("c")), F.col("far"))
     found = found.withColumn("far", far).withColumn("rank", F.when(F.coalesce(F.col("near"), F.col("far.t")).isNotNull(), F.col("rank")))
-    best = F.min_by(F.struct("near", "far"), F.struct(F.col("near").isNull(), F.col("rank").isNull(), "rank"))
+    best = F.min_by(F.struct("near", "far"), F.struct(F.col("rank").isNull(), "part", F.col("near").isNull(), "rank"))
     return found.groupBy("c", "t", "h", "level", "line").agg(best.alias("best")).select("c", "t", "h", "level", "line", "best.near", "best.far")
 
 
