@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import StageArea
-from . import decontamination, exact, licenses, mixing, ngram_join, quotations, sharding, suffixes, tokens, toxicity
+from . import bpe, decontamination, exact, licenses, mixing, ngram_join, quotations, sharding, suffixes, tokens, toxicity
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 SQL = {
     "op1_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -180,5 +186,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_mixing,
         op10_decontamination,
+        op13_bpe,
     )
 }
