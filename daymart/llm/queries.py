@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import StageArea
-from . import bpe, decontamination, exact, licenses, mixing, ngram_join, quotations, sharding, suffixes, tokens, toxicity
+from . import bpe, decontamination, exact, lexical, licenses, mixing, ngram_join, quotations, sharding, suffixes, tokens, toxicity
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -171,6 +175,27 @@ its AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)""",
+    "op12_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, w, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM s),
+q AS (
+  SELECT item, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+tf AS (
+  SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM s) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g),
+lengths AS (SELECT rid, doc_id, 25 + (75 * n * docs) // terms AS m FROM s, g),
+scores AS (
+  SELECT item, item_id, rid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM tf JOIN weights USING (term) JOIN lengths USING (rid) JOIN q USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -186,6 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_mixing,
         op10_decontamination,
+        op12_lexical_search,
         op13_bpe,
     )
 }
