@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import StageArea
-from . import bpe, decontamination, exact, lexical, licenses, mixing, ngram_join, quotations, sharding, suffixes, tokens, toxicity
+from . import bpe, decontamination, exact, lexical, licenses, mixing, ngram_join, quotations, sharding, suffixes, tokens, toxicity, whitening
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_read(spark, folder, "embeddings"), 16).drop("residual")
+
+
 def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
@@ -211,6 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_mixing,
         op10_decontamination,
+        op11_whitening,
         op12_lexical_search,
         op13_bpe,
     )
