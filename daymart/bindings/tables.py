@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import profiling
+from ..operators.joins import latest_available
 from ..session import StageArea
+from ..sources import partitions
 from ..sources import tables as io
 from . import bind
 from .frames import EVENT_BIZDATE, ITEMS, ORDERS, SESSIONS, items, orders, sessions, table
@@ -73,7 +77,7 @@ def io2(spark, sf):
 )
 def io5(spark, sf):
     o = orders(spark, sf)
-    newest = F.col("inc_day") == o.agg(F.max("inc_day")).scalar()
+    newest = F.col("inc_day") == o.agg(partitions.newest_day(o)).scalar()
     return io.sample_table(o, newest, 10, ["order_id"])
 
 
@@ -173,6 +177,87 @@ def io13(spark, sf):
 DESCRIBED = ("customer", "supplier", "events")
 
 
+def by_day_table(spark, sf, tag):
+    """Sessions as a table partitioned by day, with a registered day that holds no file."""
+    name = new_table(spark, tag)
+    io.write_partitions(rows(spark, sf), name)
+    spark.sql(f"ALTER TABLE {name} ADD PARTITION (inc_day = '20240215')")
+    return name
+
+
+@bind("t1_partition_metadata", "latest_partition:s listed:i", f"SELECT max(inc_day) AS latest_partition, count(DISTINCT inc_day) AS listed FROM {SESSIONS}")
+def t1_metadata(spark, sf):
+    """The newest day that holds data and the number of such days, from the catalog and the file index."""
+    from ..operators import topk
+
+    t = spark.table(by_day_table(spark, sf, "newest"))
+    return topk.latest_partition(t).withColumn("listed", F.lit(len(partitions.days(t))))
+
+
+@bind(
+    "pr1_metadata_bounded",
+    "latest_partition:s rows:i",
+    f"SELECT inc_day AS latest_partition, count(*) AS rows FROM {SESSIONS} WHERE inc_day = (SELECT max(inc_day) FROM {SESSIONS}) GROUP BY 1",
+)
+def pr1_metadata(spark, sf):
+    """Searched from a year after the data, by the file index alone."""
+    t = spark.table(by_day_table(spark, sf, "bounded"))
+    latest = profiling.latest_partition(t, bounded=True, today=date(2025, 6, 1))
+    return profiling.row_count(t.where(F.col("inc_day") == latest)).select(F.lit(latest).alias("latest_partition"), F.col("row_count").alias("rows"))
+
+
+@bind(
+    "j14_latest_partition_with_rows",
+    "session_id:i inc_day:s duration_seconds:d",
+    f"""SELECT session_id, inc_day, duration_seconds FROM {SESSIONS} WHERE inc_day = (
+      SELECT max(inc_day) FROM {SESSIONS} WHERE inc_day <= '{EVENT_BIZDATE}' AND duration_seconds > 300)""",
+)
+def j14_partition(spark, sf):
+    t = spark.table(by_day_table(spark, sf, "available"))
+    return latest_available(t, EVENT_BIZDATE, cond="duration_seconds > 300")
+
+
+@bind(
+    "pr2_row_count_partition",
+    "row_count:i",
+    f"SELECT count(*) AS row_count FROM {SESSIONS} WHERE inc_day = (SELECT max(inc_day) FROM {SESSIONS} WHERE inc_day <= '20240125')",
+)
+def pr2_partition(spark, sf):
+    return profiling.row_count(latest_available(spark.table(by_day_table(spark, sf, "rowcount")), "20240125"))
+
+
+@bind(
+    "io5_sample_partition",
+    "session_id:i inc_day:s",
+    f"SELECT session_id, inc_day FROM {SESSIONS} WHERE inc_day = (SELECT max(inc_day) FROM {SESSIONS}) ORDER BY session_id LIMIT 10",
+)
+def io5_partition(spark, sf):
+    t = spark.table(by_day_table(spark, sf, "sample"))
+    return io.sample_table(t, F.col("inc_day") == partitions.days(t)[0], 10, ["session_id"])
+
+
+@bind(
+    "io1_scan_report",
+    "query:s partitions:i files:b partition_filters:b",
+    f"""SELECT q AS query, count(DISTINCT inc_day) AS partitions, true AS files, q <> 'all' AS partition_filters
+      FROM {SESSIONS}, (SELECT unnest(['all', 'week', 'day']) AS q)
+      WHERE q = 'all' OR q = 'week' AND inc_day BETWEEN '20240108' AND '20240114' OR q = 'day' AND inc_day = '20240110' GROUP BY q""",
+)
+def io1_report(spark, sf):
+    """Partitions that three scans select, from their plans."""
+    name = new_table(spark, "report")
+    io.write_partitions(rows(spark, sf), name)
+    day = F.col("inc_day")
+    wanted = {"all": F.lit(True), "week": day.between("20240108", "20240114"), "day": day == "20240110"}
+    out = None
+    for query, pred in wanted.items():
+        part = partitions.scan_report(io.scan(spark, name, pred)).select(
+            F.lit(query).alias("query"), "partitions", (F.col("files") >= F.col("partitions")).alias("files"), (F.col("partition_filters") > 0).alias("partition_filters")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @bind(
     "io3_describe_table",
     "table_name:s column:s type:s is_partition:b filled:i",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import StageArea
+from ..sources import partitions
 from .sets import diff_datasets
 
 
@@ -97,13 +98,7 @@ def idempotent(fn: Callable[[], DataFrame], keys: Sequence[str]) -> DataFrame:
 
 def scan_filters(df: DataFrame) -> list[int]:
     """Number of partition filters of every scan of a partitioned table in the plan."""
-    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
-    found = []
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "FileSourceScanExec" and leaf.relation().partitionSchema().size():
-            found.append(leaf.partitionFilters().size())
-    return found
+    return [s.partition_filters for s in partitions.scans(df) if s.partition_columns]
 
 
 def unpruned_scans(df: DataFrame) -> int:
@@ -112,7 +107,13 @@ def unpruned_scans(df: DataFrame) -> int:
 
 
 def scanned_partitions(df: DataFrame, day: str, limit: int = 400) -> DataFrame:
-    """Number of day partitions a frame touches against the scan guard."""
-    return df.agg(F.count_distinct(day).alias("partitions")).withColumn(
-        "over_limit", F.col("partitions") > limit
-    )
+    """Number of day partitions that a frame's scans select, against the scan guard.
+
+    Read from the plan; no job runs. A frame without a scan partitioned by the day has its days counted instead.
+    """
+    found = [s for s in partitions.scans(df) if day in s.partition_columns]
+    if found:
+        counts = df.sparkSession.createDataFrame([(sum(s.selected[0] for s in found),)], "partitions bigint")
+    else:
+        counts = df.agg(F.count_distinct(day).alias("partitions"))
+    return counts.withColumn("over_limit", F.col("partitions") > limit)

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import partitions
+
 CARDINALITIES = ("1:1", "1:N", "N:1", "M:N")
 
 
@@ -118,15 +120,20 @@ def latest_available(
 ) -> DataFrame:
     """Rows of the newest day not after the run date; ``cond`` skips days without such rows.
 
-    The day is a scalar subquery, so partitions are pruned when the query runs. ``since``
-    bounds the search from below on tables with many partitions.
+    Where the frame is partitioned by the day, the file index gives the day and no row is read to find it (with
+    ``cond`` the newest days are looked at first). Otherwise the day is a scalar subquery. ``since`` bounds the search
+    from below.
     """
     known = df.where(F.col(day) <= bizdate)
     if since is not None:
         known = known.where(F.col(day) >= since)
+    found = partitions.days(known, day)
+    if found is not None:
+        newest = (found[0] if found else None) if cond is None else partitions.newest_with(known, found, cond, day)
+        return df.where(F.lit(False) if newest is None else F.col(day) == newest)
     if cond is not None:
         known = known.where(cond)
-    newest = known.agg(F.max(day)).scalar()
+    newest = known.agg(partitions.newest_day(known, day)).scalar()
     return df.where(F.col(day) == newest)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import partitions
 from .joins import latest_available
 
 # Name shapes that steer which columns are profiled.
@@ -92,18 +93,17 @@ def profile_enums(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
 def latest_partition(
     df: DataFrame, day: str = "inc_day", bounded: bool = False, today: date | None = None
 ) -> str | None:
-    """Newest day. ``bounded`` looks at this year, then last year, then at all before, so pruning keeps the usual
-    scan small and an old table is still found.
+    """Newest day. ``bounded`` looks at this year, then last year, then at all before, so an old table is still found.
 
-    Only one value reaches the driver.
+    Where the frame is partitioned by the day, the file index answers and no row is read; otherwise each look is an
+    aggregate over the days that it spans. Only one value reaches the driver.
     """
-    if not bounded:
-        return df.agg(F.max(day)).first()[0]
-    year = (today or date.today()).year
     column = F.col(day)
+    year = (today or date.today()).year
     spans = [(column >= f"{y}0101") & (column < f"{y + 1}0101") for y in (year, year - 1)]
-    for span in [*spans, column < f"{year - 1}0101"]:
-        found = df.where(span).agg(F.max(day)).first()[0]
+    for rows in [df.where(s) for s in (*spans, column < f"{year - 1}0101")] if bounded else [df]:
+        listed = partitions.days(rows, day)
+        found = rows.agg(partitions.newest_day(rows, day)).first()[0] if listed is None else listed[0] if listed else None
         if found is not None:
             return found
     return None

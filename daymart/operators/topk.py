@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources import partitions
 
 
 def latest_partition(df: DataFrame, day: str = "inc_day") -> DataFrame:
-    return df.agg(F.max(day).alias("latest_partition"))
+    """The newest day that holds data; from the file index where the frame is partitioned by it, else by an aggregate."""
+    found = partitions.days(df, day)
+    if found is None:
+        return df.agg(partitions.newest_day(df, day).alias("latest_partition"))
+    return df.sparkSession.createDataFrame([(found[0] if found else None,)], T.StructType([T.StructField("latest_partition", df.schema[day].dataType)]))
 
 
 def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
