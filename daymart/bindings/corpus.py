@@ -224,6 +224,66 @@ def l2(spark, sf):
     return log_health_total(spark, out)
 
 
+def append_logs(df, root, encoding):
+    """Each period's lines go to the end of its own log file, as its writer would append them."""
+    import pyarrow.fs as fs
+
+    def write(batches):
+        store, where = fs.FileSystem.from_uri(root)
+        store.create_dir(where)
+        for batch in batches:
+            rows = batch.to_pydict()
+            for name, value in zip(rows["name"], rows["value"]):
+                with store.open_append_stream(f"{where}/{name}") as f:
+                    f.write(value.encode(encoding))
+            yield batch.select(["name"])
+
+    per_file = df.withColumn("name", F.concat(F.lit("task."), F.substring("inc_day", 1, 7), F.lit(".log")))
+    # blocks of lines, so that no row holds a whole log
+    blocks = per_file.groupBy("name", F.crc32("value") % 64).agg(F.concat(F.array_join(F.collect_list("value"), "\n"), F.lit("\n")).alias("value"))
+    blocks.select("name", "value").repartition("name").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+@bind(
+    "l2_appended_log_stream",
+    f"file:s {HEALTH}",
+    f"SELECT 'task.' || substr(inc_day, 1, 7) || '.log' AS file, {COUNTS} FROM {LOGS} GROUP BY 1",
+)
+def l2_appended(spark, sf):
+    """Three runs over growing logs: new files, bytes appended in another encoding, nothing new."""
+    from ..session import StageArea
+    from ..streaming import appended
+
+    area = StageArea(spark, "appended")
+    lines = log_lines(spark, sf)
+    files, out, mark = area.path("files"), area.path("out"), area.path("checkpoint")
+    append_logs(lines.where("inc_day < '20240115'"), files, "utf-8")
+    appended.appended_health_stream(spark, files, out, mark, "task.*.log")
+    append_logs(lines.where("inc_day >= '20240115'"), files, "gbk")
+    appended.appended_health_stream(spark, files, out, mark, "task.*.log")
+    appended.appended_health_stream(spark, files, out, mark, "task.*.log")
+    return appended.health_by_file(spark, out)
+
+
+@bind(
+    "l2_after_snapshot",
+    f"file:s lines:i {HEALTH}",
+    f"SELECT 'task.' || substr(inc_day, 1, 7) || '.log' AS file, count(*) AS lines, {COUNTS} FROM {LOGS} WHERE inc_day >= '20240115' GROUP BY 1",
+)
+def l2_snapshot(spark, sf):
+    """What one run added: bytes after a snapshot of the file sizes, and files that are new since."""
+    from ..session import StageArea
+    from ..streaming import appended
+
+    files = StageArea(spark, "snapshot").path("files")
+    lines = log_lines(spark, sf)
+    append_logs(lines.where("inc_day < '20240115'"), files, "gbk")
+    before = appended.snapshot_offsets(files)
+    append_logs(lines.where("inc_day >= '20240115'"), files, "utf-8")
+    added = appended.read_appended(spark, files, before, split_bytes=1 << 16)
+    return L.log_health(added, ["file"]).join(added.groupBy("file").agg(F.count(F.lit(1)).alias("lines")), "file")
+
+
 CHECKS = "(SELECT user_id AS case_id, event_type AS name, CASE WHEN event_type = 'error' AND value > 200 THEN 'fail' WHEN event_type = 'view' THEN 'skip' ELSE 'pass' END AS status FROM events)"
 FINDINGS = """(SELECT user_id AS case_id, CASE WHEN event_type = 'click' THEN NULL ELSE event_type END AS dimension,
   CASE WHEN value > 250 THEN 'Critical' WHEN value > 150 THEN 'Warning' ELSE 'Info' END AS severity FROM events)"""
