@@ -81,7 +81,7 @@ def k2(spark, sf):
     f"SELECT * FROM {SCORES} WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, domain_id) = 1",
 )
 def k2m(spark, sf):
-    return R.match_domain(R.score_catalog(part_queries(spark, sf), catalog(spark, sf), "query_id"), "query_id")
+    return R.best_domains(part_queries(spark, sf), catalog(spark, sf), "query_id")
 
 
 @bind(
@@ -172,7 +172,7 @@ def k7(spark, sf):
 )
 def k8(spark, sf):
     e = table(spark, sf, "embeddings")
-    return R.top_k(e, e, "vec_id", "embedding", 5, 0.2, block_rows=192)  # several blocks
+    return R.top_k(e, e, "vec_id", "embedding", 5, 0.2)
 
 
 @bind(

@@ -127,20 +127,18 @@ def match_units(text: Column | str) -> Column:
     return F.array_distinct(F.concat(words, cjk_bigrams(low)))
 
 
-def substrings(text: Column | str, lengths: Iterable[int]) -> Column:
-    """Distinct substrings of the given lengths, for substring hits as an equi-join.
+def substrings(text: Column | str, lengths: Column | str) -> Column:
+    """Distinct substrings of the lengths in an array column, for substring hits as an equi-join.
 
     Linear in the text: one pass per wanted length.
     """
     low = F.lower(F.coalesce(as_col(text), F.lit("")))
 
-    def windows(n: int) -> Column:
+    def windows(n: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>"))
 
-    none = F.array().cast("array<string>")
-    per_length = [none] + [F.when(F.length(low) >= n, windows(n)).otherwise(none) for n in lengths]
-    return F.array_distinct(F.concat(*per_length))
+    return F.array_distinct(F.flatten(F.transform(as_col(lengths), windows)))
 
 
 def identifiers(text: Column | str) -> Column:

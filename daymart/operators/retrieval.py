@@ -6,12 +6,14 @@ term instead of comparing every query with every text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identifiers, keywords, lines_of, match_units, substrings, term_pattern
@@ -29,6 +31,32 @@ def query_keywords(queries: DataFrame, key: str, text: str = "text") -> DataFram
     return spread(queries.select(key, text), key).select(key, F.explode(keywords(text)).alias("keyword"))
 
 
+def _keyword_sets(kws: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Queries that ask for the same keywords share their answer: (key, _class), and (_class, keyword)."""
+    sets = kws.groupBy(key).agg(F.sort_array(F.collect_set("keyword")).alias("_set"))
+    classes = sets.groupBy("_set").agg(F.min(key).alias("_class"))
+    members = sets.join(classes, "_set").select(key, "_class")
+    return members, classes.select("_class", F.explode("_set").alias("keyword"))
+
+
+def _catalog_scores(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(_class, domain_id, score) of the keyword sets."""
+    sizes = asked.agg(F.sort_array(F.collect_set(F.length("keyword")))).scalar()
+    per_query = asked.groupBy("_class").agg(F.count(F.lit(1)).alias("n_keywords"))
+    weight = F.try_element_at(
+        F.create_map(*[F.lit(x) for kv in DOMAIN_WEIGHTS.items() for x in kv]), F.col("kind")
+    )
+    texts = catalog.select("domain_id", weight.alias("w"), "text").withColumn("_sizes", sizes)
+    units = texts.select("domain_id", "w", F.explode(substrings("text", "_sizes")).alias("keyword"))
+    unit_weight = units.groupBy("keyword", "domain_id").agg(F.sum("w").alias("w"))
+    hits = asked.join(unit_weight, "keyword").groupBy("_class", "domain_id").agg(F.sum("w").alias("hits"))
+    return hits.join(per_query, "_class").select(
+        "_class",
+        "domain_id",
+        F.least(F.lit(1.0), F.try_divide(F.col("hits").cast("double"), F.col("n_keywords") * 3.0)).alias("score"),
+    )
+
+
 def score_catalog(
     queries: DataFrame, catalog: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
@@ -37,22 +65,10 @@ def score_catalog(
     ``catalog`` is (domain_id, kind, text). A keyword hits a text that contains it, so
     texts are expanded to their substrings of the keyword lengths that occur (one scalar
     set, bounded by the longest keyword) and joined on equality. Hits are summed per
-    (keyword, domain) before queries are joined in.
+    (keyword, domain) before queries are joined in; queries with equal keywords are scored once.
     """
-    kws = query_keywords(queries, key, text)
-    sizes = kws.agg(F.sort_array(F.collect_set(F.length("keyword")))).first()[0] or []
-    per_query = kws.groupBy(key).agg(F.count(F.lit(1)).alias("n_keywords"))
-    weight = F.try_element_at(
-        F.create_map(*[F.lit(x) for kv in DOMAIN_WEIGHTS.items() for x in kv]), F.col("kind")
-    )
-    units = catalog.select("domain_id", weight.alias("w"), F.explode(substrings("text", sizes)).alias("keyword"))
-    unit_weight = units.groupBy("keyword", "domain_id").agg(F.sum("w").alias("w"))
-    hits = kws.join(unit_weight, "keyword").groupBy(key, "domain_id").agg(F.sum("w").alias("hits"))
-    return hits.join(per_query, key).select(
-        key,
-        "domain_id",
-        F.least(F.lit(1.0), F.try_divide(F.col("hits").cast("double"), F.col("n_keywords") * 3.0)).alias("score"),
-    )
+    members, asked = _keyword_sets(query_keywords(queries, key, text), key)
+    return members.join(_catalog_scores(asked, catalog), "_class").drop("_class")
 
 
 def match_domain(scores: DataFrame, key: str, bar: float = MATCH_FROM) -> DataFrame:
@@ -61,10 +77,64 @@ def match_domain(scores: DataFrame, key: str, bar: float = MATCH_FROM) -> DataFr
     return best.where(F.col("score") >= bar)
 
 
-def _sum_points(kws: DataFrame, points: DataFrame, key: str, item: str, *extra) -> DataFrame:
-    """Join queries to per-(keyword, item) points; texts are reduced to those before the
-    join, so a keyword found in many texts of an item still meets a query once."""
-    return kws.join(points, "keyword").groupBy(key, item).agg(F.sum("points").cast("bigint").alias("score"), *extra)
+def best_domains(queries: DataFrame, catalog: DataFrame, key: str, text: str = "text", bar: float = MATCH_FROM) -> DataFrame:
+    """The same from the texts: each keyword set picks its domain before queries are joined in, so the pairs of all
+    queries and domains are never made."""
+    members, asked = _keyword_sets(query_keywords(queries, key, text), key)
+    return members.join(match_domain(_catalog_scores(asked, catalog), "_class", bar), "_class").drop("_class")
+
+
+def _candidates(asked: DataFrame, points: DataFrame, item: str, n: int) -> DataFrame:
+    """(_class, item) pairs that hold the n best items of each keyword set.
+
+    The n best postings of each keyword (its champions) give a score that n items reach: the bar. An item that is no
+    champion and shares one keyword with the set can't beat that keyword's champions. So it is enough to look through
+    either the keywords without which an item stays below the bar, or all but the most frequent one (an item that
+    shares two has another); the set takes what has fewer postings.
+    """
+    worth = F.col("points") + F.col("bonus")
+    facts = points.groupBy("keyword").agg(F.count(F.lit(1)).alias("_df"), F.max(worth).alias("_most"))
+    champions = rank_top(points, ["keyword"], [worth.desc(), F.asc(item)], n).drop("rank")
+    near = asked.join(champions, "keyword").groupBy("_class", item).agg(_score().alias("_low"))
+    reached = rank_top(near, ["_class"], [F.desc("_low")], n).groupBy("_class")
+    bar = reached.agg(F.when(F.count(F.lit(1)) == n, F.min("_low")).otherwise(0).alias("_bar"))
+    rising = Window.partitionBy("_class").orderBy("_most", F.desc("_df"), "keyword").rowsBetween(Window.unboundedPreceding, 0)
+    marked = asked.join(facts, "keyword").join(bar, "_class").select(
+        "_class",
+        "keyword",
+        "_df",
+        (F.sum("_most").over(rising) >= F.col("_bar")).alias("_needed"),
+        (F.row_number().over(Window.partitionBy("_class").orderBy(F.desc("_df"), "keyword")) > 1).alias("_rarer"),
+    )
+    cost = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("_df"))).over(Window.partitionBy("_class")), F.lit(0))
+    cheaper = F.when(cost("_needed") < cost("_rarer"), F.col("_needed")).otherwise(F.col("_rarer"))
+    chosen = marked.withColumn("_look", cheaper).where("_look")
+    looked = chosen.select("_class", "keyword").join(points.select("keyword", item), "keyword").select("_class", item)
+    return looked.unionByName(near.select("_class", item)).distinct()
+
+
+def _score() -> Column:
+    return (F.sum("points") + F.max("bonus")).cast("bigint")
+
+
+def _best_items(kws: DataFrame, points: DataFrame, key: str, item: str, n: int) -> DataFrame:
+    """Top n items per query by the sum of the points of its keywords, and the largest bonus once.
+
+    ``points`` is (keyword, item, points, bonus), one row per keyword and item. Scores are made for candidates only.
+    """
+    members, asked = _keyword_sets(kws, key)
+    found = _candidates(asked, points, item, n).join(asked, "_class").join(points, ["keyword", item])
+    scores = found.groupBy("_class", item).agg(_score().alias("score"))
+    best = rank_top(scores, ["_class"], [F.desc("score"), F.asc(item)], n)
+    return members.join(best, "_class").drop("_class")
+
+
+def entity_points(entities: DataFrame, attributes: DataFrame) -> DataFrame:
+    names = entities.select("entity", F.explode(match_units("entity")).alias("keyword"), F.lit(3).alias("p"), F.lit(0).alias("a"))
+    # one text per attribute: a keyword found in name and description counts once
+    both = F.concat_ws("\n", "attribute", "description")
+    attrs = attributes.select("entity", F.explode(match_units(both)).alias("keyword"), F.lit(1).alias("p"), F.lit(1).alias("a"))
+    return names.unionByName(attrs).groupBy("keyword", "entity").agg(F.sum("p").alias("points"), F.max("a").alias("bonus"))
 
 
 def rank_entities(
@@ -75,32 +145,21 @@ def rank_entities(
 
     ``entities`` is (entity), ``attributes`` is (entity, attribute, description).
     """
-    names = entities.select("entity", F.explode(match_units("entity")).alias("keyword"), F.lit(3).alias("p"), F.lit(0).alias("a"))
-    # one text per attribute: a keyword found in name and description counts once
-    both = F.concat_ws("\n", "attribute", "description")
-    attrs = attributes.select("entity", F.explode(match_units(both)).alias("keyword"), F.lit(1).alias("p"), F.lit(1).alias("a"))
-    points = names.unionByName(attrs).groupBy("keyword", "entity").agg(F.sum("p").alias("points"), F.max("a").alias("attr"))
-    hits = _sum_points(query_keywords(queries, key, text), points, key, "entity", F.max("attr").alias("_attr"))
-    total = hits.withColumn("score", F.col("score") + F.col("_attr")).drop("_attr")
-    return rank_top(total, [key], [F.desc("score"), F.asc("entity")], n)
+    return _best_items(query_keywords(queries, key, text), entity_points(entities, attributes), key, "entity", n)
 
 
-def rank_metrics(queries: DataFrame, metrics: DataFrame, key: str, text: str = "text", n: int = 10) -> DataFrame:
-    """Top metrics per query: 3 per keyword in the name, 1 in the description, 1 in the
-    expression. ``metrics`` is (metric, description, expression)."""
-
+def metric_points(metrics: DataFrame) -> DataFrame:
     def units(col: str, weight: int) -> DataFrame:
         return metrics.select("metric", F.explode(match_units(col)).alias("keyword"), F.lit(weight).alias("p"))
 
-    points = (
-        units("metric", 3)
-        .unionByName(units("description", 1))
-        .unionByName(units("expression", 1))
-        .groupBy("keyword", "metric")
-        .agg(F.sum("p").alias("points"))
-    )
-    total = _sum_points(query_keywords(queries, key, text), points, key, "metric")
-    return rank_top(total, [key], [F.desc("score"), F.asc("metric")], n)
+    both = units("metric", 3).unionByName(units("description", 1)).unionByName(units("expression", 1))
+    return both.groupBy("keyword", "metric").agg(F.sum("p").alias("points")).withColumn("bonus", F.lit(0))
+
+
+def rank_metrics(queries: DataFrame, metrics: DataFrame, key: str, text: str = "text", n: int = 10) -> DataFrame:
+    """Top metrics per query: 3 per keyword in the name, 1 in the description, 1 in the
+    expression. ``metrics`` is (metric, description, expression)."""
+    return _best_items(query_keywords(queries, key, text), metric_points(metrics), key, "metric", n)
 
 
 def search(static: DataFrame, dynamic: DataFrame, word: str, key: str = "id") -> DataFrame:
@@ -162,61 +221,74 @@ def search_files(files: DataFrame, terms: Sequence[str], path: str = "path", tex
 # --- vector top-k -------------------------------------------------------------------
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.stack(rows.to_numpy()).astype(np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query row the k best scores and their ids, ties by id; ids are per row."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
-
-
-def _rows(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, threshold: float) -> pd.DataFrame:
-    out = pd.DataFrame(
-        {"query_id": np.repeat(query_ids, scores.shape[1]), "match_id": ids.ravel(), "score": scores.ravel()}
-    )
-    return out[out["score"] >= threshold]
-
+#: bytes of vectors on each side of a tile; scores held at once by a task; rows of a block
+TILE_BYTES, CELLS, BLOCK_ROWS = 64 << 20, 4_000_000, 256
+#: tiles of one query group whose answers are merged first
+FAN_IN = 64
+BLOCKS = "block bigint, ids binary, vectors binary"
+PARTIAL = "query_id bigint, match_id bigint, score double, part int"
 
-CELLS = 4_000_000  # scores held at once by a task
-PARTIAL = "query_id bigint, match_id bigint, score double"
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector) to blocks of unit vectors as one matrix each."""
+    base, at = TaskContext.get().partitionId() << 33, 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BLOCK_ROWS):
+            rows = batch.slice(lo, BLOCK_ROWS)
+            m = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            row = [pa.array([base + at]), pa.array([rows.column(0).to_numpy().tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, names=["block", "ids", "vectors"])
+            at += 1
 
-def _query_blocks(queries: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of the queries, streamed in blocks of ``rows``."""
-    ids: list[int] = []
-    vectors: list[list[float]] = []
-    for r in queries.toLocalIterator():
-        ids.append(r._id)
-        vectors.append(r._v)
-        if len(ids) == rows:
-            yield np.array(ids), _unit(pd.Series(vectors))
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids), _unit(pd.Series(vectors))
 
+def _side(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if not table.num_rows:  # a side without rows comes without columns too
+        return
+    for ids, vectors in zip(table.column(-2).to_pylist(), table.column(-1).to_pylist()):
+        ids = np.frombuffer(ids, np.int64)
+        yield ids, np.frombuffer(vectors, np.float64).reshape(len(ids), -1)
 
-def _scan_with_queries(block: tuple[np.ndarray, np.ndarray], corpus: DataFrame, k: int, threshold: float, digits: int) -> DataFrame:
-    """One pass over the corpus where it lies, with a query matrix of bounded size."""
-    shared = corpus.sparkSession.sparkContext.broadcast(block)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, q = shared.value
-        step = max(1, CELLS // len(query_ids))
-        top = None
-        for c in (b[i : i + step] for b in batches for i in range(0, len(b), step)):
-            scores = np.round(q @ _unit(c["_v"]).T, digits) + 0.0
-            ids = np.broadcast_to(c["_id"].to_numpy(), scores.shape)
-            if top is not None:
-                scores, ids = np.hstack([top[0], scores]), np.hstack([top[1], ids])
-            top = _best(scores, ids, k)
-        if top is not None:
-            yield _rows(query_ids, *top, threshold)
-
-    return corpus.mapInPandas(scan, PARTIAL)
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the k best scores and their ids, ties by id; fewer columns than k are filled with -inf."""
+    n, width = scores.shape
+    if width > k:  # only what reaches the k-th score of its row is sorted
+        bar = np.partition(scores, width - k, axis=1)[:, width - k]
+        row, col = np.nonzero(scores >= bar[:, None])
+    else:
+        row, col = np.divmod(np.arange(scores.size), max(width, 1))
+    s, i = scores[row, col], ids[row, col]
+    turn = np.lexsort((i, -s, row))
+    row, s, i = row[turn], s[turn], i[turn]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
+    out, names = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+    out[row[kept], place[kept]], names[row[kept], place[kept]] = s[kept], i[kept]
+    return out, names
+
+
+def _tile(k: int, threshold: float, digits: int):
+    """All query blocks against all corpus blocks of a tile."""
+
+    def run(key: tuple[pa.Scalar, ...], queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        part = key[1].as_py()
+        out = []
+        for query_ids, q in _side(queries):
+            top = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+            step = max(1, CELLS // len(q))
+            for ids, c in _side(corpus):
+                for lo in range(0, len(c), step):
+                    scores = np.round(q @ c[lo : lo + step].T, digits) + 0.0
+                    names = np.broadcast_to(ids[lo : lo + step], scores.shape)
+                    top = _best(np.hstack([top[0], scores]), np.hstack([top[1], names]), k)
+            good = (top[0] >= threshold) & (top[0] > -np.inf)
+            columns = [np.repeat(query_ids, good.sum(axis=1)), top[1][good], top[0][good], np.full(int(good.sum()), part, np.int32)]
+            out.append(pa.table(columns, names=["query_id", "match_id", "score", "part"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int32())], names=["query_id", "match_id", "score", "part"])
+
+    return run
 
 
 def top_k(
@@ -226,21 +298,42 @@ def top_k(
     vec: str,
     k: int = 5,
     threshold: float = 0.0,
-    block_rows: int = 2048,
     digits: int = 6,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """Exact top-k by cosine for many queries: (query_id, match_id, score, rank).
 
-    Queries take turns in blocks of ``block_rows``, whatever their number: each block is broadcast as one matrix, the
-    corpus is scanned where it lies and a task forwards at most k rows per query, which are written before the next
-    block. Scores are compared at ``digits`` decimals so that equal vectors tie and fall back to the id.
+    Both sides are written once as blocks of unit vectors. Query and corpus blocks are dealt into groups, and every
+    pair of groups is a tile that one task multiplies: it holds ``tile_bytes`` of vectors a side and forwards at most
+    k rows per query. Tiles of a query are merged ``FAN_IN`` at a time, then together. Scores are compared at
+    ``digits`` decimals so that equal vectors tie and fall back to the id. Rows without an id or a vector are left out.
     """
-    queries, corpus = (df.select(F.col(key).cast("bigint").alias("_id"), F.col(vec).alias("_v")) for df in (queries, corpus))
-    area = StageArea(corpus.sparkSession, "top-k")
-    best = corpus.sparkSession.createDataFrame([], PARTIAL)
-    for block in _query_blocks(queries, block_rows):
-        best = best.unionByName(area.save(_scan_with_queries(block, corpus, k, threshold, digits)))
-    return rank_top(best, ["query_id"], [F.desc("score"), F.asc("match_id")], k)
+    spark = corpus.sparkSession
+    area = StageArea(spark, "top-k")
+
+    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+        rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id IS NOT NULL AND size(v) > 0")
+        saved, seen = area.save_observed(spread(rows).mapInArrow(_pack, BLOCKS), name, n=F.count(F.lit(1)), size=F.sum(F.length("vectors")))
+        return saved, int(seen["n"]), int(seen["size"] or 0)
+
+    q, q_blocks, q_bytes = blocks(queries, "queries")
+    c, c_blocks, c_bytes = (q, q_blocks, q_bytes) if queries is corpus else blocks(corpus, "corpus")
+    slots = spark.sparkContext.defaultParallelism
+    q_groups, c_groups = max(1, -(-q_bytes // tile_bytes)), max(1, -(-c_bytes // tile_bytes))
+    # a side is sent once per group of the other, so small inputs are cut on both sides to fill the slots
+    finer = max(1.0, math.sqrt(2 * slots / (q_groups * c_groups)))
+    q_groups, c_groups = min(max(q_blocks, 1), math.ceil(q_groups * finer)), min(max(c_blocks, 1), math.ceil(c_groups * finer))
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    group = lambda n: F.expr(f"cast(pmod(shiftright(block, 33) + (block & {(1 << 33) - 1}), {n}) as int)")
+    left = q.select(group(q_groups).alias("g"), other(c_groups).alias("h"), "ids", "vectors")
+    right = c.select(other(q_groups).alias("g"), group(c_groups).alias("h"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
+    tasks = min(q_groups * c_groups, 16 * slots)
+    pairs = left.repartition(tasks, "g", "h").groupBy("g", "h").cogroup(right.repartition(tasks, "g", "h").groupBy("g", "h"))
+    best = pairs.applyInArrow(_tile(k, threshold, digits), PARTIAL)
+    order = [F.desc("score"), F.asc("match_id")]
+    if c_groups > FAN_IN:
+        best = rank_top(best.withColumn("part", F.floor(F.col("part") / FAN_IN)), ["query_id", "part"], order, k).drop("rank")
+    return rank_top(best.drop("part"), ["query_id"], order, k)
 
 
 # --- grouping by rare tokens ----------------------------------------------------------

@@ -100,7 +100,7 @@ def test_unknown_tables(spark):
 # --- retrieval
 
 
-def test_top_k_blocks_equal_brute_force(spark):
+def test_top_k_tiles_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(7)
     vecs = rng.normal(size=(60, 8)).round(2)
     vecs[10] = vecs[3]
@@ -112,9 +112,22 @@ def test_top_k_blocks_equal_brute_force(spark):
         sims = [0.0 if norm[i] * norm[j] == 0 else round(float(vecs[i] @ vecs[j] / norm[i] / norm[j]), 6) for j in range(60)]
         best = sorted(((-s, j) for j, s in enumerate(sims) if s >= 0.1))[:4]
         want += [(i, j, r + 1) for r, (_, j) in enumerate(best)]
-    for block in (7, 4096):
-        got = bag(retrieval.top_k(df, df, "id", "v", 4, 0.1, block_rows=block), "query_id", "match_id", "rank")
+    for rows, tile, cells, fan in ((256, 64 << 20, 4_000_000, 64), (3, 100, 50, 2), (1, 1, 1, 3)):
+        for name, value in (("BLOCK_ROWS", rows), ("CELLS", cells), ("FAN_IN", fan)):
+            monkeypatch.setattr(retrieval, name, value)
+        got = bag(retrieval.top_k(df, df, "id", "v", 4, 0.1, tile_bytes=tile), "query_id", "match_id", "rank")
         assert got == sorted(want)
+    few = df.where("id < 5")
+    got = bag(retrieval.top_k(few, df, "id", "v", 4, 0.1), "query_id", "match_id", "rank")
+    assert got == sorted(w for w in want if w[0] < 5)
+
+
+def test_top_k_of_nothing(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (None, [1.0, 1.0]), (3, []), (4, [2.0, 0.1])], "id int, v array<float>")
+    got = bag(retrieval.top_k(df, df, "id", "v", 9), "query_id", "match_id", "rank")
+    assert got == [(1, 1, 1), (1, 4, 2), (4, 1, 2), (4, 4, 1)]
+    assert retrieval.top_k(df.limit(0), df, "id", "v").collect() == []
+    assert retrieval.top_k(df, df.limit(0), "id", "v").collect() == []
 
 
 def test_components_brute_force(spark):

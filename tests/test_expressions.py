@@ -101,7 +101,7 @@ def test_keywords(spark):
     assert sorted(one(spark, text.keywords(F.col("t")), t="GMV of 订单统计 x")) == ["gmv", "of", "单统", "统计", "订单"]
     got = one(spark, text.match_units(F.col("t")), t="order_id 订单量")
     assert "order_id" in got and "单量" in got and "order" not in got
-    assert set(one(spark, text.substrings(F.col("t"), [2, 3]), t="ABC")) == {"ab", "bc", "abc"}
+    assert set(one(spark, text.substrings(F.col("t"), F.array(F.lit(2), F.lit(3))), t="ABC")) == {"ab", "bc", "abc"}
 
 
 def test_identifiers(spark):
