@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import safe_div
 from ..operators import joins as J
 from ..operators.quality import duplicate_keys
+from ..operators.bitmaps import History
 from ..operators.windows import rolling_distinct
 from ..plans import domains
 from ..plans import semantic as S
@@ -62,6 +63,22 @@ def m6(spark, sf):
     return rolling_distinct(sessions(spark, sf), "inc_day", "user_id", 30, out="mau")
 
 
+@bind(
+    "m6_mau_history",
+    "inc_day:s dau:i mau:i",
+    f"""WITH a AS (SELECT DISTINCT {DAY_NO} AS d, inc_day, user_id FROM {SESSIONS})
+      SELECT x.inc_day, count(DISTINCT CASE WHEN y.d = x.d THEN y.user_id END) AS dau, count(DISTINCT y.user_id) AS mau FROM (SELECT DISTINCT d, inc_day FROM a) x
+      JOIN a y ON y.d BETWEEN x.d - 29 AND x.d GROUP BY 1""",
+)
+def m6_history(spark, sf):
+    """Users of each day and of its 30 days from stored bitmaps; the last days are added later, one of them twice."""
+    s = sessions(spark, sf)
+    history = History(spark, StageArea(spark, "history").path("users"), s.schema["user_id"].dataType.simpleString(), buckets=2)
+    for days in ("inc_day < '20240129'", "inc_day >= '20240129'", "inc_day = '20240129'"):
+        history.add(s.where(days), "user_id")
+    return history.rolling(1, out="dau").join(history.rolling(30, out="mau"), "inc_day")
+
+
 @bind(
     "m7_avg_session_duration",
     "inc_day:s avg_session_duration:r6",

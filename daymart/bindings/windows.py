@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.days import week_start
+from ..operators import bitmaps as B
 from ..operators import windows as W
 from . import bind
 from .frames import ITEMS, MOVES, ORDERS, SESSIONS, items, moves, orders, sessions, table
@@ -48,6 +49,20 @@ def w3(spark, sf):
     return W.rolling_distinct(orders(spark, sf), "inc_day", "customer_id", 30)
 
 
+@bind(
+    "w3_bitmap_distinct",
+    "inc_day:s entities:i",
+    f"""WITH a AS (SELECT DISTINCT {DAY_NO} AS d, inc_day, customer_id FROM {ORDERS})
+      SELECT x.inc_day, count(DISTINCT y.customer_id) AS entities FROM (SELECT DISTINCT d, inc_day FROM a) x
+      JOIN a y ON y.d BETWEEN x.d - 6 AND x.d GROUP BY x.inc_day""",
+)
+def w3b(spark, sf):
+    """Weekly distinct customers of every day, from day bitmaps."""
+    o = orders(spark, sf)
+    numbers = B.number_entities(o, "customer_id", buckets=4)
+    return B.distinct_rolling(B.day_bitmaps(o, "inc_day", "customer_id", numbers), "inc_day", 7)
+
+
 @bind(
     "w4_dedup_latest",
     "order_id:i line_no:i product_id:i item_amount:d",
