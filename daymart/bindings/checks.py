@@ -10,7 +10,7 @@ from ..operators.scripts import column_lineage, targets_and_sources
 from ..operators.topk import failures_first
 from ..plans.marts import commerce_daily
 from . import bind
-from .frames import BIZDATE, ITEMS, ORDERS, SCRIPTS, items, orders, scripts, table
+from .frames import BIZDATE, ITEMS, ORDERS, SCRIPTS, SESSIONS, items, orders, scripts, table
 
 MEASURED = "category:s name:s weight:i measured:r6 threshold:s status:s"
 
@@ -110,6 +110,60 @@ def q12(spark, sf):
     return Q.volume_band(orders(spark, sf, ("19980608", BIZDATE)), "inc_day", BIZDATE)
 
 
+STREAM_BAND = 5
+
+
+def volume_run(spark, sf, tag):
+    """Events as a stream in two runs; the second one also brings rows of the first one's last hour, late but in time."""
+    from pyspark.sql.types import StructField, StructType, TimestampType
+
+    from ..session import StageArea
+    from ..streaming import volume
+
+    area = StageArea(spark, tag)
+    events = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    late = F.col("ts") >= "2024-01-14 23:00:00"
+    out, files = area.path("out"), area.path("files")
+    schema = StructType([StructField("ts", TimestampType())])
+
+    def suite(day):
+        return [volume.volume_change(day), volume.days_out_of_band(day, 30, STREAM_BAND / 100)]
+
+    for rows in (events.where(~late), events.where(late)):
+        rows.write.mode("append").parquet(files)
+        stream = spark.readStream.schema(schema).parquet(files)
+        volume.run_volume_stream(volume.volume_stream(stream, "ts", "1 hour"), out, area.path("checkpoint"), suite)
+    return out
+
+
+VOLUMES = f"""(SELECT inc_day, cnt, lag(cnt) OVER (ORDER BY inc_day) AS prev_cnt, round((cnt - lag(cnt) OVER (ORDER BY inc_day)) * 100.0 / lag(cnt) OVER (ORDER BY inc_day), 2) AS pct_change
+  FROM (SELECT inc_day, count(*) AS cnt FROM {SESSIONS} GROUP BY 1))"""
+
+
+@bind("q12_volume_stream", "inc_day:s cnt:i prev_cnt:i pct_change:r2", f"SELECT * FROM {VOLUMES}")
+def q12_stream(spark, sf):
+    from ..operators.windows import period_change
+    from ..streaming import volume
+
+    return period_change(volume.volumes(spark, volume_run(spark, sf, "volumes")), "inc_day", "cnt")
+
+
+@bind(
+    "q11_volume_stream_checks",
+    "name:s measured:r6 status:s",
+    f"""WITH v AS (SELECT * FROM {VOLUMES}), n AS (SELECT arg_max(abs(cnt - prev_cnt) / CAST(prev_cnt AS DOUBLE), inc_day) AS m, max(inc_day) AS d FROM v),
+      b AS (SELECT count(*) AS m FROM v WHERE abs(pct_change) > {STREAM_BAND})
+      SELECT 'volume of ' || d AS name, m AS measured, CASE WHEN m > 0.5 THEN 'FAILED' ELSE 'PASSED' END AS status FROM n
+      UNION ALL SELECT 'days out of band up to ' || d, CAST(b.m AS DOUBLE), CASE WHEN b.m > 0 THEN 'FAILED' ELSE 'PASSED' END FROM n, b""",
+)
+def q11_stream(spark, sf):
+    """What the suite of the last batch found."""
+    from ..streaming import volume
+
+    results = volume.check_results(spark, volume_run(spark, sf, "volume-checks"))
+    return results.where(F.col("batch") == results.agg(F.max("batch")).scalar())
+
+
 @bind(
     "q13_share_anomaly",
     "value:s cnt:i share:r6",
