@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import StageArea
@@ -44,7 +44,7 @@ def _pieces(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch.column(2), STEP):
+            for part in chunks(batch.column(3), STEP):
                 if len(part.data) < window:
                     continue
                 size = np.diff(part.starts)
@@ -81,11 +81,12 @@ def _pieces(window: int):
                         pa.array(digest.view(np.int64)),
                         batch.column(0).take(pick),
                         batch.column(1).take(pick),
+                        batch.column(2).take(pick),
                         pa.array((lo - part.starts[row[start]]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                         pa.array(twice),
                     ],
-                    names=["token", "digest", "doc_id", "mark", "lo", "n", "twice"],
+                    names=["token", "digest", "doc_id", "mark", "check", "lo", "n", "twice"],
                 )
 
     return run
@@ -250,6 +251,12 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, t) for v, t in zip(out, kinds)]], names=names)
 
 
+def _same_row(found: DataFrame) -> tuple[DataFrame, Column]:
+    """``found`` with its key renamed, and the condition that it is of the same id and text."""
+    found = found.withColumnsRenamed({"doc_id": "id", "mark": "m", "check": "c"})
+    return found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")) & (F.col("check") == F.col("c"))
+
+
 def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", hot_pieces: int = HOT_PIECES) -> DataFrame:
     """Every row's text without the bytes covered by a ``window``-byte string that starts anywhere else too.
 
@@ -270,20 +277,22 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
         raise ValueError("strings of less than 8 bytes are not supported")
     area = StageArea(docs.sparkSession, "suffixes")
     small_batches(docs.sparkSession)
-    texts = docs.select(column(id_col).alias("doc_id"), raw(text_col).alias("body")).withColumn("mark", F.hash("body"))
+    texts = docs.select(column(id_col).alias("doc_id"), raw(text_col).alias("body"))
+    # rows are told apart by the id and 128 bits of the text's hashes, as ids may be null or repeated
+    texts = texts.withColumns({"mark": F.xxhash64("body"), "check": F.xxhash64(F.lit(1), "body")})
     kind = texts.schema["doc_id"].dataType.simpleString()
-    pieces = texts.filter(F.length("body") >= window).select("doc_id", "mark", "body")
-    pieces = pieces.mapInArrow(tidy(_pieces(window)), f"token long, digest long, doc_id {kind}, mark int, lo int, n int, twice boolean")
+    pieces = texts.filter(F.length("body") >= window).select("doc_id", "mark", "check", "body")
+    pieces = pieces.mapInArrow(tidy(_pieces(window)), f"token long, digest long, doc_id {kind}, mark long, check long, lo int, n int, twice boolean")
     shared = pieces.groupBy("token").agg(F.count("*").alias("places"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("twice").alias("twice"))
     shared = shared.filter("places > 1 OR twice").select("token", (F.expr("low <> high OR places = 1")).alias("mixed"))
     held = area.save(pieces.drop("twice").join(shared, "token"), "pieces")
 
     kinds = held.filter("mixed").groupBy("token", "digest")
-    kinds = kinds.agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "mark", "lo", "n")])
-    kinds = kinds.withColumn("many", F.count("*").over(Window.partitionBy("token")) > hot_pieces)
-    wanted = kinds.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("token", "digest", "copies", "many", "lo", "n")).alias("wanted"))
-    wanted = wanted.withColumnsRenamed({"doc_id": "id", "mark": "m"})
-    fetched = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).select("body", "wanted")
+    kinds = kinds.agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "mark", "check", "lo", "n")])
+    hot = kinds.groupBy("token").count().filter(F.col("count") > hot_pieces).select("token", F.lit(True).alias("many"))
+    kinds = kinds.join(hot, "token", "left").na.fill(False, ["many"])
+    wanted = kinds.groupBy("doc_id", "mark", "check").agg(F.collect_list(F.struct("token", "digest", "copies", "many", "lo", "n")).alias("wanted"))
+    fetched = texts.join(*_same_row(wanted)).select("body", "wanted")
     cut = fetched.mapInArrow(tidy(_cut(window)), "token long, digest long, copies long, many boolean, piece binary")
     cut = area.save(cut.dropDuplicates(["token", "digest"]), "kinds")  # a repeated row brings its pieces twice
 
@@ -297,9 +306,9 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     found = area.save(found.unionByName(hot).filter(F.size("runs") > 0), "runs")
 
     span = lambda a, b: F.struct((F.col("lo") + a).alias("a"), (F.col("lo") + b + window).alias("b"))
-    whole = held.filter("NOT mixed").select("doc_id", "mark", F.array(span(F.lit(0), F.col("n") - 1)).alias("spans"))
-    some = held.filter("mixed").join(found, ["token", "digest"]).select("doc_id", "mark", F.transform("runs", lambda r: span(r["a"], r["b"])).alias("spans"))
-    spans = whole.unionByName(some).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "id", "mark": "m"})
-    rows = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "body", "spans")
+    whole = held.filter("NOT mixed").select("doc_id", "mark", "check", F.array(span(F.lit(0), F.col("n") - 1)).alias("spans"))
+    some = held.filter("mixed").join(found, ["token", "digest"]).select("doc_id", "mark", "check", F.transform("runs", lambda r: span(r["a"], r["b"])).alias("spans"))
+    # a set: rows that repeat id and text bring the same spans
+    spans = whole.unionByName(some).groupBy("doc_id", "mark", "check").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    rows = texts.join(*_same_row(spans), "left").select("doc_id", "body", "spans")
     return rows.mapInArrow(tidy(_keep), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -65,3 +65,18 @@ def test_sorting_kernels():
         text = data.tobytes()
         seen = Counter((g, text[s : s + depth]) for s, g in zip(start, group))
         assert equal_suffixes(data, start, group, depth).tolist() == [seen[(g, text[s : s + depth])] > 1 for s, g in zip(start, group)]
+
+
+def test_texts_of_equal_short_hash_stay_apart(spark):
+    """Null ids and equal 32-bit hashes: what one text repeats must not be cut from the other."""
+    from pyspark.sql import functions as F
+
+    passage = "".join(random.Random(1).choice("abcdefghij ") for _ in range(301))
+    many = spark.range(250_000)
+    one = many.select(F.concat(F.lit(passage), F.col("id").cast("string")).alias("x"))
+    other = many.select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.sha2(F.concat_ws("-", "id", k), 256)), "").alias("y"))
+    pair = one.withColumn("h", F.hash("x")).join(other.withColumn("h", F.hash("y")), "h").first()
+    data = [(None, pair.x, 1, 2, "b"), (None, pair.y, 1, 2, "b"), (7, passage + "!", 1, 2, "b"), (None, pair.y[::-1], 1, 2, "b")]
+    got = remove_repeats(spark.createDataFrame(data, SCHEMA), 200).collect()
+    assert Counter(tuple(r)[:5] for r in got) == brute(data, 200)
+    assert sorted(r.n_removed for r in got) == [0, 0, 301, 301]
