@@ -35,6 +35,21 @@ def s2(spark, sf):
     return S.column_lineage(scripts(spark, sf))
 
 
+@bind(
+    "s2_column_items",
+    "script_id:i target:s target_field:s source_table:s source_field:s",
+    rf"""WITH b AS (SELECT script_id, c, lower(regexp_extract(c, 'insert overwrite table (\w+\.\w+)', 1)) AS target,
+        regexp_extract(c, '(?is)insert overwrite table .*?\bselect\s+(.*?)\s+from\b', 1) AS body FROM {CLEAN}),
+      i AS (SELECT script_id, c, target, unnest(regexp_extract_all(body, '(?i)[\w\(\)\.\s+\-*/]+\s+as\s+\w+')) AS item FROM b),
+      r AS (SELECT *, regexp_replace(regexp_extract(item, '(?is)^(.*)\s+as\s+\w+$', 1), '^\s+|\s+$', '', 'g') AS raw FROM i),
+      t AS (SELECT *, CASE WHEN regexp_matches(raw, '^\w+\.\w+$') THEN lower(regexp_extract(c, '(?i)\b(?:from|join)\s+(\w+\.\w+)\s+' || regexp_extract(raw, '^(\w+)', 1) || '\b', 1)) ELSE '' END AS tbl FROM r)
+      SELECT script_id, target, regexp_extract(item, '(\w+)$', 1) AS target_field, CASE WHEN tbl = '' THEN 'unknown' ELSE tbl END AS source_table,
+        CASE WHEN tbl = '' THEN raw ELSE regexp_extract(raw, '\.(\w+)', 1) END AS source_field FROM t""",
+)
+def s2_items(spark, sf):
+    return S.column_items(scripts(spark, sf))
+
+
 START = "dim_demo.dim_small_ring_df"
 
 

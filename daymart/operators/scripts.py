@@ -32,6 +32,7 @@ INSERTED = r"(?i)\binsert\s+(?:overwrite|into)\s+(?:table\s+)?(\w+\.\w+)"
 INSERT_LINE = r"(?i)insert\s+(?:overwrite\s+)?(?:into\s+)?table\s+([A-Za-z0-9_.]+)"
 PARTITION_LINE = r"(?i)partition\s*\((.*)$"
 PARTITION_WINDOW = 4
+ITEM = r"(?i)([\w\(\)\.\s+\-*/]+)\s+as\s+(\w+)"
 JOINS = r"(?i)\bjoin\b"
 ON_OR_USING = r"(?i)\b(?:on|using)\b"
 NOT_ALIASES = (
@@ -122,6 +123,38 @@ def column_lineage(scripts: DataFrame) -> DataFrame:
     )
 
 
+def column_items(scripts: DataFrame) -> DataFrame:
+    """(script_id, target, target_field, source_table, source_field) of every ``item as name`` in the select after the
+    insert (the first select without one).
+
+    An item with a table's alias in front gives that table and its column; any other item gives itself and
+    ``unknown``, and so does an alias that is the name of a CTE.
+    """
+    text = F.col("_clean")
+    inserted = F.regexp_like(text, F.lit(TARGET))
+    after = F.when(inserted, F.regexp_extract(text, TARGET + r"(?s)(.*)$", 2)).otherwise(text)
+    items = _parts(F.regexp_extract(after, r"(?is)\bselect\s+(.*?)\s+from\b", 1), ITEM, r=1, o=2)
+    named = F.filter(_parts(text, ALIASED, t=1, a=2), lambda p: ~F.lower(p["a"]).isin(*NOT_ALIASES))
+    tables = F.filter(named, lambda p: ~F.regexp_like(text, F.concat(F.lit(r"(?i)(?:with|,)\s*"), p["a"], F.lit(r"\s+as\s*\("))))
+    rows = _cleaned(scripts).select(
+        "script_id",
+        F.when(inserted, F.lower(F.regexp_extract(text, TARGET, 1))).otherwise("unknown_target").alias("target"),
+        tables.alias("_p"),
+        F.explode(items).alias("_i"),
+    )
+    raw = F.regexp_replace("_i.r", r"^\s+|\s+$", "")
+    parts = F.split(raw, r"\.")
+    match = F.filter("_p", lambda p: (F.size(parts) > 1) & (F.lower(p["a"]) == F.lower(parts[0])))
+    table = F.lower(F.try_element_at(match, F.lit(-1))["t"])
+    return rows.select(
+        "script_id",
+        "target",
+        F.col("_i.o").alias("target_field"),
+        F.coalesce(table, F.lit("unknown")).alias("source_table"),
+        F.when(table.isNotNull(), parts[1]).otherwise(raw).alias("source_field"),
+    )
+
+
 def impact(
     spark: SparkSession, edges: DataFrame, start: DataFrame, downstream: bool = True, depth: int | None = None
 ) -> DataFrame:
@@ -399,9 +432,3 @@ def mine_tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         .select(key, F.posexplode(names).alias("position", "table_name"))
         .withColumn("position", (F.col("position") + 1).cast("bigint"))
     )
-
-
-def lineage_of(scripts: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Edges that touch any of the named tables."""
-    wanted = [n.lower() for n in names]
-    return table_lineage(scripts).where(F.col("source").isin(wanted) | F.col("target").isin(wanted))
