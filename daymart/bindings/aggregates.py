@@ -262,6 +262,21 @@ def u3c(spark, sf):
     return U.multiset_diff(rows, rows.distinct())
 
 
+@bind(
+    "u3_diff_by_digest",
+    "l_orderkey:i l_linenumber:i l_quantity:d old_rows:i new_rows:i",
+    """WITH n AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 1000 = 7 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem WHERE l_orderkey % 1500 <> 11),
+      s AS (SELECT l_orderkey, l_linenumber, l_quantity, 1 AS o, 0 AS n FROM lineitem UNION ALL SELECT *, 0, 1 FROM n)
+      SELECT l_orderkey, l_linenumber, l_quantity, sum(o) AS old_rows, sum(n) AS new_rows FROM s GROUP BY 1, 2, 3 HAVING sum(o) <> sum(n)""",
+)
+def u3d(spark, sf):
+    """An output against a later one in which a few orders changed or are gone."""
+    old = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    quantity = F.when(F.col("l_orderkey") % 1000 == 7, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    new = old.where("l_orderkey % 1500 <> 11").withColumn("l_quantity", quantity)
+    return U.diff_by_digest(old, new, ["l_orderkey"])
+
+
 @bind(
     "u4_merge_insert_only",
     "cust_key:i label:s",

@@ -334,6 +334,43 @@ def q20(spark, sf):
     return Q.run_sql_checks(spark, tables, CHECK_FILE, BIZDATE)
 
 
+REGISTERED_FILE = """
+-- [metric-revenue] paid revenue of the run date
+-- weight: High
+select revenue_gap('${bizdate}') as gap from (select 1) where revenue_gap('${bizdate}') > 0.5;
+
+-- [metric-share] paid share of every priority
+select priority, paid_share(priority) as share from (select distinct priority from all_orders) where paid_share(priority) < 0.2;
+
+-- [rule-amounts] orders of a status above a limit
+-- weight: Low
+select * from orders_above('50', 490000);
+"""
+PAID_OF = "order_status IN ('20', '30', '40')"
+
+
+@bind(
+    "q20_registered_checks",
+    MEASURED,
+    f"""WITH r AS (SELECT sum(pay_amount) FILTER (WHERE inc_day = '{BIZDATE}') AS a, sum(pay_amount) FILTER (WHERE inc_day = '19980615') AS b FROM {ORDERS} WHERE {PAID_OF}),
+      p AS (SELECT priority FROM {ORDERS} GROUP BY 1 HAVING count(*) FILTER (WHERE {PAID_OF}) / CAST(count(*) AS DOUBLE) < 0.2)
+      {one("metric", "revenue", "SELECT CASE WHEN abs(CAST(a - b AS DOUBLE)) / CAST(b AS DOUBLE) > 0.5 THEN 1 ELSE 0 END FROM r", 30, ">0", "m > 0")}
+      UNION ALL {one("metric", "share", "SELECT count(*) FROM p", 15, ">0", "m > 0")}
+      UNION ALL {one("rule", "amounts", f"SELECT count(*) FROM {ORDERS} WHERE order_status = '50' AND pay_amount > 490000", 5, ">0", "m > 0")}""",
+)
+def q20_registered(spark, sf):
+    """A check file that calls registered metrics, a function and a table of offending rows."""
+    from ..plans.registry import Registry
+
+    known = Registry()
+    known.function("relative_gap", "a DOUBLE, b DOUBLE", "DOUBLE", "abs(try_divide(a - b, b))")
+    known.metric("paid_revenue", "all_orders", "sum(pay_amount)", f"{PAID_OF} AND inc_day = paid_revenue.day", "day STRING")
+    known.metric("paid_share", "all_orders", f"avg(CASE WHEN {PAID_OF} THEN 1.0 ELSE 0.0 END)", "priority = paid_share.name", "name STRING")
+    known.function("revenue_gap", "day STRING", "DOUBLE", "relative_gap(paid_revenue(day), paid_revenue('19980615'))")
+    known.check("orders_above", "status STRING, bound INT", "SELECT order_id, pay_amount FROM all_orders WHERE order_status = orders_above.status AND pay_amount > orders_above.bound")
+    return known.run_checks(spark, {"all_orders": orders(spark, sf)}, REGISTERED_FILE, BIZDATE)
+
+
 # --- contracts ----------------------------------------------------------------------
 
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, normalised_sha
 
 
+#: repeats of a row that one array holds
+REPEAT_PART = 10_000
+
+
 def union_like(frames: Sequence[DataFrame], distinct: bool = False) -> DataFrame:
     """UNION ALL by column name, or UNION."""
     out = reduce(lambda a, b: a.unionByName(b), frames)
@@ -81,10 +85,63 @@ def multiset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     cols = old.columns
     sides = old.withColumn("_count", F.lit(1)).unionByName(new.withColumn("_count", F.lit(-1)))
     more = sides.groupBy(*cols).agg(F.sum("_count").alias("_count")).where("_count <> 0")
-    times = F.array_repeat(F.when(F.col("_count") > 0, "old").otherwise("new"), F.abs("_count").cast("int"))
+    # in parts of bounded size: a hot row makes many short arrays, not one huge one
+    whole = F.abs("_count")
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((whole - 1) / REPEAT_PART)))
+    more = more.select(*cols, "_count", parts.alias("_part"))
+    left = F.least(F.lit(REPEAT_PART).cast("bigint"), F.abs("_count") - F.col("_part") * REPEAT_PART)
+    times = F.array_repeat(F.when(F.col("_count") > 0, "old").otherwise("new"), left.cast("int"))
     return more.select(*cols, F.explode(times).alias("side"))
 
 
+DIGEST_RANGES = 4096
+
+
+def _range_of(keys: Sequence[str], ranges: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(ranges)).cast("int").alias("_range")
+
+
+def digests(df: DataFrame, keys: Sequence[str], cols: Sequence[str] | None = None, ranges: int = DIGEST_RANGES) -> DataFrame:
+    """(_range, rows, a, b): number of rows and two sums of 64-bit row hashes per range of the keys' hash.
+
+    Sums don't depend on the order of rows, so every task sums what it reads and only ``ranges`` rows leave it. Repeated
+    rows count as often as they stand there. Keep the digests of an output to compare later ones without reading it.
+    """
+    names = [*keys, *(cols if cols is not None else [c for c in df.columns if c not in keys])]
+    wide = lambda seed: F.xxhash64(F.lit(seed), *names).cast("decimal(20,0)")
+    return df.groupBy(_range_of(keys, ranges)).agg(F.count(F.lit(1)).alias("rows"), F.sum(wide(1)).alias("a"), F.sum(wide(2)).alias("b"))
+
+
+def differing_ranges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The ranges whose digests differ, from two results of ``digests``."""
+    sides = old.select("*", F.lit(1).alias("_s")).unionByName(new.select("*", F.lit(-1).alias("_s")))
+    pick = lambda c: F.sum(F.col(c) * F.col("_s"))
+    return sides.groupBy("_range").agg(*[pick(c).alias(c) for c in ("rows", "a", "b")]).where("rows <> 0 OR a <> 0 OR b <> 0").select("_range")
+
+
+def diff_by_digest(
+    old: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str],
+    ranges: int = DIGEST_RANGES,
+    old_digests: DataFrame | None = None,
+) -> DataFrame:
+    """(columns, old_rows, new_rows): rows whose number differs between two outputs, with their numbers.
+
+    Both sides are reduced to digests first; rows are only compared in the ranges of keys whose digests differ. Equal
+    outputs cost one pass and no shuffle of rows, and one changed key costs the rows of its range. Rows are told apart by two 64-bit hash sums
+    per range. Ranges may differ in size, as one key's rows stand in one range.
+    """
+    differ = differing_ranges(digests(old, keys, ranges=ranges) if old_digests is None else old_digests, digests(new, keys, ranges=ranges))
+
+    def side(df: DataFrame, o: int) -> DataFrame:
+        rows = df.withColumn("_range", _range_of(keys, ranges)).join(differ, "_range", "left_semi").drop("_range")
+        return rows.select(*old.columns, F.lit(o).alias("old_rows"), F.lit(1 - o).alias("new_rows"))
+
+    both = side(old, 1).unionByName(side(new, 0)).groupBy(*old.columns)
+    return both.agg(F.sum("old_rows").alias("old_rows"), F.sum("new_rows").alias("new_rows")).where("old_rows <> new_rows")
+
+
 def merge_insert_only(
     current: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
