@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.vectors import cosine, hash_vector
 from ..operators import conversations as C
 from ..operators import retrieval as R
+from ..session import spread
 from . import bind
 from .frames import LOGS, log_lines, table
 
@@ -186,7 +187,8 @@ def k8(spark, sf):
 def k9(spark, sf):
     from ..functions.vectors import l2_norm
 
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", hash_vector("text", 384).alias("v"))
+    texts = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    rows = texts.select("conv_id", "turn", hash_vector("text", 384).alias("v"))
     shown = F.array_join(F.transform("v", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",")
     return rows.select("conv_id", "turn", F.size("v").alias("dims"), shown.alias("vector"), l2_norm("v").alias("norm"))
 

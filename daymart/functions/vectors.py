@@ -42,13 +42,7 @@ def l2_normalise(a: Column | str) -> Column:
 def hash_vector(text: Column | str, dim: int = 384) -> Column:
     """Deterministic unit vector: 32 values per SHA-256 of ``text:i``, i = 0, 32, 64 ..."""
     blocks = F.sequence(F.lit(0), F.lit((dim - 1) // 32 * 32), F.lit(32))
-    hexed = F.transform(
-        blocks, lambda i: F.sha2(F.concat(as_col(text), F.lit(":"), i.cast("string")), 256)
-    )
-    offsets = F.sequence(F.lit(1), F.lit(63), F.lit(2))
-
-    def unpack(h: Column) -> Column:
-        byte = lambda j: F.conv(F.substring(h, j, F.lit(2)), 16, 10).cast("double")
-        return F.transform(offsets, lambda j: (byte(j) - 128.0) / 128.0)
-
-    return l2_normalise(F.slice(F.flatten(F.transform(hexed, unpack)), 1, dim))
+    # as Latin-1 text every byte is a character, so all blocks are split in one pass
+    digest = lambda i: F.decode(F.unhex(F.sha2(F.concat(as_col(text), F.lit(":"), i.cast("string")), 256)), "ISO-8859-1")
+    signs = F.split(F.array_join(F.transform(blocks, digest), ""), "")
+    return l2_normalise(F.transform(F.slice(signs, 1, dim), lambda c: (F.ascii(c).cast("double") - 128.0) / 128.0))

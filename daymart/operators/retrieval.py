@@ -121,8 +121,11 @@ def _best_items(kws: DataFrame, points: DataFrame, key: str, item: str, n: int)
     """Top n items per query by the sum of the points of its keywords, and the largest bonus once.
 
     ``points`` is (keyword, item, points, bonus), one row per keyword and item. Scores are made for candidates only.
+    Keyword sets and points are written first, as several steps read them.
     """
-    members, asked = _keyword_sets(kws, key)
+    area = StageArea(kws.sparkSession, "ranking")
+    members, asked = (area.save(df) for df in _keyword_sets(kws, key))
+    points = area.save(points)
     found = _candidates(asked, points, item, n).join(asked, "_class").join(points, ["keyword", item])
     scores = found.groupBy("_class", item).agg(_score().alias("score"))
     best = rank_top(scores, ["_class"], [F.desc("score"), F.asc(item)], n)

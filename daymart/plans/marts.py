@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.days import iso_week, monday_of, shift_day, week_start
+from ..functions.days import day_to_date, iso_week, monday_of, shift_day, week_start
 from ..functions.exprs import safe_div
 from ..operators.aggs import daily_avg, sum0
 from ..operators.joins import join_dim
-from ..operators.windows import rolling_mean
 
 
 def commerce_daily(orders: DataFrame, paid: Column | str) -> DataFrame:
@@ -76,28 +75,32 @@ def weekly_retention(sessions: DataFrame, bizdate: str, days: int = 90, ts: str
 def inventory_turnover(snapshots: DataFrame, moves: DataFrame, skus: DataFrame) -> DataFrame:
     """Stock per (day, warehouse, SKU) with 7-day turnover and flags.
 
-    Movements are reduced to daily outbound before they meet the snapshots, and the window runs over calendar days.
-    Every snapshot day takes part in it, with nothing going out where no movement says otherwise, so turnover is NULL
-    only where the 7 days hold no outbound.
+    Snapshots (one row per day, warehouse and SKU) and movements are reduced to daily numbers in one aggregation, and
+    the window runs over calendar days. Days without outbound count as 0, so turnover is NULL only where the 7 days hold
+    none; days without a snapshot count in the window and have no row.
     """
     keys = ["warehouse_id", "sku_id"]
-    outbound = moves.where(F.lower("movement_type") == "outbound").select(
-        *keys, "inc_day", F.abs("quantity").alias("daily_outbound")
+    stock = snapshots.select(*keys, "inc_day", "stock_quantity", "locked_quantity", F.lit(1).alias("_held"))
+    gone = moves.where(F.lower("movement_type") == "outbound").select(*keys, "inc_day", F.abs("quantity").alias("_out"))
+    daily = (
+        stock.unionByName(gone, allowMissingColumns=True)
+        .groupBy(*keys, "inc_day")
+        .agg(*[F.sum(c).alias(c) for c in ("stock_quantity", "locked_quantity", "_held")], sum0("_out").alias("daily_outbound"))
     )
-    quiet = snapshots.select(*keys, "inc_day", F.lit(0).cast(outbound.schema["daily_outbound"].dataType).alias("daily_outbound"))
-    outbound = outbound.unionByName(quiet)
-    rolled = rolling_mean(outbound, keys, "inc_day", "daily_outbound", 7, "mean_outbound")
+    week = Window.partitionBy(*keys).orderBy("_dn").rangeBetween(-6, 0)
+    rolled = daily.withColumn("_dn", F.unix_date(day_to_date("inc_day"))).withColumn("_week", F.sum("daily_outbound").over(week))
     available = F.col("stock_quantity") - F.col("locked_quantity")
+    mean = F.when(F.col("_week") != 0, safe_div("_week", F.lit(7)))
     return (
-        snapshots.join(rolled, [*keys, "inc_day"], "left")
+        rolled.where("_held > 0")
         .join(skus.select("sku_id", "safety_stock", "reorder_point"), "sku_id", "left")
         .select(
             "inc_day",
             *keys,
             "stock_quantity",
             available.alias("available_quantity"),
-            F.coalesce("daily_outbound", F.lit(0)).alias("daily_outbound"),
-            safe_div("stock_quantity", "mean_outbound", 6).alias("turnover_days"),
+            "daily_outbound",
+            safe_div("stock_quantity", mean, 6).alias("turnover_days"),
             F.when(available < F.col("safety_stock"), 1).otherwise(0).alias("stockout_flag"),
             F.when(available < F.col("reorder_point"), 1).otherwise(0).alias("reorder_flag"),
         )
