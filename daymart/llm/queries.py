@@ -92,20 +92,24 @@ kept AS (
 o AS (SELECT m.*, CASE WHEN kept.rid IS NULL THEN text ELSE coalesce(own, '') END AS own FROM m LEFT JOIN kept USING (rid)),
 passages AS (
   SELECT DISTINCT c, t, trim(regexp_replace(lower(p), '\s+', ' ', 'g'), ' ') AS norm FROM (
-    SELECT c, t, unnest(list_concat([own], string_split_regex(own, '\n[ \t]*\n'), string_split(own, chr(10)))) AS p FROM o)),
+    SELECT c, t, unnest(list_concat([own], string_split_regex(own, '\n[ \t]*\n'), string_split(own, chr(10)),
+      string_split_regex(cut, '\n[ \t]*\n|\x01'), string_split_regex(cut, '\n|\x01'))) AS p
+    FROM (SELECT *, regexp_replace(regexp_replace(own, '([.!?…])\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g') AS cut FROM o))),
 runs AS (
   SELECT rid, c, t, level, min(pos) AS line, string_agg(trim(substr(line, len(marks) + 1), ' '), chr(10) ORDER BY pos) AS text
   FROM (SELECT *, pos - row_number() OVER (PARTITION BY rid, level ORDER BY pos) AS run FROM l WHERE level > 0) GROUP BY rid, c, t, level, run),
 keys AS (
-  SELECT rid, c, t, level, line, rank, trim(regexp_replace(lower(p), '\s+', ' ', 'g'), ' ') AS norm FROM (
-    SELECT *, unnest(list_concat([text], string_split_regex(text, '\n\n+'))) AS p,
-      generate_subscripts(list_concat([text], string_split_regex(text, '\n\n+')), 1) AS rank FROM runs)),
+  SELECT rid, c, t, level, line, rank, rank > n AS part, trim(regexp_replace(lower(p), '\s+', ' ', 'g'), ' ') AS norm FROM (
+    SELECT *, unnest(ps) AS p, generate_subscripts(ps, 1) AS rank FROM (
+      SELECT *, 1 + len(string_split_regex(text, '\n\n+')) AS n, list_concat([text], string_split_regex(text, '\n\n+'), string_split(text, chr(10)),
+        string_split_regex(cut, '\n[ \t]*\n|\x01'), string_split_regex(cut, '\n|\x01')) AS ps
+      FROM (SELECT *, regexp_replace(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g') AS cut FROM runs)))),
 found AS (
   SELECT k.*, (SELECT max(p.t) FROM passages p WHERE p.c = k.c AND p.norm = k.norm AND p.t < k.t) AS near, f.far
   FROM keys k LEFT JOIN (SELECT norm, min({'c': c, 't': t}) AS far FROM passages GROUP BY norm) f ON f.norm = k.norm AND f.far.c <> k.c WHERE k.norm <> ''),
 links AS (
   SELECT rid, c, t, level, line, near, CASE WHEN near IS NULL THEN far END AS far FROM found
-  QUALIFY row_number() OVER (PARTITION BY rid, level, line ORDER BY near IS NULL, far IS NULL AND near IS NULL, rank) = 1),
+  QUALIFY row_number() OVER (PARTITION BY rid, level, line ORDER BY far IS NULL AND near IS NULL, part, near IS NULL, rank) = 1),
 answers AS (
   SELECT rid, count(*) AS n_quotes, max(level) AS levels, -(min({'level': level, 'up': -near}) FILTER (near IS NOT NULL)).up AS reply,
     (min({'level': level, 'line': line, 'far': far}) FILTER (far IS NOT NULL)).far AS far FROM links GROUP BY rid),

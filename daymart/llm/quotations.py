@@ -72,20 +72,37 @@ def quoted(messages: DataFrame) -> DataFrame:
     return runs.select("c", "t", "h", "level", F.element_at("x", 1)["at"].alias("line"), keys.alias("keys")).filter(F.size("keys") > 0)
 
 
-def link(messages: DataFrame, originals: DataFrame) -> DataFrame:
+def _key(norm: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a normalised passage."""
+    return F.xxhash64(norm).alias("k1"), F.xxhash64(F.lit(1), norm).alias("k2")
+
+
+def passages_asked_for(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """(c, t, k1, k2) of the messages' passages that some quotation asks for.
+
+    Only hashes leave the text, and those that nobody asks for are dropped by a semi join before anything is shuffled;
+    without quotations the messages are not even cut into passages.
+    """
+    wanted = asked.select("k1", "k2").distinct()
+    hashes = F.transform(_passages(F.col("own")), lambda p: F.struct(*_key(p)))
+    return messages.select("c", "t", F.explode(hashes).alias("k")).select("c", "t", "k.*").join(wanted, ["k1", "k2"], "left_semi").distinct()
+
+
+def link(messages: DataFrame, area: StageArea) -> DataFrame:
     """Every quoted passage with the message it comes from: in its conversation the latest earlier one that has the
     passage, else the first in another conversation. The whole passage is tried before its paragraphs, and single lines
-    and sentences only where neither is found anywhere."""
+    and sentences only where neither is found anywhere. Passages are told apart by 128 bits of their hashes."""
     asked = quoted(messages).select("c", "t", "h", "level", "line", F.posexplode("keys").alias("rank", "x"))
-    asked = asked.select("c", "t", "h", "level", "line", "rank", "x.part", "x.norm").withColumn("key", F.xxhash64("norm"))
+    asked = area.save(asked.select("c", "t", "h", "level", "line", "rank", "x.part", *_key(F.col("x.norm"))), "asked")
+    originals = area.save(passages_asked_for(messages, asked), "originals")
     # one window per passage and conversation; equal texts of equal turns were merged before
-    steps = asked.select("c", "key", "norm", "t", F.lit(None).cast("long").alias("source")).unionByName(
-        originals.select("c", "key", "norm", "t", F.col("t").alias("source"))
+    steps = asked.select("c", "k1", "k2", "t", F.lit(None).cast("long").alias("source")).unionByName(
+        originals.select("c", "k1", "k2", "t", F.col("t").alias("source"))
     )
-    earlier = Window.partitionBy("c", "key", "norm").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    near = steps.distinct().withColumn("near", F.max("source").over(earlier)).filter("source IS NULL AND near IS NOT NULL").select("c", "key", "norm", "t", "near")
-    first = originals.groupBy("key", "norm").agg(F.min(F.struct("c", "t")).alias("far"))
-    found = asked.join(near, ["c", "key", "norm", "t"], "left").join(first, ["key", "norm"], "left")
+    earlier = Window.partitionBy("c", "k1", "k2").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    near = steps.distinct().withColumn("near", F.max("source").over(earlier)).filter("source IS NULL AND near IS NOT NULL").select("c", "k1", "k2", "t", "near")
+    first = originals.groupBy("k1", "k2").agg(F.min(F.struct("c", "t")).alias("far"))
+    found = asked.join(near, ["c", "k1", "k2", "t"], "left").join(first, ["k1", "k2"], "left")
     far = F.when(F.col("near").isNull() & (F.col("far.c") != F.col("c")), F.col("far"))
     found = found.withColumn("far", far).withColumn("rank", F.when(F.coalesce(F.col("near"), F.col("far.t")).isNotNull(), F.col("rank")))
     best = F.min_by(F.struct("near", "far"), F.struct(F.col("rank").isNull(), "part", F.col("near").isNull(), "rank"))
@@ -143,8 +160,7 @@ def format_chats(
     )
     has_quote = F.col("text").rlike(r"(?m)^[ \t]*>")
     rows = area.save(rows.withColumn("own", F.when(has_quote, _own(_lines(F.col("text")))).otherwise(F.col("text"))), "messages")
-    originals = rows.select("c", "t", F.explode(_passages(F.col("own"))).alias("norm")).distinct().withColumn("key", F.xxhash64("norm"))
-    links = area.save(link(rows, originals), "links")
+    links = area.save(link(rows, area), "links")
 
     of = links.groupBy("c", "t", "h").agg(
         F.count("*").alias("n_quotes"),

@@ -139,23 +139,26 @@ def test_nothing(spark):
     assert format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+PARTS = [
+    (1, 0, "user", "first line here\nsecond line here\nthird line here\n\nother paragraph"),
+    (1, 1, "user", "One thing is this. Another thing is that! Is it all?"),
+    (1, 2, "user", "Title\nThe sentence runs over\nthe line. Next one.\n\n一句话。第二句话。"),
+    (1, 3, "user", "unrelated"),
+    (1, 4, "assistant", "> first line here\n> second line here\na"),
+    (1, 5, "assistant", "> Another thing is that!\nb"),
+    (1, 6, "assistant", "> One thing is this. Another thing\n> is that!\nc"),
+    (1, 7, "assistant", "> Next\n> one.\nd"),
+    (1, 8, "assistant", "> 第二句话。\ne"),
+    (1, 9, "assistant", "> nobody said this. Nor that.\nf"),
+    (2, 0, "user", "Whole passage. Short."),
+    (3, 0, "user", "Short."),
+    (3, 1, "user", "> Whole passage. Short.\ng"),
+]
+
+
 def test_parts_of_passages(spark):
     """Quotations of some lines of a paragraph and of some sentences of a line or of wrapped lines."""
-    data = [
-        (1, 0, "user", "first line here\nsecond line here\nthird line here\n\nother paragraph"),
-        (1, 1, "user", "One thing is this. Another thing is that! Is it all?"),
-        (1, 2, "user", "Title\nThe sentence runs over\nthe line. Next one.\n\n一句话。第二句话。"),
-        (1, 3, "user", "unrelated"),
-        (1, 4, "assistant", "> first line here\n> second line here\na"),
-        (1, 5, "assistant", "> Another thing is that!\nb"),
-        (1, 6, "assistant", "> One thing is this. Another thing\n> is that!\nc"),
-        (1, 7, "assistant", "> Next\n> one.\nd"),
-        (1, 8, "assistant", "> 第二句话。\ne"),
-        (1, 9, "assistant", "> nobody said this. Nor that.\nf"),
-        (2, 0, "user", "Whole passage. Short."),
-        (3, 0, "user", "Short."),
-        (3, 1, "user", "> Whole passage. Short.\ng"),
-    ]
+    data = PARTS
     rows = format_chats(spark.createDataFrame([(*r, "x", 1, "y", 2) for r in data], SCHEMA)).collect()
     got = {(r.conv_id, r.turn): (r.reply_turn, r.root_turn) for r in rows}
     assert [got[1, t][0] for t in range(4, 10)] == [0, 1, 1, 2, 2, None]
@@ -163,3 +166,28 @@ def test_parts_of_passages(spark):
     assert [r.turn for r in sorted((r for r in rows if r.conv_id == 1), key=lambda r: r.position)] == [0, 4, 1, 5, 6, 2, 7, 8, 3, 9]
     # a whole passage elsewhere comes before a sentence of it in the conversation
     assert [(r.reply_turn, r.quoted_conv, r.quoted_turn) for r in rows if (r.conv_id, r.turn) == (3, 1)] == [(None, "2", 0)]
+
+
+def test_sql_knows_parts_of_passages(spark):
+    """Query and statement say the same of lines and sentences too."""
+    import duckdb
+
+    from daymart.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn INTEGER, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(d) for d in PARTS])
+    cur = con.execute(SQL["op3_chat_formatting"])
+    names = [d[0] for d in cur.description]
+    rows = format_chats(spark.createDataFrame([(*r, "x", 1, "y", 2) for r in PARTS], SCHEMA)).collect()
+    assert Counter(tuple(r[n] for n in names) for r in rows) == Counter(cur.fetchall())
+
+
+def test_without_quotations_no_passage_is_cut(spark):
+    from pyspark.sql import functions as F
+
+    from daymart.llm import quotations
+
+    rows = spark.createDataFrame([("1", i, 5, f"text {i}. more") for i in range(50)], "c string, t long, h long, text string").withColumn("own", F.col("text"))
+    asked = spark.createDataFrame([], "k1 long, k2 long")
+    assert quotations.passages_asked_for(rows, asked).collect() == []
