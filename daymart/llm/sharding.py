@@ -28,7 +28,8 @@ class HashTree:
 
     @staticmethod
     def regular(shards: int, racks_per_region: int = 2, shards_per_rack: int = 2, weights: dict[int, float] | None = None) -> HashTree:
-        """Fill racks with shards and regions with racks, in order. A new region takes documents only into itself."""
+        """Fill racks with shards and regions with racks, in order. Trees of different counts are different trees: to add
+        shards to one that is in use, let it grow."""
         if shards < 1:
             raise ValueError("at least one shard is needed")
         children: dict[str, dict[str, float]] = {}
@@ -41,6 +42,14 @@ class HashTree:
                 kids[down] = kids.get(down, 0.0) + w
         return HashTree(tuple((up, tuple(kids.items())) for up, kids in children.items()))
 
+    def grown(self, weight: float = 1.0) -> HashTree:
+        """This tree with one more shard. It gets a rack and a region of its own, so the weight of no other node changes
+        and documents move into the new shard only, whatever the count was."""
+        names = {kid for _, kids in self.nodes for kid, _ in kids}
+        new = {kind: f"{kind}-{max(int(n.rsplit('-', 1)[1]) for n in names if n.startswith(kind)) + 1}" for kind in ("region", "rack", "shard")}
+        nodes = tuple((up, (*kids, (new["region"], weight)) if up == "root" else kids) for up, kids in self.nodes)
+        return HashTree((*nodes, (new["region"], ((new["rack"], weight),)), (new["rack"], ((new["shard"], weight),))), self.depth)
+
     def place(self, key: Column) -> Column:
         """The shard number of a key: at each node the child with the least exponential draw divided by weight wins."""
         tree = F.create_map(
@@ -69,7 +78,7 @@ def _placed(docs: DataFrame, tree: HashTree, grown: HashTree, id_col: str, text_
         "*",
         tree.place(F.col("doc_id")).alias("shard"),
         grown.place(F.col("doc_id")).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int").alias("piece"),
+        F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(PIECES)).cast("int").alias("piece"),
     )
 
 
@@ -90,11 +99,12 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """Shard, slot and size of every document.
 
     ``doc_id`` and the tree decide the shard (law ``key``), so equal ids, null ids among them, share a shard.
-    ``grown_shard`` is the shard in a tree with one more shard. Slots count the rows of a shard from 0 without gaps,
-    in the order of hash piece and id; repeated rows take slots of their own. Null text has size 1, as empty text.
+    ``grown_shard`` is the shard in the tree grown by one shard, which takes rows only into the new one. Slots count the rows of a shard from 0 without gaps,
+    in the order of hash piece (of id and text, so rows of one id are spread) and id; repeated rows take slots of their own. Null text has size 1, as empty text.
     An empty table gives an empty result. Other columns are ignored.
     """
-    placed = _placed(docs, tree or HashTree.regular(shards), grown or HashTree.regular(shards + 1), id_col, text_col, {})
+    tree = tree or HashTree.regular(shards)
+    placed = _placed(docs, tree, grown or tree.grown(), id_col, text_col, {})
     rows = StageArea(docs.sparkSession, "sharding").save(placed, "placed")
     return _slots(rows, rows).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
