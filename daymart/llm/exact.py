@@ -12,8 +12,10 @@ from .common import body, column
 
 #: keys that a bucket holds before it splits, at least
 BUCKET_KEYS = 2048
-#: bits of the directory: at most 4096 entries
+#: bits of the directory of a small index; it deepens with the distinct keys, so a bucket never grows with the data
 DEPTH = 12
+#: bits up to which the directory (a row per cell, under 1 MB) is broadcast; a deeper one is joined
+BROADCAST_DEPTH = 16
 #: a key with more than 1 / HOT_SHARE of all rows is hot; there can't be HOT_SHARE of them
 HOT_SHARE = 1000
 SALTS = 32
@@ -25,21 +27,27 @@ def directory(keys: DataFrame, capacity: int, depth: int = DEPTH) -> DataFrame:
     The directory starts as one bucket and doubles: wherever a bucket holds more than ``capacity`` keys, one more
     leading bit tells its two halves apart. All doublings are evaluated at once from the cell counts; a cell's bucket
     is its shortest prefix that is not overfull, or the whole cell. ``bucket`` is 1 followed by the prefix's bits.
+    Prefixes are counted by sums, so no task sees all cells, and each cell meets only the few prefixes of its bucket.
     """
     cells = keys.groupBy(F.shiftrightunsigned("h", 64 - depth).alias("cell")).agg(F.count("*").alias("n"))
     prefixes = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("bits")).withColumn(
         "prefix", F.expr(f"shiftright(cell, {depth} - bits)")
     )
-    held = F.sum("n").over(Window.partitionBy("bits", "prefix"))
-    fits = F.when((held <= capacity) | (F.col("bits") == depth), F.col("bits"))
-    return (
-        prefixes.withColumn("fits", fits)
-        .groupBy("cell")
-        .agg(F.min("fits").alias("local_depth"))
-        .withColumn("bucket", F.expr(f"shiftleft(1L, local_depth) + shiftright(cell, {depth} - local_depth)"))
+    held = prefixes.groupBy("bits", "prefix").agg(F.sum("n").alias("n"))
+    fits = held.filter((F.col("n") <= capacity) | (F.col("bits") == depth)).select("bits", "prefix")
+    # of nested prefixes that fit the shortest one is the bucket
+    above = fits.select((F.col("bits") + 1).alias("bits"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+    buckets = fits.join(above, ["bits", "prefix"], "left_anti")
+    return prefixes.join(buckets, ["bits", "prefix"]).select(
+        "cell", F.col("bits").alias("local_depth"), (F.expr("shiftleft(1L, bits)") + F.col("prefix")).alias("bucket")
     )
 
 
+def depth_for(distinct: int, bucket_keys: int) -> int:
+    """Bits that tell a bucket's worth of keys apart four times over, DEPTH at least."""
+    return min(48, max(DEPTH, (max(1, distinct) // max(1, bucket_keys)).bit_length() + 2))
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -64,9 +72,10 @@ def exact_dedup(
     hot = [r.h for r in keys.filter(F.col("n") > max(1, seen["total"] // HOT_SHARE)).collect()]  # fewer than HOT_SHARE
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
 
-    cells = area.save(directory(keys, max(bucket_keys, seen["distinct"] // (1 << DEPTH - 2))), "directory")
-    cell = F.shiftrightunsigned("h", 64 - DEPTH).alias("cell")
-    placed = rows.select("*", cell).join(F.broadcast(cells.select("cell", "bucket")), "cell")  # at most 2 ** DEPTH rows
+    depth = depth_for(seen["distinct"], bucket_keys)
+    cells = area.save(directory(keys, bucket_keys, depth), "directory").select("cell", "bucket")
+    cell = F.shiftrightunsigned("h", 64 - depth).alias("cell")
+    placed = rows.select("*", cell).join(F.broadcast(cells) if depth <= BROADCAST_DEPTH else cells, "cell")
 
     def entries(part: DataFrame) -> DataFrame:
         return part.groupBy("bucket", "h", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))

@@ -292,3 +292,32 @@ def test_query_equals_sql(spark, folder, name):
     order = sorted(names)
     assert sorted(df.columns) == order
     assert cells(got, df.columns, order) == cells(cur.fetchall(), names, order)
+
+
+@pytest.mark.parametrize("shards", [1, 5, 6, 7, 8, 11])
+def test_growth_moves_rows_into_the_new_shard_only(spark, shards):
+    tree = sharding.HashTree.regular(shards)
+    twice = tree.grown().grown()
+    ids = spark.range(4000)
+    places = ids.select(tree.place(F.col("id")).alias("a"), tree.grown().place(F.col("id")).alias("b"), twice.place(F.col("id")).alias("c")).collect()
+    assert all(r.b in (r.a, shards) and r.c in (r.b, shards + 1) for r in places)
+    moved = sum(r.b != r.a for r in places) / len(places)
+    assert abs(moved - 1 / (shards + 1)) < 0.03
+
+
+def test_directory_deepens_with_the_keys(spark):
+    """No bucket holds more keys than asked for, however many there are, and no task counts all cells."""
+    assert exact.depth_for(0, 2048) == exact.depth_for(10**6, 2048) == 12
+    assert exact.depth_for(10**10, 2048) == 25
+    keys = spark.range(20000).select(F.xxhash64("id").alias("h"))
+    cells = exact.directory(keys, 16, exact.depth_for(20000, 16))
+    held = keys.select(F.shiftrightunsigned("h", 64 - exact.depth_for(20000, 16)).alias("cell")).join(cells, "cell").groupBy("bucket").count()
+    top = held.agg(F.max("count"), F.sum("count")).first()
+    assert top[0] <= 16 and top[1] == 20000
+    assert "Window" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deep_directories_are_joined(docs, monkeypatch):
+    want = bag(exact.exact_dedup(docs).drop("bucket"))
+    monkeypatch.setattr(exact, "BROADCAST_DEPTH", 0)
+    assert bag(exact.exact_dedup(docs, bucket_keys=1).drop("bucket")) == want
