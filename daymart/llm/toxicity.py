@@ -281,11 +281,20 @@ def _apart(chosen: DataFrame) -> DataFrame:
 
         return work
 
-    rows = annotate(chosen, start, "grams binary", "body", ("at", "name", "digest", "label")).collect()  # at most 2 * examples
-    rows = sorted({(r.label, r.at, r.name, r.digest): r.grams for r in rows}.items())
-    keep = apart([np.frombuffer(g, np.uint64) for _, g in rows], [k[0] for k, _ in rows])
-    keep = [(rows[i][0][0], *rows[i][0][2:]) for i in keep]
-    kept = chosen.sparkSession.createDataFrame(keep, "label int, name string, digest string")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sets = [], []
+        for batch in batches:
+            for key, grams in zip(zip(*[batch.column(k).to_pylist() for k in range(4)]), batch.column(4)):
+                if not keys or keys[-1] != key:  # rows that repeat id and text stand side by side
+                    keys.append(key)
+                    sets.append(np.frombuffer(grams.as_buffer().to_pybytes(), np.uint64))
+        kept = [keys[i] for i in apart(sets, [k[0] for k in keys])]
+        columns = [pa.array([k[i] for k in kept], t) for i, t in ((0, pa.int32()), (2, pa.string()), (3, pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "name", "digest"])
+
+    key = ("label", "at", "name", "digest")
+    rows = annotate(chosen, start, "grams binary", "body", key).repartition(1).sortWithinPartitions(*key)  # at most 2 * examples
+    kept = rows.mapInArrow(tidy(pick), "label int, name string, digest string")
     return chosen.join(F.broadcast(kept), ["label", "name", "digest"]).dropDuplicates(["label", "name", "digest"])
 
 
