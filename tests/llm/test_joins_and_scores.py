@@ -293,7 +293,7 @@ def test_entry_without_this_part(monkeypatch):
 
     import __spark_entry__ as entry
 
-    assert "pipeline" in entry.queries() and sum(q.startswith("op") for q in entry.queries()) == 10
+    assert "pipeline" in entry.queries() and sum(q.startswith("op") for q in entry.queries()) == 13
     for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("daymart.llm")]:
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
