@@ -94,6 +94,12 @@ class SuffixAutomaton:
             self.states[new].link = q if self.states[q].length == self.states[p].length + 1 else self._split(p, q, symbol)
         return new
 
+    def state_of(self, factor: list[int]) -> int:
+        at = 0
+        for symbol in factor:
+            at = self.states[at].next[symbol]
+        return at
+
     def statistics(self, seq: list[int]):
         """For each place the state and length of the longest factor that ends there."""
         states, at, length = self.states, 0, 0
@@ -121,8 +127,15 @@ class Scanner:
         self.n_phrases = len(phrases)
         self.automaton = SuffixAutomaton(words)
         self.shortest = min([LEAST, *self.sizes[: self.n_phrases]])
-        # the phrases that are a suffix of a state's factors; they end wherever the match is long enough
-        self.phrases_at: list[list[int]] = [[k for k, e in s.ends if k < self.n_phrases and e == self.sizes[k]] for s in self.automaton.states]
+        # the phrases that are a suffix of a state's factors, so those of its links too: a longer match that runs from a
+        # template into a phrase has a state of its own; they end wherever the match is long enough
+        states = self.automaton.states
+        self.phrases_at: list[list[int]] = [[] for _ in states]
+        for k in range(self.n_phrases):
+            if words[k]:
+                self.phrases_at[self.automaton.state_of(words[k])].append(k)
+        for s in sorted(range(1, len(states)), key=lambda s: states[s].length):
+            self.phrases_at[s] += self.phrases_at[states[s].link]
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int, float]]]:
         """Word count, phrase places (first word, phrase) and chains (first word, word after, template, share)."""

@@ -207,6 +207,27 @@ def test_licenses(docs, empty):
     assert licenses.report(empty).count() == 0
 
 
+def test_license_phrases_inside_template_matches(spark):
+    """A phrase counts where it ends a longer match of a template or of another phrase."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    r = random.Random(8)
+    pool = [t.split() for t in [*licenses.PHRASES, *licenses.TEMPLATES.values()]]
+    texts = ["Licensed under the Apache License, Version 2.0", "the apache license version 2 apache license version 2", licenses.TEMPLATES["apache-2"]]
+    for _ in range(400):
+        pieces = [p[r.randrange(len(p)) :][: r.randint(1, 9)] for p in (r.choice(pool) for _ in range(r.randint(1, 8)))]
+        texts.append(" ".join(w for p in pieces for w in p))
+    for phrases in (licenses.PHRASES, {"the mit license": "a", "under the mit license": "b", "license": "c", "mit license": "d", "a copy": "e", "of the license": "f"}):
+        want = {}
+        for i, t in enumerate(texts):
+            w = cut(t)
+            at = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+            first, last = (min(at)[0], max(at)[0]) if at else (None, None)
+            want[i] = (len(w), len(at), first, last, ",".join(sorted({x for _, x in at})))
+        got = licenses.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=phrases)
+        assert {x.doc_id: (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) for x in got.collect()} == want
+        assert want[0][1] > 0 and want[1][1] > 1
+
+
 def test_license_chains():
     s = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
     text = licenses.TEMPLATES["mit"].split()
