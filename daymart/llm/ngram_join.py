@@ -123,7 +123,8 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             part = np.frombuffer(zlib.decompress(data), "<u4").astype(np.uint64)
             total[k] = total[k] + part if k in total else part
-    data = [x.astype("<u8").tobytes() for x in total.values()]
+    # an order key of one byte a cell is all that the driver gets
+    data = [np.minimum(255, np.round(8 * np.log2(x + 1.0))).astype(np.uint8).tobytes() for x in total.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(data, pa.binary())], names=["slice", "cells"])
 
 
@@ -191,8 +192,8 @@ class NgramJoin:
         self.members = scanned.filter("slice IS NULL").select("doc_id", "mark", "n", "digest", *_MAP)
         cells = scanned.filter("slice IS NOT NULL").select("slice", "cells").repartition("slice").mapInArrow(tidy(_add_slices), "slice int, cells binary")
         order = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
-        for r in cells.toLocalIterator():  # 2 ** SKETCH_BITS counts, whatever the input
-            order[r.slice] = np.minimum(255, np.round(8 * np.log2(np.frombuffer(r.cells, "<u8") + 1.0)))
+        for r in cells.toLocalIterator():  # 2 ** SKETCH_BITS bytes, whatever the input
+            order[r.slice] = np.frombuffer(r.cells, np.uint8)
         self.order = self.spark.sparkContext.broadcast(order.ravel())
         self.classes = self.area.save(
             self.members.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in _MAP]), "classes"
@@ -214,9 +215,11 @@ class NgramJoin:
         apart = reduce(add, [F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in _MAP])
         return apart * (100 + self.percent) <= (100 - self.percent) * (n + m)
 
-    def _verify(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs (a, b) of digests that are links, by exact overlaps."""
+    def _verify(self, pairs: DataFrame, tag: str) -> tuple[DataFrame, int]:
+        """The pairs (a, b) of digests that are links, by exact overlaps, and their number."""
         pairs, seen = self.area.save_observed(pairs, f"pairs-{tag}", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return pairs, 0
         sides = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(self.classes.select("digest", "rep"), "digest")
         sides, listed = self.area.save_observed(sides, f"wanted-{tag}", n=F.count(F.lit(1)))
         ids = sides.select("rep").distinct()
@@ -232,38 +235,56 @@ class NgramJoin:
         sizes = self.classes.select("digest", "n")
         both = overlap.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
         links = both.filter(100 * F.col("shared") >= self.percent * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b")
-        links = self.area.save(links, f"links-{tag}")
+        links, found = self.area.save_observed(links, f"links-{tag}", n=F.count(F.lit(1)))
         for name in ("pairs", "wanted", "fragments"):  # nothing reads them any more
             self.area.drop(f"{name}-{tag}")
-        return links
+        self.area.release()
+        return links, found["n"]
 
-    def _labels(self, links: DataFrame) -> DataFrame:
-        return components(self.spark, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("digest"), "component")
+    def _labels(self, links: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(digest, component) of the linked classes; ``known`` are the labels by the links before these."""
+        edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        edges = edges if known is None else edges.unionByName(known.select(F.col("digest").alias("src"), F.col("component").alias("dst")))
+        return components(self.spark, edges).select(F.col("id").alias("digest"), "component")
 
     def links(self) -> DataFrame:
         """Links (a, b) between classes (digests), enough of them to span every component."""
+        return self._linked()[0]
+
+    def _linked(self) -> tuple[DataFrame, DataFrame]:
+        """Links and the labels (digest, component) by them. A step that has nothing to do, or found nothing, starts no jobs."""
         entries = self.area.save(self._entries(), "entries")
+        self.area.release()
         star = entries.filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
-        star = self._plausible(star)
-        links = self._verify(star.select("a", "b"), "hubs")
-        left = entries.filter("digest <> hub").select("gram", "digest")
+        links, n = self._verify(self._plausible(star).select("a", "b"), "hubs")
+        label = self._labels(links, None) if n else links.select(F.col("a").alias("digest"), F.col("b").alias("component"))
+        left, seen = self._open(entries.filter("digest <> hub"), label, "open-0")
+        self.area.drop("entries")
         for k in range(ROUNDS):  # components only grow, so each round goes on with what the one before left open
-            left = self.area.save(self._open(left, links), f"open-{k}")
+            if (seen["largest"] or 0) <= SMALL:
+                break
             held = left.filter(F.col("size") > SMALL)
             hubs = F.array(*[F.min_by("digest", F.xxhash64("digest", F.lit(HUBS * k + j))).over(Window.partitionBy("gram")) for j in range(HUBS)])
             star = held.select(F.col("digest").alias("b"), F.col("component").alias("of_b"), F.array_distinct(hubs).alias("hubs"))
             star = star.select("b", "of_b", F.explode("hubs").alias("a")).distinct()
             star = self._plausible(star.join(held.select(F.col("digest").alias("a"), F.col("component").alias("of_a")).distinct(), "a").filter("of_a <> of_b").select("a", "b"))
-            links = links.unionByName(self._verify(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"hubs-{k}"))
+            more, n = self._verify(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"hubs-{k}")
+            if n:
+                links, label = links.unionByName(more), self._labels(more, label)
+                left, seen = self._open(left, label, f"open-{k + 1}")
+                self.area.drop(f"open-{k}")
+        if not seen["n"]:
+            return links, label
         # what is still apart is compared member by member
-        held = self.area.save(self._open(left, links).select("gram", "digest", "component").join(self.classes.drop("rep"), "digest"), "open")
+        held = self.area.save(left.select("gram", "digest", "component").join(self.classes.drop("rep"), "digest"), "open")
         rest = held.alias("x").join(
             held.alias("y"),
             (F.col("x.gram") == F.col("y.gram")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.component") != F.col("y.component"))
             & self._sizes_allow(F.col("x.n"), F.col("y.n"))
             & self._maps_allow("x", "y", F.col("x.n"), F.col("y.n")),
         )
-        return links.unionByName(self._verify(rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "rest"))
+        more, n = self._verify(rest.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "rest")
+        return (links.unionByName(more), self._labels(more, label)) if n else (links, label)
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and maps allow a link; maps travel only where the sizes do."""
@@ -272,12 +293,12 @@ class NgramJoin:
         pairs = pairs.join(own.alias("x"), F.col("a") == F.col("x.digest")).join(own.alias("y"), F.col("b") == F.col("y.digest"))
         return pairs.filter(self._maps_allow("x", "y", F.col("n"), F.col("m")))
 
-    def _open(self, entries: DataFrame, links: DataFrame) -> DataFrame:
-        """Entries of the n-grams whose classes are still in several components, with component and number of classes.
+    def _open(self, entries: DataFrame, label: DataFrame, tag: str) -> tuple[DataFrame, dict]:
+        """Entries of the n-grams whose classes are still in several components, with component and number of classes;
+        their number and the largest number of classes.
 
         A class stays only if one next to it by size is near enough in size; else no class of the n-gram is.
         """
-        label = self._labels(links)
         held = entries.select("gram", "digest").join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
         held = held.join(self.classes.select("digest", "n"), "digest")
         same = Window.partitionBy("gram")
@@ -285,10 +306,11 @@ class NgramJoin:
         held = held.withColumns({"low": F.min("component").over(same), "high": F.max("component").over(same), "size": F.count("*").over(same)})
         held = held.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
         near = self._sizes_allow(F.col("n"), F.coalesce("less", F.lit(0))) | self._sizes_allow(F.col("n"), F.coalesce("more", F.lit(0)))
-        return held.filter((F.col("low") != F.col("high")) & near).select("gram", "digest", "component", "size")
+        held = held.filter((F.col("low") != F.col("high")) & near).select("gram", "digest", "component", "size")
+        return self.area.save_observed(held, tag, n=F.count(F.lit(1)), largest=F.max("size"))
 
     def _joined(self) -> DataFrame:
-        label = self._labels(self.links())
+        label = self._linked()[1]
         return self.classes.select("digest", "rep").join(label, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
 
     def keepers(self) -> DataFrame:
