@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import StageArea
-from .common import annotate, chunks, column, give_back, ranges, raw, split_words, tidy
+from .common import Chunk, alnum_words, annotate, chunks, column, give_back, lower, mix64, prefix_hash, ranges, raw, slice_hash, split_words, tidy
 from .ngram_join import shingle_sets
 
 #: labelled rows of each class that the examples are taken from, at most (those with the smallest id hashes)
@@ -25,11 +25,11 @@ COPIES = 0.8
 #: examples per block of the index
 BLOCK = 256
 #: terms that most examples have, whose postings are kept as a dense matrix
-FREQUENT = 256
+FREQUENT = 1024
 #: texts that are scored together
 QUERIES = 64
-#: words that a task remembers the terms of, at most
-KNOWN = 1 << 16
+#: terms with fewer postings than this share of the examples stay out of the matrix
+OFTEN = 0.04
 #: lengths of word beginnings that are terms beside whole words
 STEMS = (4, 5, 6)
 
@@ -45,50 +45,84 @@ def terms_of(text: bytes) -> Counter:
     return out
 
 
-class _Known(dict):
-    """The numbers of a word's terms, remembered for KNOWN words."""
+_STAR = np.uint64(0xA24BAED4963EE407)
 
-    def __init__(self, number: dict[bytes, int]):
-        super().__init__()
-        self.number = number
 
-    def __missing__(self, word: bytes) -> list[int]:
-        if len(self) >= KNOWN:
-            self.clear()
-        number = self.number
-        found = [number.get(t) for t in (word, *[word[:k] + b"*" for k in STEMS if len(word) > k])]
-        out = self[word] = [i for i in found if i is not None]
-        return out
+def _beginnings(prefix: np.ndarray, a: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the words' first k bytes as terms."""
+    return mix64(slice_hash(prefix, a, a + k) ^ _STAR)
 
 
 class Vocabulary:
-    """All terms of the examples with their weights; turns a text into a unit vector."""
-
-    def __init__(self, terms: list[bytes], idf: np.ndarray | None = None):
-        self.terms = terms
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
-        self.known = _Known(self.number)
-
-    def __reduce__(self):
-        return _vocabulary, (b" ".join(self.terms), self.idf)  # terms hold no spaces; far smaller than objects
-
-    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the text's terms, ascending, and how often each is in it."""
-        every = np.fromiter(chain.from_iterable(map(self.known.__getitem__, split_words(text))), np.int64)
-        return np.unique(every, return_counts=True)
-
-    def vector(self, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of the examples with their weights; turns texts into unit vectors. Terms are told apart by 64-bit hashes."""
+
+    def __init__(self, terms: pa.BinaryArray, idf: np.ndarray | None = None):
+        self.terms, self.idf = terms, idf
+        data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)
+        at = np.frombuffer(terms.buffers()[1] or bytes(4), np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+        a, b = at[:-1], at[1:]
+        prefix = prefix_hash(data)
+        whole = data[np.maximum(b - 1, 0)] != ord("*") if len(a) else np.zeros(0, bool)
+        hashes = np.where(whole, slice_hash(prefix, a, b), mix64(slice_hash(prefix, a, np.maximum(a, b - 1)) ^ _STAR))
+        order = np.argsort(hashes)
+        self.keys = np.append(hashes[order], ~np.uint64(0))  # the last one ends every look-up
+        self.numbers = np.append(order, -1).astype(np.int32)
+        bits = max(1, int(len(terms)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        #: by term: the beginnings of a word among the terms; -1 where it has none
+        self.stems = np.full((len(STEMS), len(terms)), -1, np.int32)
+        for line, k in zip(self.stems, STEMS):
+            long = np.flatnonzero(whole & (b - a > k))
+            line[long] = self.find(_beginnings(prefix, a[long], k))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the terms of these hashes, else -1."""
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        todo = np.flatnonzero(self.keys[at] < hashes)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] < hashes[todo]]
+        return np.where(self.keys[at] == hashes, self.numbers[at], -1)
+
+    def counts(self, part: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the terms of each row, ascending within the row, how often each is in it, and each row's first place (n + 1)."""
+        data = lower(part.data)
+        a, b, first = alnum_words(data, part.starts)
+        prefix, many = prefix_hash(data), max(1, len(self.terms))
+        row = np.repeat(np.arange(len(part)), np.diff(first)) * many
+        number = self.find(slice_hash(prefix, a, b))
+        have = number >= 0
+        known, rows = number[have], row[have]
+        found = [rows + known]
+        a, b, row = a[~have], b[~have], row[~have]
+        for line, k in zip(self.stems, STEMS):
+            stem = line[known]
+            found.append(rows[stem >= 0] + stem[stem >= 0])
+            long = b - a > k
+            stem = self.find(_beginnings(prefix, a[long], k))
+            found.append(row[long][stem >= 0] + stem[stem >= 0])
+        every = np.concatenate(found)
+        every.sort()
+        fresh = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
+        each = every[fresh]
+        return each % many, np.diff(np.append(fresh, len(every))), np.searchsorted(each, np.arange(len(part) + 1) * many)
+
+    def weigh(self, which: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The weights of each row's terms, of unit length by row."""
         weight = (1 + np.log(counts.astype(np.float64))) * self.idf[which]
-        return which, weight / np.sqrt((weight**2).sum()) if len(which) else weight
-
+        size = np.diff(at)
+        row = np.repeat(np.arange(len(size)), size)
+        return weight / np.sqrt(np.bincount(row, weight**2, len(size)))[row]
 
-def _vocabulary(terms: bytes, idf: np.ndarray | None) -> Vocabulary:
-    return Vocabulary(terms.split(), idf)
+    def vectors(self, part: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
+        which, counts, at = self.counts(part)
+        weight = self.weigh(which, counts, at)
+        return [(which[i:j], weight[i:j]) for i, j in zip(at[:-1], at[1:])]
 
 
 class BlockMaxIndex:
-    """Postings by term, those of the FREQUENT terms as a matrix in blocks of examples with each block's largest weight.
+    """Postings by term, those of the up to FREQUENT terms of at least OFTEN of the examples as a matrix in blocks of examples with each block's largest weight.
 
     Weights are positive, so what the other terms give is a lower bound of every score. A block is scored for the
     queries whose bound in it (these scores and the block's largest weights) reaches the k-th lower bound, so the
@@ -103,20 +137,29 @@ class BlockMaxIndex:
         weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
         example = np.repeat(np.arange(self.size, dtype=np.int32), sizes)
         held = np.bincount(term, minlength=terms)
-        often = np.argsort(-held, kind="stable")[:FREQUENT]
+        often = np.argsort(-held, kind="stable")[: min(FREQUENT, int((held >= OFTEN * self.size).sum()))]
         self.row = np.full(terms, -1, np.int32)
         self.row[often] = np.arange(len(often))
-        at = self.row[term]
-        self.dense = np.zeros((len(often), self.blocks * block))
-        self.dense[at[at >= 0], example[at >= 0]] = weight[at >= 0]
-        self.tops = self.dense.reshape(len(often), self.blocks, block).max(axis=2) if self.blocks else np.zeros((len(often), 0))
-        rest = np.flatnonzero(at < 0)
-        rest = rest[np.argsort(term[rest], kind="stable")]
-        self.examples, self.weights = example[rest], weight[rest]
-        self.cuts = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0))))
+        self.often = often
+        order = np.argsort(term, kind="stable")
+        self.examples, self.weights = example[order], weight[order]
+        self.cuts = np.concatenate(([0], np.cumsum(held)))
+        self.dense = self.tops = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "tops": None}  # each task makes its own from the postings
+
+    def _matrix(self) -> None:
+        if self.dense is None:
+            self.dense = np.zeros((len(self.often), self.blocks * self.block))
+            count = self.cuts[self.often + 1] - self.cuts[self.often]
+            at = ranges(self.cuts[self.often], count)
+            self.dense[np.repeat(np.arange(len(self.often)), count), self.examples[at]] = self.weights[at]
+            self.tops = self.dense.reshape(len(self.often), self.blocks, self.block).max(axis=2) if self.blocks else np.zeros((len(self.often), 0))
 
     def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """The k examples of largest positive cosine (ties: smallest number) and their cosines, for every query."""
+        self._matrix()
         width = self.blocks * self.block
         scores = np.zeros((len(queries), width))
         often = np.zeros((len(queries), len(self.dense)))
@@ -195,15 +238,15 @@ class Model:
                 out.append((float((votes * self.labels[near]).sum() / votes.sum()) if len(near) else None, near))
         return out
 
-    def scores(self, texts: list[bytes]) -> list[tuple[float, list[str], list[str]]]:
+    def scores(self, part: Chunk) -> list[tuple[float, list[str], list[str]]]:
         """Calibrated score, the nearest examples and the terms that stand for it."""
         out = []
-        vectors = [self.vocabulary.vector(*self.vocabulary.counts(t)) for t in texts]
+        vectors = self.vocabulary.vectors(part)
         for (which, weight), (share, near) in zip(vectors, self.votes(vectors)):
             if share is None:
                 out.append((self.prior, [], []))
                 continue
-            shown = [self.vocabulary.terms[i].decode(errors="replace") for i in which[np.argsort(-weight, kind="stable")[:5]].tolist()]
+            shown = [self.vocabulary.terms[i].as_py().decode(errors="replace") for i in which[np.argsort(-weight, kind="stable")[:5]].tolist()]
             out.append((float(np.interp(share, *self.knots)), [self.names[e] for e in near.tolist()], shown))
         return out
 
@@ -220,18 +263,18 @@ def _class_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *counts], names=["term", "clean", "toxic"])
 
 
-def _held_by(vocabulary: Vocabulary):
-    """Document counts of the terms and, under an empty term, of all documents."""
+def _held_by(shared):
+    """Document counts of the terms and, under -1, of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
         total, rows = np.zeros(len(vocabulary.terms), np.int64), 0
         for batch in batches:
             for part in chunks(batch.column(0)):
                 rows += len(part)
-                for i in range(len(part)):
-                    total[vocabulary.counts(part.text(i))[0]] += 1
+                total += np.bincount(vocabulary.counts(part)[0], minlength=len(total))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([rows, *total[used].tolist()], pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, used)), pa.array(np.append(rows, total[used]))], names=["term", "n"])
 
     return run
 
@@ -326,41 +369,56 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         nothing = BlockMaxIndex([], 0)
-        return Model(Vocabulary([], np.zeros(0)), nothing, np.zeros(0, np.int64), [], np.ones(2), neighbours, prior, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+        return Model(Vocabulary(pa.array([], pa.binary()), np.zeros(0)), nothing, np.zeros(0, np.int64), [], np.ones(2), neighbours, prior, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
     table = seen.toArrow().sort_by("term")  # at most the terms of 2 * examples documents
-    terms = table.column("term").to_pylist()
+    terms = table.column("term").combine_chunks().cast(pa.binary())
+    vocabulary = Vocabulary(terms)
     telling = log_likelihood(table.column("c0").to_numpy(), table.column("c1").to_numpy(), size[0], size[1])
     del table
     give_back()
 
-    held = docs.select(raw(text_col)).mapInArrow(tidy(_held_by(Vocabulary(terms))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared = spark.sparkContext.broadcast(vocabulary)
+    held = docs.select(raw(text_col)).mapInArrow(tidy(_held_by(shared)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(terms) + 1)
     df[held.column("term").to_numpy()] = held.column("n").to_numpy()  # the number of documents is the last
-    vocabulary = Vocabulary(terms, (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.sqrt(1 + telling))
+    vocabulary.idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.sqrt(1 + telling)
+    del held, df, telling
 
     def count():
         def work(texts: pa.Array) -> list[pa.Array]:
-            found = [vocabulary.counts(p.text(i)) for p in chunks(texts) for i in range(len(p))]
-            return [pa.array([x[k].astype(np.int32).tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            out: tuple[list[bytes], list[bytes]] = ([], [])
+            for part in chunks(texts):
+                which, counts, at = shared.value.counts(part)
+                for i, j in zip(at[:-1], at[1:]):
+                    out[0].append(which[i:j].astype(np.int32).tobytes())
+                    out[1].append(counts[i:j].astype(np.int32).tobytes())
+            return [pa.array(x, pa.binary()) for x in out]
 
         return work
 
-    rows = annotate(chosen, count, "which binary, counts binary", "body", ("name", "label", "digest")).orderBy("name", "label", "digest").collect()  # at most 2 * examples documents' terms
-    empty = [r.label for r in rows if not r["which"]]
-    rows = [r for r in rows if r["which"]]
-    vectors = [vocabulary.vector(*(np.frombuffer(r[k], np.int32) for k in ("which", "counts"))) for r in rows]
-    y = np.array([r.label for r in rows], np.int64)
+    table = annotate(chosen, count, "which binary, counts binary", "body", ("name", "label", "digest")).toArrow()  # at most 2 * examples documents' terms
+    shared.destroy()
+    table = table.sort_by([("name", "ascending"), ("label", "ascending"), ("digest", "ascending")])
+    lengths = pc.binary_length(table.column("which")).to_numpy() // 4
+    every = table.column("label").to_numpy().astype(np.int64)
+    empty, y = every[lengths == 0].tolist(), every[lengths > 0]
+    names = [n for n, k in zip(table.column("name").to_pylist(), lengths.tolist()) if k]
+    which, counts = (np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x.as_buffer(), np.int32) for x in table.column(k)]]) for k in ("which", "counts"))
+    del table
+    at = np.concatenate(([0], np.cumsum(lengths[lengths > 0])))
+    weight = vocabulary.weigh(which, counts, at)
+    del counts
+    vectors = [(which[i:j], weight[i:j]) for i, j in zip(at[:-1], at[1:])]
     weights = np.array([totals[c] / size[c] for c in (0, 1)])  # a class that was cut down votes for what was cut
     bare = np.array([weights[c] for c in empty]) if empty else np.ones(1)
     unknown = float((bare * np.array(empty or [0])).sum() + 0.5 * prior) / float(bare.sum() + 1)
-    names = [r.name for r in rows]
-    del rows
     give_back()
     index = BlockMaxIndex(vectors, len(terms))
     give_back()
     model = Model(vocabulary, index, y, names, weights, neighbours, unknown, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     left = [share for share, _ in model.votes(vectors, list(range(len(vectors))))]
+    index.dense = index.tops = None
     have = np.array([i for i, s in enumerate(left) if s is not None], np.int64)
     if len(have):
         model.knots = isotonic(np.array([left[i] for i in have]), y[have].astype(float), weights[y[have]])
@@ -381,8 +439,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = []
             for part in chunks(texts):
-                for at in range(0, len(part), QUERIES):
-                    rows += held.scores([part.text(i) for i in range(at, min(len(part), at + QUERIES))])
+                rows += held.scores(part)
             kinds = (pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
             return [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
 

@@ -3,6 +3,7 @@
 import random
 import re
 import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,21 @@ def test_links_span_without_all_pairs(docs):
     assert len(groups) == classes and len(links) < big * (big - 1) / 4
 
 
+def test_join_without_open_classes_starts_few_jobs(spark):
+    """Texts that share nothing need no hub rounds, and the counts come to the driver as one byte a cell."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, " ".join(f"u{i}x{k}" for k in range(30))) for i in range(20)], "doc_id long, text string")
+    tracker, before = spark.sparkContext.statusTracker(), None
+    before = set(tracker.getJobIdsForGroup(None))
+    got = ngram_join.ngram_components(docs).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 27 for r in got) and len(got) == 20
+    assert len(set(tracker.getJobIdsForGroup(None)) - before) < 30
+    slices = pa.RecordBatch.from_arrays([pa.array([3, 3], pa.int32()), pa.array([zlib.compress(np.full(8, 2**31, "<u4").tobytes())] * 2, pa.binary())], names=["slice", "cells"])
+    (out,) = ngram_join._add_slices(iter([slices]))
+    assert out.column(1).to_pylist() == [bytes([255] * 8)]
+
+
 def test_one_per_group(docs, spark):
     data = rows()
     sets, root = brute_components(data, 5, 80)
@@ -142,6 +158,49 @@ def test_block_max_index_is_exact():
         assert e.tolist() == order.tolist() and np.allclose(s, cosine[order])
 
 
+def test_block_max_index_with_rare_and_frequent_terms(monkeypatch):
+    """Terms in and out of the matrix give the same cosines; a pickled index makes its matrix anew."""
+    import pickle
+
+    monkeypatch.setattr(toxicity, "FREQUENT", 5)
+    r = np.random.default_rng(4)
+    vectors = []
+    for _ in range(150):
+        which = np.unique(np.minimum(r.integers(0, 40, 9), r.integers(0, 40, 9)))
+        w = r.random(len(which))
+        vectors.append((which, w / np.sqrt((w**2).sum())))
+    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
+    dense = np.zeros((150, 40))
+    for e, (which, w) in enumerate(vectors):
+        dense[e, which] = w
+    index.nearest(*vectors[0], 3)
+    assert 0 < len(index.dense) <= 5 and len(pickle.dumps(index)) < len(pickle.dumps(index.dense)) + len(pickle.dumps(vectors))
+    for q, (found, cosine) in enumerate(pickle.loads(pickle.dumps(index)).nearest_each(vectors, 7)):
+        want = np.round(dense @ dense[q], 12)
+        order = np.lexsort((np.arange(150), -want))[:7]
+        assert found.tolist() == order[want[order] > 0].tolist() and np.allclose(cosine, want[found])
+
+
+def test_toxicity_terms_by_hash():
+    """Whole chunks of texts give the words and word beginnings that one text after the other gives."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    data = [(t or "").encode() for t in texts()] + ["Été ÉTÉ naïveté 漢字漢字 a1b2c3d4 x_y-z".encode(), b"\xff\xfe abcdefgh ABCDE abcd* *", b"", b"toxicity toxic toxins toxi tox"]
+    examples = r.sample(data, 30) + [b"toxicology toxically", "naïveté".encode()]
+    terms = sorted(set().union(*[toxicity.terms_of(t) for t in examples]))
+    vocabulary = toxicity.Vocabulary(pa.array(terms, pa.binary()), np.ones(len(terms)))
+    number = {t: i for i, t in enumerate(terms)}
+    for limit in (1, 300, 1 << 20):
+        got = []
+        for part in chunks(pa.array(data, pa.binary()), limit):
+            which, counts, at = vocabulary.counts(part)
+            got += [dict(zip(which[i:j].tolist(), counts[i:j].tolist())) for i, j in zip(at[:-1], at[1:])]
+        assert got == [{number[t]: n for t, n in toxicity.terms_of(x).items() if t in number} for x in data]
+    none = toxicity.Vocabulary(pa.array([], pa.binary()), np.zeros(0))
+    assert [len(v[0]) for part in chunks(pa.array(data, pa.binary())) for v in none.vectors(part)] == [0] * len(data)
+
+
 def labelled(spark, flip=False):
     r = random.Random(9)
     words = [f"v{i}" for i in range(300)]
