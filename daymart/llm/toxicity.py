@@ -25,7 +25,9 @@ COPIES = 0.8
 #: examples per block of the index
 BLOCK = 256
 #: terms that most examples have, whose postings are kept as a dense matrix
-FREQUENT = 1024
+FREQUENT = 512
+#: bytes of text whose terms are looked up together; many arrays of eight bytes a byte are alive then
+LOOK_UP = 1 << 18
 #: texts that are scored together
 QUERIES = 64
 #: terms with fewer postings than this share of the examples stay out of the matrix
@@ -270,7 +272,7 @@ def _held_by(shared):
         vocabulary = shared.value
         total, rows = np.zeros(len(vocabulary.terms), np.int64), 0
         for batch in batches:
-            for part in chunks(batch.column(0)):
+            for part in chunks(batch.column(0), LOOK_UP):
                 rows += len(part)
                 total += np.bincount(vocabulary.counts(part)[0], minlength=len(total))
         used = np.flatnonzero(total)
@@ -388,7 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count():
         def work(texts: pa.Array) -> list[pa.Array]:
             out: tuple[list[bytes], list[bytes]] = ([], [])
-            for part in chunks(texts):
+            for part in chunks(texts, LOOK_UP):
                 which, counts, at = shared.value.counts(part)
                 for i, j in zip(at[:-1], at[1:]):
                     out[0].append(which[i:j].astype(np.int32).tobytes())
@@ -438,7 +440,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
 
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = []
-            for part in chunks(texts):
+            for part in chunks(texts, LOOK_UP):
                 rows += held.scores(part)
             kinds = (pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
             return [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
