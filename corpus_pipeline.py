@@ -11,21 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from daymart.llm import decontamination, mixing, ngram_join, sharding, toxicity
+from daymart.llm.common import chunk_batches
 from daymart.session import StageArea
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that score 0.7 or more; learned from the labelled rows that are not held out."""
+    chunk_batches(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles."""
+    chunk_batches(spark)
     return ngram_join.one_per_group(docs, width=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the words inside windows of ten words that stand in a benchmark item too."""
+    chunk_batches(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import StageArea
-from .common import Chunk, alnum_words, annotate, chunks, column, give_back, lower, mix64, prefix_hash, ranges, raw, slice_hash, split_words, tidy
+from .common import Chunk, alnum_words, annotate, chunks, column, give_back, lower, mix64, prefix_hash, ranges, raw, slice_hash, split_words, tidy, trim
 from .ngram_join import shingle_sets
 
 #: labelled rows of each class that the examples are taken from, at most (those with the smallest id hashes)
@@ -27,7 +27,7 @@ BLOCK = 256
 #: terms that most examples have, whose postings are kept as a dense matrix
 FREQUENT = 512
 #: bytes of text whose terms are looked up together; many arrays of eight bytes a byte are alive then
-LOOK_UP = 1 << 18
+LOOK_UP = 1 << 17
 #: texts that are scored together
 QUERIES = 64
 #: terms with fewer postings than this share of the examples stay out of the matrix
@@ -110,21 +110,22 @@ class Vocabulary:
         each = every[fresh]
         return each % many, np.diff(np.append(fresh, len(every))), np.searchsorted(each, np.arange(len(part) + 1) * many)
 
-    def weigh(self, which: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The weights of each row's terms, of unit length by row."""
+    def weigh(self, which: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of each row's terms, of unit length by row, and the lengths that they had before."""
         weight = (1 + np.log(counts.astype(np.float64))) * self.idf[which]
         size = np.diff(at)
         row = np.repeat(np.arange(len(size)), size)
-        return weight / np.sqrt(np.bincount(row, weight**2, len(size)))[row]
+        lengths = np.sqrt(np.bincount(row, weight**2, len(size)))
+        return weight / lengths[row], lengths
 
     def vectors(self, part: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
         which, counts, at = self.counts(part)
-        weight = self.weigh(which, counts, at)
+        weight, _ = self.weigh(which, counts, at)
         return [(which[i:j], weight[i:j]) for i, j in zip(at[:-1], at[1:])]
 
 
 class BlockMaxIndex:
-    """Postings by term, those of the up to FREQUENT terms of at least OFTEN of the examples as a matrix in blocks of examples with each block's largest weight.
+    """Postings by term, those of the up to FREQUENT terms of at least OFTEN of the examples also as a matrix in blocks of examples with each block's largest weight.
 
     Weights are positive, so what the other terms give is a lower bound of every score. A block is scored for the
     queries whose bound in it (these scores and the block's largest weights) reaches the k-th lower bound, so the
@@ -132,32 +133,55 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        self.block, self.size = block, len(vectors)
+        which = np.concatenate([np.zeros(0, np.int32), *[w.astype(np.int32) for w, _ in vectors]])
+        levels, kinds = np.unique(np.concatenate([np.zeros(0), *[w for _, w in vectors]]), return_inverse=True)
+        self._fill(which, kinds + 1, [len(w) for w, _ in vectors], levels, np.ones(terms), np.ones(len(vectors)), block)
+
+    @classmethod
+    def of_counts(cls, which: np.ndarray, counts: np.ndarray, at: np.ndarray, idf: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> BlockMaxIndex:
+        """Of examples with ``counts`` of the terms ``which``, example i from at[i] to at[i + 1]; lengths: of their vectors before they are scaled."""
+        out = cls.__new__(cls)
+        occur = np.bincount(counts) > 0
+        codes = np.cumsum(occur).astype(np.min_scalar_type(int(occur.sum())))
+        out._fill(which, codes[counts], np.diff(at), 1 + np.log(np.flatnonzero(occur)), idf, lengths, block)
+        return out
+
+    def _fill(self, term: np.ndarray, kinds: np.ndarray, sizes, levels: np.ndarray, by_term: np.ndarray, by_example: np.ndarray, block: int) -> None:
+        """A posting's weight is levels[kind - 1] * by_term / by_example, so that it and a place of the matrix take a byte or a few."""
+        self.block, self.size = block, len(by_example)
         self.blocks = -(-self.size // block)
-        sizes = [len(which) for which, _ in vectors]
-        term = np.concatenate([np.zeros(0, np.int32), *[which.astype(np.int32) for which, _ in vectors]])
-        weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
-        example = np.repeat(np.arange(self.size, dtype=np.int32), sizes)
-        held = np.bincount(term, minlength=terms)
+        self.levels, self.by_term = np.concatenate(([0.0], levels)), by_term
+        self.by_example = np.ones(self.blocks * block)
+        self.by_example[: self.size] = by_example
+        example = np.repeat(np.arange(self.size, dtype=np.min_scalar_type(max(0, self.size - 1))), sizes)
+        held = np.bincount(term, minlength=len(by_term))
         often = np.argsort(-held, kind="stable")[: min(FREQUENT, int((held >= OFTEN * self.size).sum()))]
-        self.row = np.full(terms, -1, np.int32)
+        self.row = np.full(len(by_term), -1, np.int16)
         self.row[often] = np.arange(len(often))
         self.often = often
         order = np.argsort(term, kind="stable")
-        self.examples, self.weights = example[order], weight[order]
-        self.cuts = np.concatenate(([0], np.cumsum(held)))
+        self.examples, self.kinds = example[order], kinds.astype(np.min_scalar_type(len(levels)))[order]
+        self.cuts = np.concatenate(([0], np.cumsum(held))).astype(np.int32 if len(term) < 1 << 31 else np.int64)
         self.dense = self.tops = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"dense": None, "tops": None}  # each task makes its own from the postings
 
+    def _postings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms' postings, and how many each has."""
+        count = self.cuts[which + 1] - self.cuts[which]
+        return ranges(self.cuts[which], count), count
+
     def _matrix(self) -> None:
+        """The kinds (0: none) of the terms of the matrix in all examples; it is turned into weights block by block."""
         if self.dense is None:
-            self.dense = np.zeros((len(self.often), self.blocks * self.block))
-            count = self.cuts[self.often + 1] - self.cuts[self.often]
-            at = ranges(self.cuts[self.often], count)
-            self.dense[np.repeat(np.arange(len(self.often)), count), self.examples[at]] = self.weights[at]
-            self.tops = self.dense.reshape(len(self.often), self.blocks, self.block).max(axis=2) if self.blocks else np.zeros((len(self.often), 0))
+            self.dense = np.zeros((len(self.often), self.blocks * self.block), self.kinds.dtype)
+            at, count = self._postings(self.often)
+            self.dense[np.repeat(np.arange(len(self.often)), count), self.examples[at]] = self.kinds[at]
+            self.tops = np.zeros((len(self.often), self.blocks))
+            for b in range(self.blocks):
+                here = slice(b * self.block, (b + 1) * self.block)
+                self.tops[:, b] = (self.levels[self.dense[:, here]] / self.by_example[here]).max(axis=1, initial=0)
 
     def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """The k examples of largest positive cosine (ties: smallest number) and their cosines, for every query."""
@@ -167,11 +191,10 @@ class BlockMaxIndex:
         often = np.zeros((len(queries), len(self.dense)))
         for q, (which, weight) in enumerate(queries):
             row = self.row[which]
-            often[q, row[row >= 0]] = weight[row >= 0]
+            often[q, row[row >= 0]] = weight[row >= 0] * self.by_term[which[row >= 0]]
             which, weight = which[row < 0], weight[row < 0]
-            count = self.cuts[which + 1] - self.cuts[which]
-            at = ranges(self.cuts[which], count)
-            scores[q] = np.bincount(self.examples[at], np.repeat(weight, count) * self.weights[at], width)
+            at, count = self._postings(which)
+            scores[q] = np.bincount(self.examples[at], np.repeat(weight * self.by_term[which], count) * self.levels[self.kinds[at]], width) / self.by_example
             if without is not None and without[q] >= 0:
                 scores[q, without[q]] = -np.inf
         least = np.partition(scores, width - k, axis=1)[:, width - k] if k < width else np.full(len(queries), -np.inf)
@@ -180,9 +203,10 @@ class BlockMaxIndex:
             here = slice(b * self.block, (b + 1) * self.block)
             open_ = bounds[:, b] >= least - 1e-12
             scores[~open_, here] = 0
-            scores[open_, here] += often[open_] @ self.dense[:, here]
+            if open_.any():
+                scores[open_, here] += often[open_] @ self.levels[self.dense[:, here]] / self.by_example[here]
         out = []
-        for line in np.round(scores, 12):
+        for line in np.round(scores, 12, out=scores):
             last = np.partition(line, width - k)[width - k] if k < width else 0.0
             found = np.flatnonzero((line > 0) & (line >= last))
             found = found[np.argsort(-line[found], kind="stable")][:k]
@@ -409,14 +433,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     which, counts = (np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x.as_buffer(), np.int32) for x in table.column(k)]]) for k in ("which", "counts"))
     del table
     at = np.concatenate(([0], np.cumsum(lengths[lengths > 0])))
-    weight = vocabulary.weigh(which, counts, at)
-    del counts
+    weight, sizes = vocabulary.weigh(which, counts, at)
     vectors = [(which[i:j], weight[i:j]) for i, j in zip(at[:-1], at[1:])]
     weights = np.array([totals[c] / size[c] for c in (0, 1)])  # a class that was cut down votes for what was cut
     bare = np.array([weights[c] for c in empty]) if empty else np.ones(1)
     unknown = float((bare * np.array(empty or [0])).sum() + 0.5 * prior) / float(bare.sum() + 1)
     give_back()
-    index = BlockMaxIndex(vectors, len(terms))
+    index = BlockMaxIndex.of_counts(which, counts, at, vocabulary.idf, sizes)
+    del counts
     give_back()
     model = Model(vocabulary, index, y, names, weights, neighbours, unknown, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     left = [share for share, _ in model.votes(vectors, list(range(len(vectors))))]
@@ -442,6 +466,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
             rows = []
             for part in chunks(texts, LOOK_UP):
                 rows += held.scores(part)
+            trim()
             kinds = (pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
             return [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
 
